@@ -164,7 +164,7 @@ def overlapping_sets(records: DataFrame, threshold: float, shard_passages: int =
     grid = F.flatten(F.transform(heads, lambda s: F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda x: s * salts + x)))
     patterns = sets.where("is_eval").select(F.explode(grid).alias("g"), F.lit(0).alias("kind"), F.col("set_key").alias("key"), "codes")
     texts = sets.where("NOT is_eval").select(F.explode(F.transform(every, lambda s: s * salts + salt)).alias("g"), F.lit(1).alias("kind"), F.col("set_key").alias("key"), "codes")
-    groups = patterns.unionByName(texts).repartition(shards * salts, "g").sortWithinPartitions("g", "kind")
+    groups = patterns.unionByName(texts).repartitionById(shards * salts, F.col("g")).sortWithinPartitions("g", "kind")
     found = groups.mapInArrow(_scan(threshold, shards, salts), "eval_set binary, train_set binary, covered int")
     pairs = found.groupBy("eval_set", "train_set").agg(F.max("covered").alias("covered"))
     side = lambda flag, name: sets.where(F.col("is_eval") == flag).select(F.col("set_key").alias(f"{name}_set"), F.col("items").alias(f"{name}_items"))

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaverlake.llm.cooccurrence import cooccurring_pairs
+from quaverlake.llm.encoding import encode_corpus
+from quaverlake.llm.mixing import mix_by_temperature, mix_report, mix_sources
 from quaverlake.llm.overlap import overlap_report, split_overlaps
 from quaverlake.llm.term_counts import term_frequencies
+from quaverlake.llm.vectors import most_similar
 from quaverlake.session import read
 
 
@@ -44,8 +47,37 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(read(spark, d, "context_prefixes"), threshold=0.8)
 
 
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    probes = read(spark, d, "knn_probes")
+    parts = []
+    for collection, table, key, vector in (("item", "item_embeddings", "item_id", "emb"), ("playlist", "tokenized_playlists", "playlist_id", "context_emb")):
+        near = most_similar(read(spark, d, table), probes.where(F.col("collection") == collection), key, vector, k=5)
+        parts.append(near.select(F.lit(collection).alias("collection"), "query_id", "neighbour_id", "score"))
+    return parts[0].unionByName(parts[1])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d).select("collection", "query_id", "neighbour_id")
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(read(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p7_temperature(spark: SparkSession, d: str) -> DataFrame:
+    return mix_by_temperature(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_report)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_report, p5_found, p6_ids, p7_mix, p7_report, p7_temperature)}
 
 
 _RECORDS = """
@@ -82,6 +114,19 @@ hits AS (SELECT e, t FROM common WHERE n * 10 >= 8 * (em + tm - n))"""
 )
 
 
+_NEAREST = """
+WITH raw AS (
+  SELECT 'item' AS collection, item_id AS id, any_value(emb) AS v FROM item_embeddings WHERE emb IS NOT NULL GROUP BY item_id
+  UNION ALL SELECT 'playlist', playlist_id, any_value(context_emb) FROM tokenized_playlists WHERE context_emb IS NOT NULL GROUP BY playlist_id),
+unit AS (SELECT collection, id, v::DOUBLE[] AS v, sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[])) AS norm FROM raw),
+good AS (SELECT * FROM unit WHERE norm > 0),
+scored AS (
+  SELECT q.collection, q.id AS query_id, b.id AS neighbour_id, round(list_inner_product(q.v, b.v) / (q.norm * b.norm), 12) AS score
+  FROM (SELECT DISTINCT collection, query_id FROM knn_probes) p JOIN good q ON q.collection = p.collection AND q.id = p.query_id JOIN good b ON b.collection = q.collection AND b.id <> q.id)
+SELECT collection, query_id, neighbour_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY collection, query_id ORDER BY score DESC, neighbour_id) AS r FROM scored) WHERE r <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_pairs": _PAIRS,
@@ -89,6 +134,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_frequencies": _CUES,
         "p2_found": f"SELECT cue_id, band FROM ({_CUES}) WHERE band <> 'useful'",
         "p3_found": _OVERLAPS + " SELECT least(e, t) AS prefix_a, greatest(e, t) AS prefix_b FROM hits",
+        "p5_found": _NEAREST,
         "p3_report": _OVERLAPS
         + """ SELECT split_name, source, count(*) AS records, count(*) FILTER (WHERE prefix_id IN (SELECT e FROM hits)) AS overlapping
 FROM kept WHERE split_name IN ('val', 'test') GROUP BY split_name, source""",
