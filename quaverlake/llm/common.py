@@ -57,3 +57,34 @@ def batches(columns: dict[str, np.ndarray], schema: pa.Schema, rows: int = 1 <<
 def rows_of(source: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in source:
         yield from zip(*[batch.column(n).to_pylist() for n in names], strict=True)
+
+
+def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+    """(node, component): the smallest node that each node of the undirected edges (a, b) hangs
+    together with. Alternates large and small stars, which only group and join, so no node's
+    neighbours are gathered in one place, and takes a number of rounds logarithmic in the size."""
+    from quaverlake.session import cut
+
+    def both(e: DataFrame) -> DataFrame:
+        return e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before = state(e)
+    for _ in range(limit):
+        s = both(e)
+        large = s.join(least(s), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        m = least(down)
+        small = down.join(m, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(m.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        e = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        now = state(e)
+        if now == before:
+            break
+        before = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quaverlake.llm.cooccurrence import cooccurring_pairs
 from quaverlake.llm.encoding import encode_corpus
+from quaverlake.llm.entities import same_entities
 from quaverlake.llm.mixing import mix_by_temperature, mix_report, mix_sources
 from quaverlake.llm.overlap import overlap_report, split_overlaps
 from quaverlake.llm.term_counts import term_frequencies
@@ -47,6 +48,10 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(read(spark, d, "context_prefixes"), threshold=0.8)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_entities(read(spark, d, "catalog_items"))
+
+
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
     probes = read(spark, d, "knn_probes")
     parts = []
@@ -77,7 +82,7 @@ def p7_temperature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_report, p5_found, p6_ids, p7_mix, p7_report, p7_temperature)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_report, p4_found, p5_found, p6_ids, p7_mix, p7_report, p7_temperature)}
 
 
 _RECORDS = """
