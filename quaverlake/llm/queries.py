@@ -12,6 +12,7 @@ from quaverlake.llm.encoding import encode_corpus
 from quaverlake.llm.entities import same_entities
 from quaverlake.llm.mixing import mix_by_temperature, mix_report, mix_sources
 from quaverlake.llm.overlap import overlap_report, split_overlaps
+from quaverlake.llm.subjects import subject_areas
 from quaverlake.llm.term_counts import term_frequencies
 from quaverlake.llm.vectors import most_similar
 from quaverlake.session import read
@@ -81,8 +82,22 @@ def p7_temperature(spark: SparkSession, d: str) -> DataFrame:
     return mix_by_temperature(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas(read(spark, d, "documents"), read(spark, d, "subject_labels"), read(spark, d, "subject_areas"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select(F.col("doc").alias("doc_id"), "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    found = _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("share").alias("weight"))
+    every = read(spark, d, "documents").agg(F.count("*").alias("n"))
+    return found.crossJoin(F.broadcast(every)).select("subject", "documents", (F.col("documents") / F.col("n")).alias("share_of_documents"), (F.col("weight") / F.col("n")).alias("mean_share_of_sentences"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_report, p4_found, p5_found, p6_ids, p7_mix, p7_report, p7_temperature)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_report, p4_found, p5_found, p6_ids, p7_mix, p7_report, p7_temperature, p8_found, p8_composition)}
 
 
 _RECORDS = """
