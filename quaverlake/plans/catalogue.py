@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaverlake.plans import content_queries, sequence_queries
+from quaverlake.plans import content_queries, model_queries, sequence_queries
 
 FLAGSHIP = "seq_windows"
-PARTS = (sequence_queries, content_queries)
+PARTS = (sequence_queries, content_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -93,7 +93,7 @@ def txt_tfidf(spark, d):
 
 
 def txt_unique_lines(spark, d):
-    rows = _docs(spark, d).where("source = 'lyric_draft'")
+    rows = _docs(spark, d).where("source = 'lyric_draft' AND text IS NOT NULL")
     clean = text.unique_lines(F.regexp_replace("text", r"[^\x0a\x20-\x7e]", ""))
     return rows.select("doc_id", F.md5(clean).alias("digest"), F.length(clean).alias("n"))
 
@@ -301,7 +301,7 @@ ranked AS (SELECT query_id, cue_id, score, row_number() OVER (PARTITION BY query
     return {
         "txt_phrases": f"WITH {_PHRASES} SELECT doc_id, len(p)::INT AS phrases, len(list_distinct(p))::INT AS distinct_phrases FROM phrases",
         "txt_document_frequency": f"WITH {_PHRASES} SELECT phrase, df FROM band",
-        "txt_scores": f"WITH {_PHRASES} SELECT phrase, round_even({_IDF}, 6) AS idf, round_even(df * {_IDF}, 6) AS df_idf, round_even(-abs(ln(df / n) - ln(0.02::DOUBLE)), 6) AS band FROM band, total",
+        "txt_scores": f"WITH {_PHRASES} SELECT phrase, round_even({_IDF}, 6) AS idf, round_even(df * {_IDF}, 6) AS df_idf, round_even(-abs(ln(df / n) - ln(0.02::DOUBLE)), 6) + 0.0 AS band FROM band, total",
         "txt_blocked": f"""WITH {_PHRASES}, names AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(artist, '')), '[a-z]+')) AS token FROM catalog_items), ok AS (SELECT token FROM names WHERE NOT list_contains({_list(text.STOPWORDS)}, token)), f AS (SELECT * FROM band WHERE {_BLOCK}), w AS (SELECT phrase, df, unnest(string_split(phrase, ' ')) AS token FROM f)
 SELECT phrase, any_value(df) AS df FROM w GROUP BY phrase HAVING count(*) FILTER (WHERE token NOT IN (SELECT token FROM ok)) > 0""",
         "txt_kept_phrases": f"WITH {_PHRASES} SELECT phrase, df FROM band WHERE {_KEEP}",
@@ -316,7 +316,7 @@ l AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lamb
 df AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term HAVING count(*) >= 2),
 s AS (SELECT doc_id, term, (1.0 + ln(c)) * idf AS w FROM tf JOIN df USING (term)), n AS (SELECT doc_id, term, round_even(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM s)
 SELECT doc_id, term, weight, (row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term))::INT AS rank FROM n QUALIFY rank <= 5""",
-        "txt_unique_lines": f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split({ascii_text}, chr(10)), lambda x: {line}), lambda x: x <> '') AS lines FROM documents WHERE source = 'lyric_draft'),
+        "txt_unique_lines": f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split({ascii_text}, chr(10)), lambda x: {line}), lambda x: x <> '') AS lines FROM documents WHERE source = 'lyric_draft' AND text IS NOT NULL),
 u AS (SELECT doc_id, array_to_string(list_filter(lines, lambda x, i: list_position(list_transform(lines, lambda y: lower(y)), lower(x)) = i), chr(10)) AS clean FROM l)
 SELECT doc_id, md5(clean) AS digest, length(clean)::INT AS n FROM u""",
         "txt_excerpts": f"""WITH l AS (SELECT doc_id, list_filter(string_split({ascii_text}, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents WHERE source = 'lyric_draft' AND text IS NOT NULL),
@@ -342,7 +342,7 @@ array_to_string(list_transform(['bright', 'dreamy', 'solemn', 'tense', 'wistful'
         "vec_topk": nearest(5, "items i") + " SELECT query_id, cue_id::VARCHAR AS item, rank::INT AS rank FROM ranked",
         "vec_assigned": nearest(12, probed) + " SELECT query_id, array_to_string(list_concat(list(cue_id ORDER BY rank), [0, 0, 0, 0]), ',') AS ids, 16 AS n_scores, 4 AS empty_slots FROM ranked GROUP BY query_id",
         "vec_centroids": f"""WITH {_ITEMS}, {_LISTS}, a AS (SELECT prefix_id, count(*) AS n, [{_MU}] AS mu, avg(list_inner_product(v, v)) AS sq FROM members WHERE pos < 15 GROUP BY prefix_id)
-SELECT prefix_id, n, round_even(greatest(0, sq - list_inner_product(mu, mu)), 5) AS sigma2, round_even(mu[1], 5) AS mu_first, round_even(mu[64], 5) AS mu_last FROM a""",
+SELECT prefix_id, n, round_even(greatest(0, sq - list_inner_product(mu, mu)), 5) AS sigma2, round_even(mu[1], 5) + 0.0 AS mu_first, round_even(mu[64], 5) + 0.0 AS mu_last FROM a""",
         "vec_diversity": f"""WITH {_ITEMS}, {_LISTS}, p AS (SELECT a.prefix_id, avg(list_inner_product(a.v, b.v) / (a.norm * b.norm)) AS c FROM members a JOIN members b ON a.prefix_id = b.prefix_id AND a.pos < b.pos GROUP BY 1), n AS (SELECT prefix_id, count(*) AS n FROM members GROUP BY 1)
 SELECT prefix_id, n, round_even(1 - c, 5) AS diversity FROM p JOIN n USING (prefix_id)""",
         "vec_centroid_neighbours": f"""WITH {_ITEMS}, {_LISTS}, a AS (SELECT prefix_id, [{_MU}] AS mu FROM members WHERE pos < 15 AND split_name = 'test' GROUP BY prefix_id), q AS (SELECT prefix_id, mu, sqrt(list_inner_product(mu, mu)) AS norm FROM a),
