@@ -127,11 +127,11 @@ def parse_title(value: str) -> tuple[list[str], str]:
             break
         text = text[: m.start()].rstrip(" ,-")
     text = text.casefold().replace("'", "").replace("-", " ")
-    if re.search(r",\s*the\s*$", text):
-        text = "the " + re.sub(r",\s*the\s*$", "", text)
+    text = re.sub(r",\s*the\s*$", "", text)
     text = re.sub(r"\s*[&+]\s*|\sn\s", " and ", text)
     words = re.findall(r"\w+", text)
-    words = [{"2": "two", "4": "for"}.get(w, w) for w in words]
+    # articles come and go within a title, as in names
+    words = [{"2": "two", "4": "for", "o": "of", "n": "and"}.get(w, w) for w in words if w != "the"]
     return (words or [text.strip()]), "+".join(sorted(version))
 
 
