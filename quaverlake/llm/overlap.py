@@ -144,7 +144,7 @@ def normalised_records(df: DataFrame, key: str, split: str, items: str, train: l
     return once.select("key", "row.split", F.col("row.split").isin(evaluation).alias("is_eval"), "row.items", F.unhex(F.md5(exact)).alias("set_key"), *[F.col(f"row.{c}") for c in carry])
 
 
-def overlapping_sets(records: DataFrame, threshold: float, shard_passages: int = 100_000, text_rows: int = 100_000) -> DataFrame:
+def overlapping_sets(records: DataFrame, threshold: float, shard_passages: int = 250_000, text_rows: int = 100_000) -> DataFrame:
     """(eval_set, train_set, common, covered) over the classes of ``normalised_records``."""
     spark = records.sparkSession
     code = F.array_sort(F.transform("items", lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int")))
