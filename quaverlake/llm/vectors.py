@@ -209,7 +209,7 @@ def most_similar(
     query_id: str = "query_id",
     k: int = 5,
     dims: int = 64,
-    rerank: int = 64,
+    rerank: int = 256,
     sample: int = SAMPLE,
 ) -> DataFrame:
     """(query_id, neighbour_id, score): for each distinct id in ``queries`` that has a vector, the
