@@ -28,7 +28,9 @@ def norm(a: Column | str) -> Column:
 
 def l2(a: Column | str) -> Column:
     """To length one; a zero vector stays zero."""
-    return F.transform(doubles(a), lambda x: x / F.greatest(norm(a), F.lit(EPS)))
+    # zipped with its repeated norm, which a lambda would take anew for every element
+    v = doubles(a)
+    return F.zip_with(v, F.array_repeat(F.greatest(norm(a), F.lit(EPS)), F.size(v)), lambda x, n: x / n)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaverlake.functions import text
+from quaverlake.session import spread
 
 
 def phrases(docs: DataFrame, key: str, column: str, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
     """(key, phrases): one- and two-word phrases of each text over the letters a to z, repeats kept."""
-    tokens = text.words(column)
-    return docs.select(key, F.concat(*[text.ngrams(tokens, n) for n in sizes]).alias("phrases"))
+    tokens = spread(docs).select(key, text.words(column).alias("t"))
+    return tokens.select(key, F.concat(*[text.ngrams(F.col("t"), n) for n in sizes]).alias("phrases"))
 
 
 def document_frequency(lists: DataFrame, key: str, items: str) -> DataFrame:
@@ -71,7 +72,7 @@ def tfidf_top(docs: DataFrame, key: str, column: str, top: int = 10, min_df: int
     document; weight (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), to length one per document, ties by term."""
     stop = F.array(*[F.lit(w) for w in text.STOPWORDS])
     tokens = F.filter(text.words(column), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
-    lists = docs.select(key, tokens.alias("t")).select(key, F.concat(F.col("t"), text.ngrams(F.col("t"), 2)).alias("terms"))
+    lists = spread(docs).select(key, tokens.alias("t")).select(key, F.concat(F.col("t"), text.ngrams(F.col("t"), 2)).alias("terms"))
     tf = lists.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
     total = docs.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(total)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))

@@ -71,3 +71,9 @@ def parallelism(spark: SparkSession) -> int:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, where a small or unsplittable file would leave most of them idle."""
+    cores = parallelism(df.sparkSession)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
