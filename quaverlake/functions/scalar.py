@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Vocabularies and the tempo range of the feature table.
+MOODS = ["aggressive", "calm", "euphoric", "intense", "melancholic", "neutral"]
+TEMPO_LOW, TEMPO_HIGH = 39.0, 235.0
 # Names of the twelve pitch classes, and the published key profiles (major, minor).
 PITCHES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 MAJOR = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
@@ -21,11 +24,24 @@ def buckets(value: Column, edges: list[tuple[float, str]], last: str) -> Column:
 
 
 def tempo_word(bpm: Column) -> Column:
-    return buckets(bpm, [(80, "slow"), (110, "mid-tempo"), (140, "upbeat")], "fast")
+    return buckets(bpm, [(70, "very slow, ballad-paced"), (100, "slow to moderate, relaxed"), (120, "moderate, mid-tempo"), (140, "upbeat, lively")], "fast-paced, energetic")
+
+
+def mood_of_sound(tempo: Column, energy: Column, centroid: Column) -> Column:
+    """A mood from tempo, loudness and brightness; a null among them gives null."""
+    fast, loud, bright = tempo > 120, energy > 0.15, centroid > 2500
+    known = tempo.isNotNull() & energy.isNotNull() & centroid.isNotNull()
+    return F.when(known & fast & loud, F.when(bright, "euphoric").otherwise("aggressive")).when(known & ~fast, F.when(loud, "intense").when(bright, "calm").otherwise("melancholic")).when(known, "neutral")
+
+
+def mood_of_valence(valence: Column, energy: Column) -> Column:
+    """A mood from valence and energy; a null gives null."""
+    high = energy > 0.6
+    return F.when(valence.isNull() | energy.isNull(), F.lit(None).cast("string")).when(valence > 0.6, F.when(high, "euphoric").otherwise("calm")).when(valence <= 0.4, F.when(high, "aggressive").otherwise("melancholic")).otherwise("neutral")
 
 
 def dispersion_tier(sigma2: Column, low: Column, high: Column) -> Column:
-    return F.when(sigma2.isNull(), F.lit(None).cast("string")).when(sigma2 <= low, "tight").when(sigma2 <= high, "medium").otherwise("wide")
+    return F.when(sigma2.isNull(), F.lit(None).cast("string")).when(sigma2 < low, "compact").when(sigma2 < high, "medium").otherwise("diverse")
 
 
 def minmax(value: Column, low: float, high: float, missing: float = 0.5) -> Column:

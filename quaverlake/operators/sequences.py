@@ -100,7 +100,7 @@ def sampled(kept: DataFrame, seed: int = 42, test_fraction: float = 0.2, cap: in
     return test.unionByName(train)
 
 
-def record_lines(chosen: DataFrame, seed: int = 42, prefix: str = "ql") -> DataFrame:
+def record_lines(chosen: DataFrame, seed: int = 42, prefix: str = "m4a") -> DataFrame:
     """split_name, record_id and the line that a text sink writes."""
     record = F.format_string(f"{prefix}-%s-%s-r%04d-s%08d", F.col("split_name"), hashing.pseudonym(F.col("user"), seed), F.col("run_index"), F.col("start_index"))
     out = chosen.select("split_name", record.alias("record_id"), "items")

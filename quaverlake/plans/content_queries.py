@@ -55,7 +55,7 @@ def txt_blocked(spark, d):
     """Phrases in the band that are about more than an artist's name."""
     base = vocab.in_band(_df(spark, d).crossJoin(F.broadcast(_n(spark, d))), F.col("n_docs"), 5, 0.3)
     names = vocab.name_tokens(read(spark, d, "catalog_items"), "artist")
-    kept = vocab.without_blocked(base, "phrase", ["more about"], ["page", "minutes"], ["the", "a", "of", "and", "in"], names)
+    kept = vocab.without_blocked(base, "phrase", text.BLOCKED_PHRASES, text.HARD_STOPS, text.EDGE_WORDS, names)
     return kept.select("phrase", "df")
 
 
@@ -69,7 +69,7 @@ def txt_stage_counts(spark, d):
     every = cut(_df(spark, d).crossJoin(F.broadcast(_n(spark, d))))
     banded = vocab.in_band(every, F.col("n_docs"), 5, 0.3)
     kept = banded.where(text.keeps_phrase(F.col("phrase")))
-    unblocked = vocab.without_blocked(kept, "phrase", ["more about"], ["page", "minutes"], ["the", "a", "of", "and", "in"])
+    unblocked = vocab.without_blocked(kept, "phrase", text.BLOCKED_PHRASES, text.HARD_STOPS, text.EDGE_WORDS)
     parts = [df.agg(F.lit(i).alias("stage"), F.lit(name).alias("name"), F.count("*").alias("phrases")) for i, (name, df) in enumerate((("raw", every), ("band", banded), ("form", kept), ("blocklist", unblocked)))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -143,8 +143,8 @@ def cue_score_rows(spark, d):
 
 def feat_scaled(spark, d):
     c = read(spark, d, "catalog_items").where("item_id IS NOT NULL").groupBy("item_id").agg(F.max(F.struct("tempo", "mood", "genre", "musical_key")).alias("r")).select("item_id", "r.*")
-    hot = scalar.one_hot(F.col("mood"), ["bright", "dreamy", "solemn", "tense", "wistful"])
-    return c.select("item_id", F.bround(scalar.minmax(F.col("tempo"), 40.0, 220.0), 6).alias("tempo_scaled"), scalar.tempo_word(F.col("tempo")).alias("tempo_word"), F.array_join(F.transform(hot, lambda x: x.cast("int").cast("string")), "").alias("mood_hot"))
+    hot = scalar.one_hot(F.col("mood"), scalar.MOODS + ["bright", "dreamy", "solemn", "tense", "wistful"])
+    return c.select("item_id", F.bround(scalar.minmax(F.col("tempo"), scalar.TEMPO_LOW, scalar.TEMPO_HIGH), 6).alias("tempo_scaled"), scalar.tempo_word(F.col("tempo")).alias("tempo_word"), F.array_join(F.transform(hot, lambda x: x.cast("int").cast("string")), "").alias("mood_hot"))
 
 
 def feat_top_genres(spark, d):
@@ -267,9 +267,9 @@ ex AS (SELECT DISTINCT doc_id, source, unnest(p) AS phrase FROM phrases),
 total AS (SELECT count(*) AS n FROM documents),
 df AS (SELECT phrase, count(*) AS df FROM ex GROUP BY phrase),
 band AS (SELECT phrase, df FROM df, total WHERE df >= 5 AND df <= n * 0.3::DOUBLE)"""
-_KEEP = f"""NOT list_contains({_list(text.VERB_LEADS)}, split_part(phrase, ' ', 1)) AND len(list_filter(string_split(phrase, ' '), lambda w: NOT list_contains({_list(text.STOPWORDS)}, w) AND length(w) > 2)) > 0"""
-_BLOCK = """phrase <> 'more about' AND len(list_filter(string_split(phrase, ' '), lambda w: w IN ('page', 'minutes'))) = 0
- AND (len(string_split(phrase, ' ')) = 1 OR NOT (split_part(phrase, ' ', 1) IN ('the', 'a', 'of', 'and', 'in') OR split_part(phrase, ' ', -1) IN ('the', 'a', 'of', 'and', 'in')))"""
+_KEEP = f"""phrase <> '' AND NOT list_contains({_list(text.VERB_LEADS)}, split_part(phrase, ' ', 1)) AND NOT (len(string_split(phrase, ' ')) = 2 AND split_part(phrase, ' ', 1) = split_part(phrase, ' ', 2)) AND len(list_filter(string_split(phrase, ' '), lambda w: NOT list_contains({_list(text.STOPWORDS)}, w) AND NOT list_contains({_list(text.VERB_LEADS)}, w))) > 0"""
+_BLOCK = f"""NOT list_contains({_list(text.BLOCKED_PHRASES)}, phrase) AND len(list_filter(string_split(phrase, ' '), lambda w: list_contains({_list(text.HARD_STOPS)}, w))) = 0
+ AND (len(string_split(phrase, ' ')) = 1 OR NOT (list_contains({_list(text.EDGE_WORDS)}, split_part(phrase, ' ', 1)) OR list_contains({_list(text.EDGE_WORDS)}, split_part(phrase, ' ', -1))))"""
 _IDF = "ln(n / (1.0::DOUBLE + df))"
 _MAPPINGS = "m AS (SELECT DISTINCT item_id, cue_ids, scores FROM cue_mappings WHERE item_id IS NOT NULL)"
 _ITEMS = """raw AS (SELECT DISTINCT item_id, emb::DOUBLE[] AS v FROM item_embeddings WHERE item_id IS NOT NULL AND emb IS NOT NULL),
@@ -322,7 +322,7 @@ SELECT doc_id, md5(clean) AS digest, length(clean)::INT AS n FROM u""",
         "txt_excerpts": f"""WITH l AS (SELECT doc_id, list_filter(string_split({ascii_text}, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents WHERE source = 'lyric_draft' AND text IS NOT NULL),
 e AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS x FROM l), s AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM e)
 SELECT l.doc_id, coalesce((SELECT string_agg(x, chr(10) ORDER BY i) FROM s WHERE s.doc_id = l.doc_id AND used <= 200), '') AS excerpt FROM l""",
-        "txt_cue_keys": f"""WITH k AS (SELECT cue_id, list_filter(string_split(regexp_replace(lower(cue), '[^a-z0-9'']+', ' ', 'g'), ' '), lambda w: w <> '') AS t FROM cue_vocab), p AS (SELECT cue_id, array_to_string(t, ' ') AS phrase FROM k) SELECT cue_id, phrase AS cue_key, ({_KEEP}) AS kept FROM p""",
+        "txt_cue_keys": f"""WITH k AS (SELECT cue_id, list_filter(string_split(trim(regexp_replace(lower(cue), '[^a-z0-9'']+', ' ', 'g'), ' '''), ' '), lambda w: w <> '') AS t FROM cue_vocab), p AS (SELECT cue_id, array_to_string(t, ' ') AS phrase FROM k) SELECT cue_id, phrase AS cue_key, ({_KEEP}) AS kept FROM p""",
         "txt_song_documents": f"""WITH c AS ({_ITEM.format('title, artist, album, genre, mood, lyric_excerpt, tags')})
 SELECT item_id, concat_ws(' ', nullif(trim(title), ''), nullif(trim(album), ''), nullif(trim(genre), ''), nullif(trim(mood), ''), nullif(trim(lyric_excerpt), '')) AS document,
 coalesce(title, '') || ' by ' || coalesce(artist, '') || CASE WHEN trim(genre) <> '' THEN ' [' || lower(trim(genre)) || ']' ELSE '' END AS prompt, array_to_string(tags, '|') AS tags FROM c""",
@@ -332,12 +332,12 @@ coalesce(title, '') || ' by ' || coalesce(artist, '') || CASE WHEN trim(genre) <
 SELECT t.cue_id, coalesce(cue, '<missing:' || t.cue_id || '>') AS cue, n FROM t LEFT JOIN cue_vocab v ON v.cue_id = t.cue_id WHERE t.cue_id <> 0""",
         "cue_score_rows": f"""WITH {_MAPPINGS}, s AS (SELECT item_id, unnest(range(1, greatest(len(cue_ids), len(scores)) + 1)) AS rank, cue_ids, scores FROM m), x AS (SELECT item_id, rank::INT AS rank, cue_ids[rank] AS cue_id, scores[rank] AS s FROM s)
 SELECT item_id, rank, x.cue_id, coalesce(cue, '<missing:' || x.cue_id || '>') AS cue, CASE WHEN s IS NULL THEN '' ELSE printf('%.8f', s) END AS relevance_score, x.cue_id = 0 AS is_unk FROM x LEFT JOIN cue_vocab v ON v.cue_id = x.cue_id""",
-        "feat_scaled": f"""WITH c AS ({_ITEM.format('tempo, mood')}) SELECT item_id, round_even(CASE WHEN tempo IS NULL OR isnan(tempo) THEN 0.5 ELSE least(1.0, greatest(0.0, (tempo - 40.0) / 180.0)) END, 6) AS tempo_scaled,
-CASE WHEN tempo IS NULL THEN NULL WHEN tempo < 80 THEN 'slow' WHEN tempo < 110 THEN 'mid-tempo' WHEN tempo < 140 THEN 'upbeat' ELSE 'fast' END AS tempo_word,
-array_to_string(list_transform(['bright', 'dreamy', 'solemn', 'tense', 'wistful'], lambda x: CASE WHEN lower(trim(mood)) = x THEN '1' ELSE '0' END), '') AS mood_hot FROM c""",
+        "feat_scaled": f"""WITH c AS ({_ITEM.format('tempo, mood')}) SELECT item_id, round_even(CASE WHEN tempo IS NULL OR isnan(tempo) THEN 0.5 ELSE least(1.0, greatest(0.0, (tempo - 39.0::DOUBLE) / 196.0::DOUBLE)) END, 6) AS tempo_scaled,
+CASE WHEN tempo IS NULL THEN NULL WHEN tempo < 70 THEN 'very slow, ballad-paced' WHEN tempo < 100 THEN 'slow to moderate, relaxed' WHEN tempo < 120 THEN 'moderate, mid-tempo' WHEN tempo < 140 THEN 'upbeat, lively' ELSE 'fast-paced, energetic' END AS tempo_word,
+array_to_string(list_transform({_list(scalar.MOODS + ['bright', 'dreamy', 'solemn', 'tense', 'wistful'])}, lambda x: CASE WHEN lower(trim(mood)) = x THEN '1' ELSE '0' END), '') AS mood_hot FROM c""",
         "feat_top_genres": "WITH c AS (SELECT DISTINCT item_id, lower(trim(genre)) AS genre FROM catalog_items WHERE item_id IS NOT NULL AND trim(genre) <> '') SELECT genre, count(*) AS n, min(item_id) AS first_item FROM c GROUP BY genre ORDER BY n DESC, genre LIMIT 20",
         "feat_asset_flags": f"""WITH c AS ({_ITEM.format('title, artist, audio_path, lyric_excerpt')}), f AS (SELECT item_id, coalesce(trim(title) <> '', false) AND coalesce(trim(artist) <> '', false) AS has_meta, coalesce(trim(audio_path) <> '', false) AS has_audio, coalesce(trim(lyric_excerpt) <> '', false) AS has_lyrics FROM c) SELECT *, has_meta AND has_audio AND has_lyrics AS complete FROM f""",
-        "feat_metadata_strings": f"""WITH c AS ({_ITEM.format('title, artist, album')}) SELECT item_id, title, trim(artist) AS artist, album FROM c WHERE regexp_full_match(title, '[A-Za-z ]+') AND regexp_full_match(artist, '[A-Za-z ]+') AND regexp_full_match(album, '[A-Za-z ]+')""",
+        "feat_metadata_strings": f"""WITH c AS ({_ITEM.format('title, artist, album')}) SELECT item_id, title, regexp_replace(artist, '^\\s+|\\s+$', '', 'g') AS artist, album FROM c WHERE regexp_full_match(title, '[A-Za-z ]+') AND regexp_full_match(artist, '[A-Za-z ]+') AND regexp_full_match(album, '[A-Za-z ]+')""",
         "vec_norms": f"WITH {_ITEMS} SELECT item_id, round_even(norm, 5) AS norm FROM items",
         "vec_topk": nearest(5, "items i") + " SELECT query_id, cue_id::VARCHAR AS item, rank::INT AS rank FROM ranked",
         "vec_assigned": nearest(12, probed) + " SELECT query_id, array_to_string(list_concat(list(cue_id ORDER BY rank), [0, 0, 0, 0]), ',') AS ids, 16 AS n_scores, 4 AS empty_slots FROM ranked GROUP BY query_id",

@@ -363,7 +363,7 @@ SELECT round_even(avg((rank <= 1)::INT), 6) AS recall_1, round_even(avg((rank <=
 SELECT prefix_id, round_even(greatest({best}) / 5, 5) AS best FROM p WHERE greatest({best}) IS NOT NULL""",
         "met_item_entropy": f"""WITH {LISTS}, s AS (SELECT split_name, unnest(items) AS item FROM lists WHERE split_name IS NOT NULL), n AS (SELECT split_name, item, count(*) AS n, sum(count(*)) OVER (PARTITION BY split_name) AS t FROM s GROUP BY 1, 2)
 SELECT split_name, round_even(-sum(n / t * log2(n / t)), 6) AS entropy, count(*) AS items, max(t)::BIGINT AS total FROM n GROUP BY split_name""",
-        "met_dispersion_tiers": f"""WITH {_SEQ}, c AS (SELECT quantile_cont(sigma_c2::DOUBLE, 0.33) AS low, quantile_cont(sigma_c2::DOUBLE, 0.66) AS high FROM seqs) SELECT playlist_id, CASE WHEN sigma_c2::DOUBLE <= low THEN 'tight' WHEN sigma_c2::DOUBLE <= high THEN 'medium' ELSE 'wide' END AS tier FROM seqs, c WHERE sigma_c2 IS NOT NULL""",
+        "met_dispersion_tiers": f"""WITH {_SEQ}, c AS (SELECT quantile_cont(sigma_c2::DOUBLE, 0.33) AS low, quantile_cont(sigma_c2::DOUBLE, 0.66) AS high FROM seqs) SELECT playlist_id, CASE WHEN sigma_c2::DOUBLE < low THEN 'compact' WHEN sigma_c2::DOUBLE < high THEN 'medium' ELSE 'diverse' END AS tier FROM seqs, c WHERE sigma_c2 IS NOT NULL""",
         "met_coverage": f"""WITH {LISTS}, s AS (SELECT split_name, unnest(items) AS item FROM lists WHERE split_name IS NOT NULL) SELECT split_name, count(DISTINCT item) AS used, round_even(count(DISTINCT item) / (SELECT count(DISTINCT item_id) FROM catalog_items), 6) AS coverage FROM s GROUP BY split_name""",
         "study_unblinded": f"WITH {_RESPONSES} SELECT * FROM v",
         "study_summary": f"""WITH {_RESPONSES}, p AS (SELECT user_id, count(*) AS n, avg(generated_fit) AS a, avg(real_fit) AS b, avg(generated_quality) AS c, avg(real_quality) AS d, avg(share) AS s FROM v GROUP BY user_id)

@@ -202,16 +202,17 @@ _CATALOGUE = "catalogue AS (SELECT DISTINCT item_id, artist, title, album FROM c
 
 
 def _key(c: str) -> str:
+    """Without the rule on initialisms, which changes nothing unless an apostrophe follows one."""
     x = f"replace(lower({c}), '&', ' and ')"
-    x = f"regexp_replace({x}, '([a-z0-9])[.'']([a-z0-9])', '\\1\\2', 'g')"
+    x = f"regexp_replace({x}, '(\\w)[.'']\\b', '\\1', 'g')"
     return f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
 
 
 def _base(c: str) -> str:
     v = text.VERSION_WORDS
-    x = f"regexp_replace({c}, '\\s*[(\\[][^()\\[\\]]*\\b(?:{v})\\b[^()\\[\\]]*[)\\]]', '', 'gi')"
-    x = f"regexp_replace({x}, '\\s+-\\s+[^-]*\\b(?:{v})\\b.*$', '', 'gi')"
-    return f"regexp_replace({x}, '\\s*[(\\[]?\\b(?:feat|ft|featuring)\\b.*$', '', 'gi')"
+    x = f"regexp_replace({c}, '[\\[(][^\\])]*(?:{v})[^\\])]*[\\])]', ' ', 'gi')"
+    x = f"regexp_replace({x}, '\\s+[-–—]\\s+.*(?:{v}).*$', ' ', 'gi')"
+    return f"regexp_replace({x}, '\\b(?:feat|ft)\\.?\\s+.*$', ' ', 'gi')"
 
 
 _ASCII = "regexp_full_match({0}, '[\\x20-\\x7e]+')"
@@ -222,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
         f"""SELECT {-1 if g is None else g} AS threshold, count(*) AS windows, count(DISTINCT "user") AS users, round_even(avg((len(list_distinct(items)) = 20)::INT), 6) AS unique_window_share, round_even(avg((unique_targets = 5)::INT), 6) AS five_target_share FROM (WITH {_windows(g)} SELECT * FROM wins) HAVING count(*) > 0"""
         for g in (0, 1, 5, 20, None)
     )
-    record = """format('ql-{}-{}-r{:04d}-s{:08d}', split_name, substr(sha256('pseudonym' || chr(0) || '42' || chr(0) || "user"), 1, 16), run_index::BIGINT, start_index)"""
+    record = """format('m4a-{}-{}-r{:04d}-s{:08d}', split_name, substr(sha256('pseudonym' || chr(0) || '42' || chr(0) || "user"), 1, 16), run_index::BIGINT, start_index)"""
     matched = f"""WITH {_CATALOGUE}, ok AS (SELECT * FROM catalogue WHERE {_ASCII.format('title')} AND {_ASCII.format('artist')}),
 keyed AS (SELECT item_id AS id, nullif({_key('artist')}, '') AS a, nullif({_key('title')}, '') AS s, nullif({_key(_base('title'))}, '') AS r, album FROM ok),
 l AS (SELECT id, a || '|' || s AS strict_key, a || '|' || r AS relaxed_key FROM keyed), g AS (SELECT 'a' || id AS id, a || '|' || s AS strict_key, a || '|' || r AS relaxed_key FROM keyed WHERE {_ASCII.format('album')}),
