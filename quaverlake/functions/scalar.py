@@ -70,7 +70,7 @@ def key_name(key: Column, mode: Column) -> Column:
 
 def estimated_key(chroma: Column) -> Column:
     """The key whose rotated profile has the highest product with the twelve chroma values; the first on a tie."""
-    profiles = [(np.roll(base, r), f"{PITCHES[r]} {mode}") for base, mode in ((MAJOR, "major"), (MINOR, "minor")) for r in range(12)]
+    profiles = [(np.roll(base, r), f"{PITCHES[r]} {mode}") for r in range(12) for base, mode in ((MAJOR, "major"), (MINOR, "minor"))]
     scores = F.array(*[sum((F.get(chroma, i) * float(p[i]) for i in range(1, 12)), F.get(chroma, 0) * float(p[0])) for p, _ in profiles])
     names = F.array(*[F.lit(name) for _, name in profiles])
     return F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))

@@ -51,16 +51,16 @@ def hashed_splits(lists: DataFrame, key: str, seed: int = 42, train: float = 0.8
     """(key, split_name): the first floor(train n) keys in hash order are train, the next max(1, floor(val n))
     val, the rest test. The place in hash order comes from counts of hash prefixes, not from one sort
     of all keys in a task."""
-    h = lists.select(key, hashing.digest("shuffle", seed, F.col(key)).alias("h")).withColumn("p", F.substring("h", 1, 3))
+    h = lists.select(F.col(key).alias("key"), hashing.digest("shuffle", seed, F.col(key)).alias("h")).withColumn("p", F.substring("h", 1, 3))
     counts = h.groupBy("p").agg(F.count("*").alias("n"))
     # 4096 prefixes at most
     offsets = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    place = F.row_number().over(Window.partitionBy("p").orderBy("h", key)) + F.col("n0")
+    place = F.row_number().over(Window.partitionBy("p").orderBy("h", "key")) + F.col("n0")
     ranked = h.join(F.broadcast(offsets), "p").withColumn("place", place).crossJoin(F.broadcast(total))
     first = F.floor(F.col("total") * train)
     second = first + F.greatest(F.lit(1), F.floor(F.col("total") * val))
-    return ranked.select(key, F.when(F.col("place") <= first, "train").when(F.col("place") <= second, "val").otherwise("test").alias("split_name"))
+    return ranked.select(F.col("key").alias(key), F.when(F.col("place") <= first, "train").when(F.col("place") <= second, "val").otherwise("test").alias("split_name"))
 
 
 def card(lists: DataFrame, key: str, items: str, split: str) -> DataFrame:

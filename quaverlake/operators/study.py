@@ -11,11 +11,11 @@ from quaverlake.functions import hashing
 def balanced_sides(cases: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """(key, case_code, generated_on_a): half of the cases, one more if odd, have the generated song on side A,
     by hash order; codes are opaque. A study has a bounded number of cases."""
-    h = cases.select(key, hashing.digest("side", seed, F.col(key)).alias("h"), hashing.digest("case", seed, F.col(key)).alias("c"))
+    h = cases.select(F.col(key).alias("key"), hashing.digest("side", seed, F.col(key)).alias("h"), hashing.digest("case", seed, F.col(key)).alias("c"))
     n = h.agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy("h", key))
+    place = F.row_number().over(Window.orderBy("h", "key"))
     ranked = h.withColumn("place", place).crossJoin(F.broadcast(n))
-    return ranked.select(key, F.substring("c", 1, 12).alias("case_code"), (F.col("place") <= F.ceil(F.col("n") / 2)).alias("generated_on_a"))
+    return ranked.select(F.col("key").alias(key), F.substring("c", 1, 12).alias("case_code"), (F.col("place") <= F.ceil(F.col("n") / 2)).alias("generated_on_a"))
 
 
 def least_used(cases: DataFrame, assignments: DataFrame, key: str) -> DataFrame:
