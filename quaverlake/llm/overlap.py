@@ -144,7 +144,7 @@ def normalised_records(df: DataFrame, key: str, split: str, items: str, train: l
     return once.select("key", "row.split", F.col("row.split").isin(evaluation).alias("is_eval"), "row.items", F.unhex(F.md5(exact)).alias("set_key"), *[F.col(f"row.{c}") for c in carry])
 
 
-def overlapping_sets(records: DataFrame, threshold: float, shard_passages: int = 250_000, text_rows: int = 100_000) -> DataFrame:
+def overlapping_sets(records: DataFrame, threshold: float, shard_passages: int = 100_000, text_rows: int = 2_000_000) -> DataFrame:
     """(eval_set, train_set, common, covered) over the classes of ``normalised_records``."""
     spark = records.sparkSession
     code = F.array_sort(F.transform("items", lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int")))
@@ -154,8 +154,11 @@ def overlapping_sets(records: DataFrame, threshold: float, shard_passages: int =
         F.sum(F.when(F.col("is_eval"), F.floor(m * F.lit((1 - threshold) / threshold) + F.lit(1e-9)) + 1)).alias("passages"),
         F.count(F.when(~F.col("is_eval"), 1)).alias("texts"),
     ).first()
-    shards = max(1, math.ceil((sizes.passages or 0) / shard_passages))
-    salts = max(1, math.ceil(sizes.texts / text_rows), math.ceil(2 * parallelism(spark) / shards))
+    # a passage costs more to build into an automaton than a text to scan, so shards come before salts,
+    # which build a shard again for another part of the texts
+    cores = parallelism(spark)
+    shards = max(cores, math.ceil((sizes.passages or 0) / shard_passages))
+    salts = max(math.ceil(sizes.texts * min(shards, 16) / shards / text_rows), math.ceil(2 * cores / shards))
     salt = F.pmod(F.xxhash64("set_key"), F.lit(salts)).cast("int")
     every = F.array_distinct(F.transform("codes", lambda c: F.pmod(c, F.lit(shards))))
     # an evaluation set is needed by the shards of its passages' first items, in every salt
