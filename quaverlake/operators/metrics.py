@@ -135,6 +135,11 @@ def _assignment(score: np.ndarray) -> float:
     return float(score[owner[used], used].mean())
 
 
+def draws(scores: DataFrame, key: str, score: str) -> DataFrame:
+    """(key, best, worst, mean, variance) of a score over several draws; one draw has no variance."""
+    return scores.groupBy(key).agg(F.max(score).alias("best"), F.min(score).alias("worst"), F.avg(score).alias("mean"), F.when(F.count(score) > 1, F.var_samp(score)).alias("variance"))
+
+
 def entropy(counts: DataFrame, n: str, group: list[str] | None = None, base: float = 2.0) -> DataFrame:
     """Per group (or one row): entropy of the distribution with the counts ``n``, number of values, total."""
     group = group or []

@@ -149,6 +149,15 @@ def chunks(lists: DataFrame, order: str, tokens: str, block: int, bos: int = LAY
     return whole.select("chunk", F.concat(F.array(F.lit(bos)), F.flatten(F.transform("x", lambda p: p["p"])), F.array(F.lit(eos))).alias("tokens"))
 
 
+def padded(sequences: DataFrame, batch: str, tokens: str, fill: int = 0) -> DataFrame:
+    """The sequences of each batch filled up to its longest one, with ``mask``: what is a token."""
+    longest = sequences.groupBy(batch).agg(F.max(F.size(tokens)).alias("__n"))
+    joined = sequences.join(longest, batch)
+    missing = F.col("__n") - F.size(tokens)
+    mask = F.concat(F.array_repeat(F.lit(True), F.size(tokens)), F.array_repeat(F.lit(False), missing))
+    return joined.withColumn("mask", mask).withColumn(tokens, F.concat(tokens, F.array_repeat(F.lit(fill), missing))).drop("__n")
+
+
 def remap_pairs(spark, source_size: int, source_boi: int, source_eos: int) -> DataFrame:
     """(source, target): ids of an older vocabulary without cues in this layout."""
     same = spark.range(0, LAYOUT.conflict + LAYOUT.conflicts).select(F.col("id").cast("int").alias("source"), F.col("id").cast("int").alias("target")).where(~F.col("source").isin(source_boi, source_eos) & (F.col("source") < source_size))
