@@ -89,15 +89,20 @@ def with_verdict(wins: DataFrame, references: int = 15, min_references: int = 8,
 def sampled(kept: DataFrame, seed: int = 42, test_fraction: float = 0.2, cap: int = 16) -> DataFrame:
     """Of each test user the latest window, of each train user the ``cap`` windows (0: all) with the
     lowest hashed priority; ties by run and start. Adds split_name."""
+    test = F.col("split_name") == "test"
     labelled = kept.withColumn("split_name", hashing.split_of(F.col("user"), seed, test_fraction))
-    latest = labelled.where("split_name = 'test'").groupBy("user", "split_name").agg(F.max(F.struct("run_index", "start_index", "end_ts", "items")).alias("w"))
-    test = latest.select("user", "w.run_index", "w.start_index", "w.end_ts", "w.items", "split_name")
-    train = labelled.where("split_name = 'train'").select(test.columns)
-    if cap:
-        priority = hashing.window_priority(F.col("user"), F.col("run_index"), F.col("start_index"), seed)
-        lowest = F.row_number().over(Window.partitionBy("user").orderBy("priority", "run_index", "start_index"))
-        train = train.withColumn("priority", priority).withColumn("place", lowest).where(F.col("place") <= cap).select(test.columns)
-    return test.unionByName(train)
+    # one ranking serves both: test users by latest run and start, train users by priority
+    priority = F.when(test, "").otherwise(hashing.window_priority(F.col("user"), F.col("run_index"), F.col("start_index"), seed))
+    turned = [F.when(test, -F.col(c)).otherwise(F.col(c)).alias(f"by_{c}") for c in ("run_index", "start_index")]
+    ranked = labelled.select("*", priority.alias("priority"), *turned)
+    place = F.row_number().over(Window.partitionBy("user").orderBy("priority", "by_run_index", "by_start_index"))
+    if not cap:
+        latest = ranked.where(test).withColumn("place", place).where("place <= 1")
+        chosen = latest.unionByName(ranked.where(~test).withColumn("place", F.lit(1)))
+    else:
+        # the literal bound lets Spark cut each user's rows before the shuffle
+        chosen = ranked.withColumn("place", place).where(F.col("place") <= cap).where(~test | (F.col("place") == 1))
+    return chosen.select("user", "run_index", "start_index", "end_ts", "items", "split_name")
 
 
 def record_lines(chosen: DataFrame, seed: int = 42, prefix: str = "m4a") -> DataFrame:
