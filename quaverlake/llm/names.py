@@ -13,17 +13,17 @@ PLACEHOLDERS = frozenset({"various artists", "various artist", "various", "va",
 
 # Short forms of English given names, and the names they may stand for.
 NICKNAMES = {
-    "abby": "abigail", "al": "albert alan alfred", "alex": "alexander alexandra", "andy": "andrew andreas", "angie": "angela", "annie": "anne anna anneke", "art": "arthur arturo",
-    "barb": "barbara", "bart": "bartholomew", "bas": "sebastian", "bea": "beatrice", "becky": "rebecca", "ben": "benjamin", "bernie": "bernard", "bert": "albert robert", "beth": "elizabeth", "betsy": "elizabeth", "betty": "elizabeth",
-    "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "carrie": "caroline", "cathy": "catherine katharine", "charlie": "charles charlotte", "chris": "christopher christine", "chuck": "charles",
-    "dan": "daniel", "danny": "daniel", "dave": "david", "deb": "deborah", "debbie": "deborah", "dick": "richard", "dom": "dominic", "don": "donald", "dora": "dorothy theodora", "dot": "dorothy", "ed": "edward edwin", "eddie": "edward", "ellie": "eleanor", "ernie": "ernest", "flo": "florence",
-    "fran": "francesca frances", "frank": "francis franklin", "frankie": "francesca francis", "fred": "frederick alfred", "freddie": "frederick", "gabe": "gabriel", "gene": "eugene", "gerry": "gerald", "ginny": "virginia genevieve", "greg": "gregory", "gus": "gustav augustus",
-    "hank": "henry", "harry": "harold henry", "izzy": "isabella", "jack": "john", "jake": "jacob", "jamie": "james", "jen": "jennifer", "jenny": "jennifer", "jerry": "gerald jeremy", "jim": "james", "jimmy": "james", "jo": "joanna josephine", "joe": "joseph", "jon": "jonathan", "josie": "josephine", "judy": "judith", "jules": "julian",
-    "kate": "katharine catherine", "katie": "katharine catherine", "kathy": "katharine catherine", "ken": "kenneth", "kenny": "kenneth", "kit": "christopher", "larry": "laurence lawrence", "len": "leonard", "lenny": "leonard", "leo": "leonard", "lettie": "leticia", "lil": "lillian", "lily": "lillian", "liz": "elizabeth", "lizzie": "elizabeth",
-    "maggie": "margaret", "mandy": "amanda", "marty": "martin", "matt": "matthew", "max": "maximilian", "meg": "margaret", "mick": "michael", "mike": "michael", "mimi": "miriam", "molly": "mary", "nat": "nathaniel", "nate": "nathaniel", "ned": "edward", "nell": "eleanor helen", "nick": "nicholas", "nicky": "nicholas",
-    "ollie": "oliver", "pam": "pamela", "pat": "patricia patrick", "patty": "patricia", "paula": "paulina", "peggy": "margaret", "pete": "peter", "phil": "philip", "pip": "philippa", "raf": "rafael", "ray": "raymond", "rich": "richard", "richie": "richard", "rick": "richard", "rob": "robert", "robbie": "robert", "ron": "ronald", "rosie": "rosalind", "roz": "rosalind",
-    "sally": "sarah", "sam": "samuel samantha", "sandy": "sandra alexander", "seb": "sebastian", "sophie": "sofia", "steve": "stephen steven", "sue": "susan susanna", "susie": "susanna", "tammy": "tamara", "ted": "theodore edward", "terry": "terence theresa", "tess": "theresa", "theo": "theodore", "tilly": "matilda", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "tony": "anthony", "tory": "victoria",
-    "val": "valentina valerie", "vic": "victor", "vicky": "victoria", "vince": "vincent", "viv": "vivian", "wally": "walter", "walt": "walter", "will": "william",
+    "abby": "abigail", "al": "albert alan alfred", "alex": "alexander alexandra", "andy": "andrew andreas", "angie": "angela", "annie": "anne anna anneke", "art": "arthur arturo", "babs": "barbara",
+    "barb": "barbara", "bart": "bartholomew", "bas": "sebastian", "bea": "beatrice", "becky": "rebecca", "bella": "isabella", "ben": "benjamin", "bernie": "bernard", "bert": "albert robert", "beth": "elizabeth", "betsy": "elizabeth", "betty": "elizabeth",
+    "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "carrie": "caroline", "cat": "catherine katharine", "cathy": "catherine katharine", "charlie": "charles charlotte", "chris": "christopher christine", "chuck": "charles",
+    "dan": "daniel", "danny": "daniel", "dave": "david", "deb": "deborah", "debbie": "deborah", "dick": "richard", "dolly": "dorothy", "dom": "dominic", "don": "donald", "dora": "dorothy theodora", "dot": "dorothy", "ed": "edward edwin", "eddie": "edward", "ellie": "eleanor", "ernie": "ernest", "flo": "florence", "flossie": "florence",
+    "fran": "francesca frances", "frank": "francis franklin", "frankie": "francesca francis", "fritz": "frederick", "fred": "frederick alfred", "freddie": "frederick", "gabe": "gabriel", "gabby": "gabriel", "gene": "eugene", "gerry": "gerald", "ginny": "virginia genevieve", "greg": "gregory", "gus": "gustav augustus",
+    "hal": "harold henry", "hank": "henry", "harry": "harold henry", "izzy": "isabella", "jack": "john", "jake": "jacob", "jamie": "james", "jen": "jennifer", "jenny": "jennifer", "jerry": "gerald jeremy", "jim": "james", "jimmy": "james", "jo": "joanna josephine", "joe": "joseph", "jon": "jonathan", "josie": "josephine", "judy": "judith", "jules": "julian",
+    "kat": "katharine catherine", "kate": "katharine catherine", "katie": "katharine catherine", "kathy": "katharine catherine", "ken": "kenneth", "kenny": "kenneth", "kit": "christopher", "kitty": "katharine catherine", "larry": "laurence lawrence", "len": "leonard", "lenny": "leonard", "leo": "leonard", "lettie": "leticia", "lil": "lillian", "lily": "lillian", "liz": "elizabeth", "lizzie": "elizabeth",
+    "maggie": "margaret", "mandy": "amanda", "marge": "margaret", "marty": "martin", "matt": "matthew", "max": "maximilian", "meg": "margaret", "mick": "michael", "mike": "michael", "mimi": "miriam", "molly": "mary", "nat": "nathaniel", "nate": "nathaniel", "ned": "edward", "nell": "eleanor helen", "nick": "nicholas", "nicky": "nicholas",
+    "ollie": "oliver", "ozzie": "oscar", "pam": "pamela", "pat": "patricia patrick", "patty": "patricia", "paula": "paulina", "peggy": "margaret", "pete": "peter", "phil": "philip", "pip": "philippa", "raf": "rafael", "ray": "raymond", "rich": "richard", "richie": "richard", "rick": "richard", "ricky": "richard", "rob": "robert", "robbie": "robert", "ron": "ronald", "rosie": "rosalind", "roz": "rosalind",
+    "sally": "sarah", "sam": "samuel samantha", "sammy": "samuel", "sasha": "alexander alexandra", "sandy": "sandra alexander", "seb": "sebastian", "sophie": "sofia", "steve": "stephen steven", "stevie": "stephen steven", "sue": "susan susanna", "susie": "susanna", "tammy": "tamara", "ted": "theodore edward", "terry": "terence theresa", "tess": "theresa", "theo": "theodore", "tilly": "matilda", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "tony": "anthony", "tory": "victoria", "trish": "patricia",
+    "val": "valentina valerie", "vic": "victor", "vicky": "victoria", "vince": "vincent", "vinnie": "vincent", "viv": "vivian", "wally": "walter", "walt": "walter", "will": "william", "xander": "alexander",
 }
 
 # Abbreviations of words in the names of groups.

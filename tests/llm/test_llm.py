@@ -161,7 +161,7 @@ def test_an_initial_of_two_people_links_to_neither(spark):
 # 5. vectors
 
 
-def test_vectors_reach_the_exact_neighbours(spark):
+def test_vectors_reach_the_exact_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))
     x = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16)) * 0.4
@@ -182,6 +182,10 @@ def test_vectors_reach_the_exact_neighbours(spark):
         hits += len({f"v{j:04d}" for j in np.lexsort((np.arange(3000), -score))[:5]} & got[f"v{i:04d}"])
     assert set(got) == {f"v{i:04d}" for i in range(380, 500)} and all(len(v) == 5 for v in got.values())
     assert hits >= 0.99 * 600
+    whole = rows(vectors.most_similar(df, probes, "id", "emb", k=5, dims=16, sample=1000), "query_id", "neighbour_id")
+    monkeypatch.setattr(vectors, "QUERIES", 30)
+    monkeypatch.setattr(vectors, "TOGETHER", 7)
+    assert rows(vectors.most_similar(df, probes, "id", "emb", k=5, dims=16, sample=1000), "query_id", "neighbour_id") == whole
     assert vectors.most_similar(df.limit(0), probes, "id", "emb", dims=16).count() == 0
     assert vectors.most_similar(df, probes.limit(0), "id", "emb", dims=16).count() == 0
 
