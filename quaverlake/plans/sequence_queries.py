@@ -234,7 +234,7 @@ SELECT left_id, right_id, 'strict' AS match_type FROM s UNION ALL SELECT left_id
         "seq_windows": WINDOWS
         + f""", chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY run_index DESC, start_index DESC) AS latest, row_number() OVER (PARTITION BY "user" ORDER BY substr(sha256('window' || chr(0) || '42' || chr(0) || "user" || chr(0) || run_index || chr(0) || start_index), 1, 16), run_index, start_index) AS place FROM split) WHERE (split_name = 'test' AND latest = 1) OR (split_name = 'train' AND place <= 16))
 SELECT split_name, {record} AS record_id, {record} || ',' || array_to_string(items, ',') AS line FROM chosen""",
-        "seq_window_stats": WINDOWS + ' SELECT verdict, count(*) AS windows, count(DISTINCT "user") AS users, min(unique_references) AS least_references, max(unique_targets) AS most_targets FROM judged GROUP BY verdict',
+        "seq_window_stats": WINDOWS + ' SELECT verdict, count(*) AS windows, count(DISTINCT "user") AS users, min(unique_references)::INT AS least_references, max(unique_targets)::INT AS most_targets FROM judged GROUP BY verdict',
         "seq_repeats": WINDOWS
         + """, n AS (SELECT items, len(list_filter(items[16:20], lambda x: list_contains(items[1:15], x))) AS again, unique_targets FROM kept)
 SELECT coalesce(sum((len(list_distinct(items)) < 20)::INT), 0)::BIGINT AS windows_with_repeat, coalesce(sum((again > 0)::INT), 0)::BIGINT AS windows_with_overlap, coalesce(sum(again), 0)::BIGINT AS overlapping_targets, coalesce(sum((unique_targets < 5)::INT), 0)::BIGINT AS windows_with_equal_targets FROM n""",
