@@ -171,16 +171,18 @@ def _report(tokens: DataFrame, chosen: DataFrame, shares: dict[str, float], tota
     return joined.select("source", "target_share", share.alias("actual_share"), zero("available"), zero("used"), F.lit(total).cast("long").alias("total"), zero("documents"), zero("most_uses"))
 
 
-def mix_by_temperature(documents: DataFrame, targets: DataFrame, entropy_of_targets: bool = True, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42) -> DataFrame:
+def mix_by_temperature(documents: DataFrame, targets: DataFrame, entropy_of_targets: bool = True, budget: float = 1.0, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42) -> DataFrame:
     """The report of a mixture by temperature over the sources of ``targets``: the exponent is
     bisected to the entropy of their target shares, then raised as far as their ``max_repeats``
-    ask; with it off, the flattest mixture that the limits allow. One more column: exponent."""
+    ask; with it off, the flattest mixture that the limits allow. The total is ``budget`` times the
+    tokens of those sources; with all of them and a source that may be used once, only natural shares
+    (exponent 1) fit. One more column: exponent."""
     tokens = tokens_by_source(documents, key, text, source)
     wanted = read_targets(targets)
     repeats = {s: r for s, _, r in wanted}
     per = {r.source: r.n for r in tokens.where(F.col("source").isin(list(repeats))).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     sizes = {s: float(per.get(s, 0)) for s in repeats}
-    total = int(sum(sizes.values()))
+    total = int(sum(sizes.values()) * budget)
     start = exponent_for_entropy(sizes, entropy({s: share for s, share, _ in wanted})) if entropy_of_targets else 0.0
     exponent = exponent_for_repeats(sizes, repeats, total, start)
     shares = tempered(sizes, exponent)

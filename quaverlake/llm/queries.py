@@ -79,7 +79,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_temperature(spark: SparkSession, d: str) -> DataFrame:
-    return mix_by_temperature(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+    """Half of all tokens, as flat as the target shares are and the repetition limits allow."""
+    return mix_by_temperature(read(spark, d, "documents"), read(spark, d, "mix_targets"), budget=0.5)
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
