@@ -2,7 +2,7 @@
 
 A mixture is a budget of tokens for each source. It comes from given target shares, or by
 temperature: shares proportional to size ** exponent, with the exponent bisected to an entropy
-or to the largest one whose budgets need no document more often than allowed.
+or to the smallest one whose budgets need no document more often than allowed.
 
 A budget is realised by block permutations: the documents of a source lie in hashed blocks; a
 pass over all blocks uses each document once. Whole passes come first; the last pass takes
@@ -64,21 +64,17 @@ def exponent_for_repeats(sizes: dict[str, float], repeats: dict[str, int], total
     return hi
 
 
-def _fill(budgets: dict[str, int]):
+def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one source's last block the documents that fit into what is left, largest first."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc"], ascending=[False, True], kind="stable")
-        left = int(rows["rest"].iloc[0])
-        taken = []
-        for n in rows["n_tokens"]:
-            fits = 0 < n <= left
-            left -= n if fits else 0
-            taken.append(int(fits))
-        rows["uses"] = rows["uses"] + taken
-        return rows[["doc", "source", "n_tokens", "uses"]]
-
-    return run
+    rows = rows.sort_values(["n_tokens", "doc"], ascending=[False, True], kind="stable")
+    left = int(rows["rest"].iloc[0])
+    taken = []
+    for n in rows["n_tokens"]:
+        fits = 0 < n <= left
+        left -= n if fits else 0
+        taken.append(int(fits))
+    rows["uses"] = rows["uses"] + taken
+    return rows[["doc", "source", "n_tokens", "uses"]]
 
 
 def tokens_by_source(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -119,7 +115,7 @@ def use_documents(tokens: DataFrame, budgets: dict[str, int], repeats: dict[str,
     plain = cutoff.where("rest = 0 OR block <> edge").select("doc", "source", "n_tokens", (F.col("passes") + F.when((F.col("rest") > 0) & (F.col("block") < F.col("edge")), 1).otherwise(0)).alias("uses"))
     kind = tokens.schema["doc"].dataType.simpleString()
     last = cutoff.where("rest > 0 AND block = edge").select("doc", "source", "n_tokens", F.col("passes").alias("uses"), F.col("last").alias("rest"))
-    filled = last.groupBy("source").applyInPandas(_fill(budgets), f"doc {kind}, source string, n_tokens long, uses long")
+    filled = last.groupBy("source").applyInPandas(_fill, f"doc {kind}, source string, n_tokens long, uses long")
     return plain.unionByName(filled).where("uses > 0")
 
 
