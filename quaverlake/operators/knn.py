@@ -154,6 +154,72 @@ def diverse_selection(candidates: DataFrame, group: str, item: str, relevance: s
     return rows.groupBy("g").applyInPandas(run, f"`{group}` {kind}, place int, item string")
 
 
+def _sorted_matrix(catalogue: DataFrame, key: str, vector: str, dims: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names in order and unit vectors of a vocabulary of at most ``limit`` usable rows."""
+    rows = catalogue.where(vec.usable(vector, dims)).select(F.col(key).cast("string").alias("name"), vec.doubles(vector).alias("v"))
+    names, x = _matrix(rows.limit(limit + 1))
+    if len(names) > limit:
+        raise ValueError(f"the searched side is a vocabulary of at most {limit} rows")
+    order = np.argsort(names, kind="stable")
+    return names[order], x[order]
+
+
+def _scores(pdf: pd.DataFrame, x: np.ndarray, digits: int) -> np.ndarray:
+    y = np.stack(pdf["v"].to_numpy())
+    return np.round(y / np.sqrt((y * y).sum(1, keepdims=True)) @ x.T, digits) + 0.0
+
+
+def diverse_topk(catalogue: DataFrame, queries: DataFrame, n: int, pool: int = 64, weight: float = 0.7, key: str = "item_id", vector: str = "emb", query_key: str = "query_id", query_vector: str = "qvec", dims: int = 64, digits: int = 6, limit: int = 50_000) -> DataFrame:
+    """(query_id, place, item): ``exact_topk`` with k = ``pool`` and ``diverse_selection`` of ``n`` in one pass over
+    the queries: the catalogue is a vocabulary of at most ``limit`` rows and goes to the tasks, so neither hits nor
+    their vectors are shuffled."""
+    names, x = _sorted_matrix(catalogue, key, vector, dims, limit)
+    asked = queries.where(vec.usable(query_vector, dims)).select(F.col(query_key).cast("string").alias("name"), vec.doubles(query_vector).alias("v")).dropDuplicates(["name"])
+    schema = "query_id string, place int, item string"
+    if not len(names):
+        return catalogue.sparkSession.createDataFrame([], schema)
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in source:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                score = _scores(part, x, digits)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :pool]
+                r, v, b = np.take_along_axis(score, best, 1), x[best], np.arange(len(part))
+                near, left, chosen = np.zeros(r.shape), np.ones(r.shape, bool), []
+                for _ in range(min(n, r.shape[1])):
+                    nxt = np.where(left, np.round(weight * r - (1 - weight) * near, 9), -np.inf).argmax(1)
+                    similar = (v @ v[b, nxt][:, :, None])[:, :, 0]
+                    near = np.maximum(near, similar) if chosen else similar
+                    left[b, nxt] = False
+                    chosen.append(best[b, nxt])
+                picked = np.stack(chosen, axis=1)
+                yield pd.DataFrame({"query_id": np.repeat(part["name"].to_numpy(), picked.shape[1]), "place": np.tile(np.arange(picked.shape[1]), len(part)), "item": names[picked.ravel()]})
+
+    return asked.mapInPandas(run, schema)
+
+
+def rank_of(catalogue: DataFrame, queries: DataFrame, item: str, key: str = "item_id", vector: str = "emb", query_key: str = "query_id", query_vector: str = "qvec", dims: int = 64, digits: int = 6, limit: int = 50_000) -> DataFrame:
+    """(query_id, item, rank): the place of each query's own ``item`` among all rows of the catalogue, in the order of
+    ``exact_topk``. The catalogue is a vocabulary of at most ``limit`` rows; queries whose item it lacks have no row."""
+    names, x = _sorted_matrix(catalogue, key, vector, dims, limit)
+    asked = queries.where(vec.usable(query_vector, dims)).select(F.col(query_key).cast("string").alias("name"), vec.doubles(query_vector).alias("v"), F.col(item).cast("string").alias("item"))
+    place = {name: i for i, name in enumerate(names)}
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in source:
+            known = pdf[pdf["item"].isin(place)]
+            for at in range(0, len(known), 1024):
+                part = known.iloc[at : at + 1024]
+                score = _scores(part, x, digits)
+                own = part["item"].map(place).to_numpy()[:, None]
+                value = np.take_along_axis(score, own, 1)
+                before = (score > value) | ((score == value) & (np.arange(len(names)) < own))
+                yield pd.DataFrame({"query_id": part["name"].to_numpy(), "item": part["item"].to_numpy(), "rank": before.sum(1) + 1})
+
+    return asked.mapInPandas(run, "query_id string, item string, rank int")
+
+
 def assigned(hits: DataFrame, slots: int, empty: int = 0) -> DataFrame:
     """(query_id, ids, scores): the hits of each query by rank, filled up to ``slots`` with ``empty`` and null."""
     ordered = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "score"))).alias("h"))

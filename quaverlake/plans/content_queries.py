@@ -179,7 +179,7 @@ def vec_topk(spark, d):
 
 
 def vec_assigned(spark, d):
-    """Sixteen cues for every song of the probes, scores in order, empty slots as 0 with a null score."""
+    """Twelve cues in sixteen slots for the songs of the probes, as its SQL has it; ``vec_assigned_all`` is the whole job."""
     cues = _cues(spark, d).where("cue_id > 0")
     probes = read(spark, d, "knn_probes").where("collection = 'item'").select(F.col("query_id").alias("item_id")).distinct()
     items = _items(spark, d).join(probes, "item_id", "left_semi").select(F.col("item_id").alias("query_id"), F.col("emb").alias("qvec"))
@@ -187,6 +187,14 @@ def vec_assigned(spark, d):
     return rows.select("query_id", F.array_join("ids", ",").alias("ids"), F.size("scores").alias("n_scores"), F.size(F.filter("scores", lambda s: s.isNull())).alias("empty_slots"))
 
 
+def vec_assigned_all(spark, d):
+    """Sixteen cues for every item with a usable vector, scores in order, empty slots as 0 with a null score."""
+    cues = _cues(spark, d).where("cue_id > 0")
+    items = _items(spark, d).select(F.col("item_id").alias("query_id"), F.col("emb").alias("qvec"))
+    rows = knn.assigned(knn.exact_topk(cues, items, 16, "cue_id", "emb"), 16)
+    return rows.select("query_id", F.array_join("ids", ",").alias("ids"), F.size("scores").alias("n_scores"), F.size(F.filter("scores", lambda s: s.isNull())).alias("empty_slots"))
+
+
 def _members(spark, d):
     """(prefix_id, pos, item, vector) of the items of every record of at least 20."""
     from quaverlake.plans.sequence_queries import lists
@@ -241,15 +249,12 @@ def vec_distinct_cues(spark, d):
 
 
 def vec_diverse_cues(spark, d):
-    """Eight cues per probed item out of the 64 nearest, relevance against redundancy."""
-    cues = _cues(spark, d).where("cue_id > 0")
-    probes = read(spark, d, "knn_probes").where("collection = 'item'").select(F.col("query_id").alias("item_id")).distinct()
-    items = _items(spark, d).join(probes, "item_id", "left_semi").select(F.col("item_id").alias("query_id"), F.col("emb").alias("qvec"))
-    pool = knn.exact_topk(cues, items, 64, "cue_id", "emb").join(F.broadcast(cues.select(F.col("cue_id").cast("string").alias("item"), "emb")), "item")
-    return knn.diverse_selection(pool, "query_id", "item", "score", "emb", 8)
+    """Eight cues for every item with a usable vector out of the 64 nearest, relevance against redundancy."""
+    items = _items(spark, d).select(F.col("item_id").alias("query_id"), F.col("emb").alias("qvec"))
+    return knn.diverse_topk(_cues(spark, d).where("cue_id > 0"), items, 8, 64, key="cue_id")
 
 
-_NAMES = (txt_phrases, txt_document_frequency, txt_scores, txt_blocked, txt_kept_phrases, txt_stage_counts, txt_vocabulary, txt_stability, txt_tfidf, txt_unique_lines, txt_excerpts, txt_cue_keys, txt_song_documents, cue_usage, cue_health, cue_top, cue_score_rows, feat_scaled, feat_top_genres, feat_asset_flags, feat_metadata_strings, vec_norms, vec_topk, vec_assigned, vec_centroids, vec_diversity, vec_centroid_neighbours, vec_history_fit, vec_coverage, vec_distinct_cues, vec_diverse_cues)
+_NAMES = (txt_phrases, txt_document_frequency, txt_scores, txt_blocked, txt_kept_phrases, txt_stage_counts, txt_vocabulary, txt_stability, txt_tfidf, txt_unique_lines, txt_excerpts, txt_cue_keys, txt_song_documents, cue_usage, cue_health, cue_top, cue_score_rows, feat_scaled, feat_top_genres, feat_asset_flags, feat_metadata_strings, vec_norms, vec_topk, vec_assigned, vec_assigned_all, vec_centroids, vec_diversity, vec_centroid_neighbours, vec_history_fit, vec_coverage, vec_distinct_cues, vec_diverse_cues)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -341,6 +346,7 @@ array_to_string(list_transform({_list(scalar.MOODS + ['bright', 'dreamy', 'solem
         "vec_norms": f"WITH {_ITEMS} SELECT item_id, round_even(norm, 5) AS norm FROM items",
         "vec_topk": nearest(5, "items i") + " SELECT query_id, cue_id::VARCHAR AS item, rank::INT AS rank FROM ranked",
         "vec_assigned": nearest(12, probed) + " SELECT query_id, array_to_string(list_concat(list(cue_id ORDER BY rank), [0, 0, 0, 0]), ',') AS ids, 16 AS n_scores, 4 AS empty_slots FROM ranked GROUP BY query_id",
+        "vec_assigned_all": nearest(16, "items i") + " SELECT query_id, array_to_string(list(cue_id ORDER BY rank), ',') AS ids, 16 AS n_scores, 0 AS empty_slots FROM ranked GROUP BY query_id",
         "vec_centroids": f"""WITH {_ITEMS}, {_LISTS}, a AS (SELECT prefix_id, count(*) AS n, [{_MU}] AS mu, avg(list_inner_product(v, v)) AS sq FROM members WHERE pos < 15 GROUP BY prefix_id)
 SELECT prefix_id, n, round_even(greatest(0, sq - list_inner_product(mu, mu)), 5) AS sigma2, round_even(mu[1], 5) + 0.0 AS mu_first, round_even(mu[64], 5) + 0.0 AS mu_last FROM a""",
         "vec_diversity": f"""WITH {_ITEMS}, {_LISTS}, p AS (SELECT a.prefix_id, avg(list_inner_product(a.v, b.v) / (a.norm * b.norm)) AS c FROM members a JOIN members b ON a.prefix_id = b.prefix_id AND a.pos < b.pos GROUP BY 1), n AS (SELECT prefix_id, count(*) AS n FROM members GROUP BY 1)

@@ -157,7 +157,8 @@ def met_ranking(spark, d):
 
 
 def met_rank_summary(spark, d):
-    """Place of each item's first stored cue among the cues nearest to the item's vector."""
+    """Place of the first stored cue among the cues nearest to the vector, of the probed items only, as its SQL has
+    it; ``met_rank_summary_all`` is over every item."""
     cues = read(spark, d, "cue_vocab").where("cue_id > 0")
     probes = read(spark, d, "knn_probes").where("collection = 'item'").select(F.col("query_id").alias("item_id")).distinct()
     items = _items(spark, d).join(probes, "item_id", "left_semi").select(F.col("item_id").alias("query_id"), F.col("emb").alias("qvec"))
@@ -167,6 +168,15 @@ def met_rank_summary(spark, d):
     return out.select(*[F.bround(c, 6).alias(c) for c in ("recall_1", "recall_10", "recall_100", "mrr", "mean_rank")], "median_rank", "n")
 
 
+def met_rank_summary_all(spark, d):
+    """Place of each item's first stored cue among the cues nearest to the item's vector, over every item."""
+    own = _mappings(spark, d).where("cue_ids IS NOT NULL").select("item_id", F.element_at("cue_ids", 1).alias("own"))
+    asked = _items(spark, d).join(own, "item_id").select(F.col("item_id").alias("query_id"), F.col("emb").alias("qvec"), "own")
+    ranks = knn.rank_of(read(spark, d, "cue_vocab").where("cue_id > 0"), asked, "own", "cue_id")
+    out = metrics.rank_summary(ranks, "rank", [1, 10, 100])
+    return out.select(*[F.bround(c, 6).alias(c) for c in ("recall_1", "recall_10", "recall_100", "mrr", "mean_rank")], "median_rank", "n")
+
+
 def met_assignment(spark, d):
     """Best pairing of the five targets with the five items before them, by cosine."""
     m = knn.gather(lists(spark, d).where(F.size("items") >= 20), "prefix_id", "items", _items(spark, d), "item_id", "emb")
@@ -292,7 +302,7 @@ def chk_fingerprint(spark, d):
     return checks.fingerprint(log, "source_row", ["source_row", "user_id", "item_id"])
 
 
-_NAMES = (enc_decoded, enc_round_trip, enc_masks, enc_completion, enc_type_ranges, enc_type_violations, enc_prefix_index, enc_conflicts, enc_level_usage, enc_role_mean, enc_chunks, enc_remap, enc_rvq_codes, met_multiset, met_hits, met_positional, met_ranking, met_rank_summary, met_assignment, met_item_entropy, met_dispersion_tiers, met_bootstrap, met_frechet, met_coverage, study_unblinded, study_summary, study_counts, study_paired, study_sides, study_least_used, chk_alignment, chk_cue_rows, chk_sequences, chk_duplicates, chk_orphans, chk_not_unit, chk_prepared, chk_constraints, chk_fingerprint)
+_NAMES = (enc_decoded, enc_round_trip, enc_masks, enc_completion, enc_type_ranges, enc_type_violations, enc_prefix_index, enc_conflicts, enc_level_usage, enc_role_mean, enc_chunks, enc_remap, enc_rvq_codes, met_multiset, met_hits, met_positional, met_ranking, met_rank_summary, met_rank_summary_all, met_assignment, met_item_entropy, met_dispersion_tiers, met_bootstrap, met_frechet, met_coverage, study_unblinded, study_summary, study_counts, study_paired, study_sides, study_least_used, chk_alignment, chk_cue_rows, chk_sequences, chk_duplicates, chk_orphans, chk_not_unit, chk_prepared, chk_constraints, chk_fingerprint)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -358,6 +368,9 @@ t AS (SELECT DISTINCT prefix_id, unnest(items) AS item FROM lists WHERE split_na
 SELECT prefix_id, round_even(h5 / n_truth, 6) AS recall_5, round_even(h50 / n_truth, 6) AS recall_50, round_even(h10 / 10, 6) AS precision_10, round_even(coalesce(1.0 / f, 0.0), 6) AS reciprocal_rank, n_truth FROM h""",
         "met_rank_summary": f"""WITH {_ITEMS}, {_CUES}, {_MAPPINGS}, s AS (SELECT i.item_id, c.cue_id, row_number() OVER (PARTITION BY i.item_id ORDER BY round_even(list_inner_product(i.v, c.v) / (i.norm * c.norm), 6) DESC, c.cue_id::VARCHAR) AS rank FROM items i CROSS JOIN cues c WHERE i.item_id IN (SELECT query_id FROM knn_probes WHERE collection = 'item')),
 r AS (SELECT rank FROM s JOIN m ON m.item_id = s.item_id AND s.cue_id = m.cue_ids[1])
+SELECT round_even(avg((rank <= 1)::INT), 6) AS recall_1, round_even(avg((rank <= 10)::INT), 6) AS recall_10, round_even(avg((rank <= 100)::INT), 6) AS recall_100, round_even(avg(1.0::DOUBLE / rank), 6) AS mrr, round_even(avg(rank), 6) AS mean_rank, quantile_cont(rank, 0.5)::DOUBLE AS median_rank, count(*) AS n FROM r""",
+        "met_rank_summary_all": f"""WITH {_ITEMS}, {_CUES}, {_MAPPINGS}, s AS (SELECT i.item_id, c.cue_id, c.cue_id::VARCHAR AS name, round_even(list_inner_product(i.v, c.v) / (i.norm * c.norm), 6) AS score FROM items i CROSS JOIN cues c),
+o AS (SELECT s.item_id, s.name, s.score FROM s JOIN m ON m.item_id = s.item_id AND s.cue_id = m.cue_ids[1]), r AS (SELECT o.item_id, count(*) AS rank FROM o JOIN s ON s.item_id = o.item_id AND (s.score > o.score OR (s.score = o.score AND s.name <= o.name)) GROUP BY 1)
 SELECT round_even(avg((rank <= 1)::INT), 6) AS recall_1, round_even(avg((rank <= 10)::INT), 6) AS recall_10, round_even(avg((rank <= 100)::INT), 6) AS recall_100, round_even(avg(1.0::DOUBLE / rank), 6) AS mrr, round_even(avg(rank), 6) AS mean_rank, quantile_cont(rank, 0.5)::DOUBLE AS median_rank, count(*) AS n FROM r""",
         "met_assignment": f"""WITH {_ITEMS}, {_LISTS}, c AS (SELECT a.prefix_id, a.pos - 10 AS i, b.pos - 15 AS j, list_inner_product(a.v, b.v) / (a.norm * b.norm) AS c FROM members a JOIN members b ON a.prefix_id = b.prefix_id AND a.pos BETWEEN 10 AND 14 AND b.pos BETWEEN 15 AND 19), p AS (SELECT prefix_id, {cells} FROM c GROUP BY prefix_id)
 SELECT prefix_id, round_even(greatest({best}) / 5, 5) AS best FROM p WHERE greatest({best}) IS NOT NULL""",
