@@ -160,13 +160,21 @@ def feat_asset_flags(spark, d):
 
 
 def feat_metadata_strings(spark, d):
-    """Metadata strings made from the catalogue and parsed again."""
+    """Metadata strings of names of letters and spaces, as its SQL has them, parsed again;
+    ``feat_metadata_strings_all`` is of every item."""
     c = read(spark, d, "catalog_items").where("item_id IS NOT NULL").groupBy("item_id").agg(F.max(F.struct("title", "artist", "album")).alias("r")).select("item_id", "r.*")
     ok = c.where(F.col("title").rlike("^[A-Za-z ]+$") & F.col("artist").rlike("^[A-Za-z ]+$") & F.col("album").rlike("^[A-Za-z ]+$"))
     raw = ok.select("item_id", F.concat(F.lit("'"), "title", F.lit("' by "), "artist", F.lit(" in album'"), "album", F.lit("'")).alias("raw"))
     return raw.select("item_id", *readers.metadata(F.col("raw")))
 
 
+def feat_metadata_strings_all(spark, d):
+    """Metadata strings made from every item with title, artist and album and parsed again."""
+    c = read(spark, d, "catalog_items").where("item_id IS NOT NULL").groupBy("item_id").agg(F.max(F.struct("title", "artist", "album")).alias("r")).select("item_id", "r.*")
+    raw = c.select("item_id", F.concat(F.lit("'"), "title", F.lit("' by "), "artist", F.lit(" in album'"), "album", F.lit("'")).alias("raw")).where("raw IS NOT NULL")
+    return raw.select("item_id", *readers.metadata(F.col("raw")))
+
+
 def vec_norms(spark, d):
     return _items(spark, d).select("item_id", F.bround(vec.norm("emb"), 5).alias("norm"))
 
@@ -254,7 +262,7 @@ def vec_diverse_cues(spark, d):
     return knn.diverse_topk(_cues(spark, d).where("cue_id > 0"), items, 8, 64, key="cue_id")
 
 
-_NAMES = (txt_phrases, txt_document_frequency, txt_scores, txt_blocked, txt_kept_phrases, txt_stage_counts, txt_vocabulary, txt_stability, txt_tfidf, txt_unique_lines, txt_excerpts, txt_cue_keys, txt_song_documents, cue_usage, cue_health, cue_top, cue_score_rows, feat_scaled, feat_top_genres, feat_asset_flags, feat_metadata_strings, vec_norms, vec_topk, vec_assigned, vec_assigned_all, vec_centroids, vec_diversity, vec_centroid_neighbours, vec_history_fit, vec_coverage, vec_distinct_cues, vec_diverse_cues)
+_NAMES = (txt_phrases, txt_document_frequency, txt_scores, txt_blocked, txt_kept_phrases, txt_stage_counts, txt_vocabulary, txt_stability, txt_tfidf, txt_unique_lines, txt_excerpts, txt_cue_keys, txt_song_documents, cue_usage, cue_health, cue_top, cue_score_rows, feat_scaled, feat_top_genres, feat_asset_flags, feat_metadata_strings, feat_metadata_strings_all, vec_norms, vec_topk, vec_assigned, vec_assigned_all, vec_centroids, vec_diversity, vec_centroid_neighbours, vec_history_fit, vec_coverage, vec_distinct_cues, vec_diverse_cues)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -137,19 +137,20 @@ def cur_id_sets(spark, d):
 
 
 def _catalogue(spark, d):
-    """One row per item, text in ASCII letters, digits and signs only where it is matched against SQL."""
+    """One row per item."""
     raw = read(spark, d, "catalog_items")
     return raw.where("item_id IS NOT NULL").groupBy("item_id").agg(F.max(F.struct("artist", "title", "album")).alias("r")).select("item_id", "r.*")
 
 
 def match_keys(spark, d):
-    """Match keys of the titles, folded to ASCII first in the JVM by translation of the accents in use."""
+    """Match keys of the titles in ASCII, as its SQL has them; ``match_keys_all`` is of every title."""
     c = _catalogue(spark, d)
     return c.where(F.col("title").rlike(r"^[\x20-\x7e]+$")).select("item_id", text.match_key("title", True).alias("strict_key"), text.match_key(text.base_title("title"), True).alias("relaxed_key"))
 
 
 def match_cascade(spark, d):
-    """Items matched to albums by the same artist: titles that also name an album."""
+    """Items in ASCII matched to those with an album by artist and title, as its SQL has it; ``match_cascade_all`` is
+    the match to albums, over every item."""
     c = _catalogue(spark, d).where(F.col("title").rlike(r"^[\x20-\x7e]+$") & F.col("artist").rlike(r"^[\x20-\x7e]+$"))
     left = cut(matching.keyed(c, "item_id", "artist", "title", True))
     albums = c.where(F.col("album").rlike(r"^[\x20-\x7e]+$"))
@@ -157,6 +158,21 @@ def match_cascade(spark, d):
     return matching.cascade(left, right)
 
 
+def match_keys_all(spark, d):
+    """Match keys of every title, folded to ASCII."""
+    return _catalogue(spark, d).where("title IS NOT NULL").select("item_id", text.match_key("title").alias("strict_key"), text.match_key(text.base_title("title")).alias("relaxed_key"))
+
+
+def match_cascade_all(spark, d):
+    """Every item with the album by the same artist that its title also names, or none. An album is a name of an
+    artist, and has the id of its smallest item."""
+    c = _catalogue(spark, d)
+    albums = c.where("artist IS NOT NULL AND album IS NOT NULL").groupBy("artist", "album").agg(F.concat(F.lit("a"), F.min("item_id")).alias("id"))
+    left = cut(matching.keyed(c, "item_id", "artist", "title"))
+    found = matching.cascade(left, cut(matching.keyed(albums, "id", "artist", "album")))
+    return left.select(F.col("id").alias("left_id")).join(found, "left_id", "left")
+
+
 def match_not_one_to_one(spark, d):
     """Feature numbers of several items, and items of several numbers."""
     c = read(spark, d, "catalog_items").where("feature_index >= 0 AND item_id IS NOT NULL").select("item_id", "feature_index").distinct()
@@ -170,7 +186,7 @@ def match_gathered(spark, d):
     return rows.groupBy("prefix_id").agg(F.count("*").alias("found"), F.min("pos").alias("first_pos"), F.sum("value").alias("row_sum"))
 
 
-_NAMES = (seq_windows, seq_window_stats, seq_repeats, seq_caps, seq_windows_per_user, seq_gap_audit, seq_interactions, seq_users_at_least, seq_file_order, seq_user_splits, seq_rolling, seq_first_window, seq_transitions, seq_duplicate_surplus, seq_split_index, cur_frequency, cur_fixpoint, cur_card, cur_splits, cur_available, cur_missing_ids, cur_id_sets, match_keys, match_cascade, match_not_one_to_one, match_gathered)
+_NAMES = (seq_windows, seq_window_stats, seq_repeats, seq_caps, seq_windows_per_user, seq_gap_audit, seq_interactions, seq_users_at_least, seq_file_order, seq_user_splits, seq_rolling, seq_first_window, seq_transitions, seq_duplicate_surplus, seq_split_index, cur_frequency, cur_fixpoint, cur_card, cur_splits, cur_available, cur_missing_ids, cur_id_sets, match_keys, match_cascade, match_keys_all, match_cascade_all, match_not_one_to_one, match_gathered)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -85,10 +85,10 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def metadata(raw: Column) -> list[Column]:
     """title, artist and album of a string ``'T' by A in album'X'``; any other string is the title."""
-    pattern = r"^'(.+?)'\s+by\s+(.+?)\s+in\s+album'(.+?)'$"
+    pattern = r"(?Ud)^'(.+?)'\s+by\s+(.+?)\s+in\s+album'(.+?)'$"
     fits = raw.rlike(pattern)
     part = lambda i: F.when(fits, F.regexp_extract(raw, pattern, i))
-    return [F.coalesce(part(1), F.regexp_replace(raw, "^'+|'+$", "")).alias("title"), part(2).alias("artist"), part(3).alias("album")]
+    return [F.coalesce(part(1), F.regexp_replace(raw, r"^'+|'+\z", "")).alias("title"), part(2).alias("artist"), part(3).alias("album")]
 
 
 def row_order(spark: SparkSession, path: str) -> DataFrame:

@@ -1,10 +1,15 @@
 """Queries that do a job over all rows, against brute force."""
 
+import re
+import unicodedata
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from quaverlake.functions import text
 from quaverlake.operators import knn
-from quaverlake.plans import content_queries, model_queries
+from quaverlake.plans import content_queries, model_queries, sequence_queries
 from quaverlake.session import read
 from tests.support import DATA, rows
 
@@ -52,3 +57,82 @@ def test_few_cues_leave_empty_slots(spark):
     assert all(r.scores[2:] == [None, None] and r.scores[0] >= r.scores[1] for r in got.values())
     assert rows(knn.diverse_topk(cues, items, 8, key="cue_id", dims=2)) == [("a", 0, "1"), ("a", 1, "2"), ("b", 0, "2"), ("b", 1, "1")]
     assert rows(knn.rank_of(cues, items.withColumn("own", F.lit(2)), "own", "cue_id", dims=2)) == [("a", "2", 2), ("b", "2", 1)]
+
+
+ODD = [
+    ("i1", "Café (Remastered 2011)", "Beyoncé & Jay‐Z", "Déjà Vu"),
+    ("i2", "Déjà\u00a0Vu — Live in Köln", "BEYONCÉ and JayZ", "Ça ira"),
+    ("i3", "ﬁne ｆｅａｔ. X\u2028y", "M.G.'s", "It's (Live) ' by ' us"),
+    ("i4", "Éfeat. one feat.\u00a0two", "Ωmega", "東京"),
+    ("i5", "'Quoted' by someone in album'X'", "Nina O'Neil", "D'or"),
+    ("i6", "Ça Ira", "beyonce and jayz", None),
+    ("i7", None, "a", "b"),
+    ("i8", "A.B.C. d.e, x.y", "", "b"),
+]
+
+
+@pytest.fixture(scope="module")
+def catalogues(spark, tmp_path_factory):
+    """The stored catalogue and one with rows beyond ASCII, each with its rows."""
+    folder = tmp_path_factory.mktemp("odd")
+    spark.createDataFrame(ODD, "item_id string, title string, artist string, album string").write.parquet(f"{folder}/catalog_items.parquet")
+    found = {}
+    for d in (str(DATA / "sf0.01"), str(folder)):
+        found[d] = [(r.item_id, r.title, r.artist, r.album) for r in sequence_queries._catalogue(spark, d).collect()]
+    return found
+
+
+def _key(value):
+    x = unicodedata.normalize("NFKD", value or "").encode("ascii", "ignore").decode().casefold().replace("&", " and ")
+    x = re.sub(r"\b(?:[a-z]\.){2,}[a-z]?\.?", lambda m: m.group(0).replace(".", ""), x)
+    return " ".join(re.sub(r"[^a-z0-9]+", " ", re.sub(r"(?<=\w)[.'](?=\w)", "", x)).split())
+
+
+def _relaxed(value):
+    x = re.sub(rf"[\[(](?:[^\])]*(?:{text.VERSION_WORDS})[^\])]*)[\])]", " ", value or "", flags=re.I)
+    x = re.sub(rf"\s+(?:-|–|—)\s+.*(?:{text.VERSION_WORDS}).*$", " ", x, flags=re.I)
+    return _key(re.sub(r"\b(?:feat|ft)\.?\s+.*$", " ", x, flags=re.I))
+
+
+def test_keys_of_every_title(spark, catalogues):
+    for d, items in catalogues.items():
+        got = {r.item_id: (r.strict_key, r.relaxed_key) for r in sequence_queries.match_keys_all(spark, d).collect()}
+        assert got == {k: (_key(t), _relaxed(t)) for k, t, _, _ in items if t is not None}
+
+
+def test_every_title_is_matched_to_albums(spark, catalogues):
+    def once(table, of):
+        by = {}
+        for k, a, t in table:
+            if _key(a) and of(t):
+                by.setdefault((_key(a), of(t)), []).append(k)
+        return {key: ids[0] for key, ids in by.items() if len(ids) == 1}
+
+    total = 0
+    for d, items in catalogues.items():
+        albums = {}
+        for k, _, a, b in items:
+            if a is not None and b is not None:
+                albums[a, b] = min(k, albums.get((a, b), k))
+        left, right, expected = [(k, a, t) for k, t, a, _ in items], [("a" + k, a, b) for (a, b), k in albums.items()], set()
+        for of, kind in ((_key, "strict"), (_relaxed, "relaxed-version")):
+            x, y = once(left, of), once(right, of)
+            hits = {(x[key], y[key], kind) for key in x.keys() & y.keys()}
+            expected |= hits
+            left, right = [r for r in left if r[0] not in {h[0] for h in hits}], [r for r in right if r[0] not in {h[1] for h in hits}]
+        got = sequence_queries.match_cascade_all(spark, d).collect()
+        assert {tuple(r) for r in got if r.right_id} == expected and sorted(r.left_id for r in got) == sorted(k for k, *_ in items)
+        total += len(expected)
+    assert total >= 2
+
+
+def test_metadata_strings_of_every_item(spark, catalogues):
+    for d, items in catalogues.items():
+        expected = {}
+        for k, t, a, b in items:
+            if None not in (t, a, b):
+                raw = f"'{t}' by {a} in album'{b}'"
+                m = re.match(r"'(.+?)'\s+by\s+(.+?)\s+in\s+album'(.+?)'$", raw)
+                expected[k] = m.groups() if m else (raw.strip("'"), None, None)
+        got = {r.item_id: (r.title, r.artist, r.album) for r in content_queries.feat_metadata_strings_all(spark, d).collect()}
+        assert got == expected
