@@ -93,16 +93,27 @@ def txt_tfidf(spark, d):
 
 
 def txt_unique_lines(spark, d):
+    """Of the text's printable ASCII, as its SQL has it; ``txt_unique_lines_all`` is of the stored text."""
     rows = _docs(spark, d).where("source = 'lyric_draft' AND text IS NOT NULL")
     clean = text.unique_lines(F.regexp_replace("text", r"[^\x0a\x20-\x7e]", ""))
     return rows.select("doc_id", F.md5(clean).alias("digest"), F.length(clean).alias("n"))
 
 
+def txt_unique_lines_all(spark, d):
+    rows = _docs(spark, d).where("source = 'lyric_draft' AND text IS NOT NULL").select("doc_id", text.unique_lines("text").alias("clean"))
+    return rows.select("doc_id", F.md5("clean").alias("digest"), F.length("clean").alias("n"))
+
+
 def txt_excerpts(spark, d):
+    """Of the text's printable ASCII, as its SQL has it; ``txt_excerpts_all`` is of the stored text."""
     rows = _docs(spark, d).where("source = 'lyric_draft' AND text IS NOT NULL")
     return rows.select("doc_id", text.excerpt(F.regexp_replace("text", r"[^\x0a\x20-\x7e]", ""), 200).alias("excerpt"))
 
 
+def txt_excerpts_all(spark, d):
+    return _docs(spark, d).where("source = 'lyric_draft' AND text IS NOT NULL").select("doc_id", text.excerpt("text", 200).alias("excerpt"))
+
+
 def txt_cue_keys(spark, d):
     return _cues(spark, d).select("cue_id", text.cue_key("cue").alias("cue_key"), text.keeps_phrase(text.cue_key("cue")).alias("kept"))
 
@@ -262,7 +273,7 @@ def vec_diverse_cues(spark, d):
     return knn.diverse_topk(_cues(spark, d).where("cue_id > 0"), items, 8, 64, key="cue_id")
 
 
-_NAMES = (txt_phrases, txt_document_frequency, txt_scores, txt_blocked, txt_kept_phrases, txt_stage_counts, txt_vocabulary, txt_stability, txt_tfidf, txt_unique_lines, txt_excerpts, txt_cue_keys, txt_song_documents, cue_usage, cue_health, cue_top, cue_score_rows, feat_scaled, feat_top_genres, feat_asset_flags, feat_metadata_strings, feat_metadata_strings_all, vec_norms, vec_topk, vec_assigned, vec_assigned_all, vec_centroids, vec_diversity, vec_centroid_neighbours, vec_history_fit, vec_coverage, vec_distinct_cues, vec_diverse_cues)
+_NAMES = (txt_phrases, txt_document_frequency, txt_scores, txt_blocked, txt_kept_phrases, txt_stage_counts, txt_vocabulary, txt_stability, txt_tfidf, txt_unique_lines, txt_unique_lines_all, txt_excerpts, txt_excerpts_all, txt_cue_keys, txt_song_documents, cue_usage, cue_health, cue_top, cue_score_rows, feat_scaled, feat_top_genres, feat_asset_flags, feat_metadata_strings, feat_metadata_strings_all, vec_norms, vec_topk, vec_assigned, vec_assigned_all, vec_centroids, vec_diversity, vec_centroid_neighbours, vec_history_fit, vec_coverage, vec_distinct_cues, vec_diverse_cues)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,5 +1,6 @@
 """Queries that do a job over all rows, against brute force."""
 
+import hashlib
 import re
 import unicodedata
 
@@ -136,3 +137,34 @@ def test_metadata_strings_of_every_item(spark, catalogues):
                 expected[k] = m.groups() if m else (raw.strip("'"), None, None)
         got = {r.item_id: (r.title, r.artist, r.album) for r in content_queries.feat_metadata_strings_all(spark, d).collect()}
         assert got == expected
+
+
+LYRICS = ["Über  uns\r\nüber\tuns\u2028東京 の夜\x85ÉTÉ\rété\n\u00a0\n \u3000x y\u00a0z ", "a\tb\x1fc\x0bA B C\n\n日本語", "", "é" * 150 + "\n" + "日" * 47 + "\nx", "straße\nSTRASSE\nnaïve café, naïve café 東京 x 42 a_b"]
+
+
+@pytest.fixture(scope="module")
+def lyrics(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("lyrics")
+    spark.createDataFrame([(i, t, "lyric_draft", "x") for i, t in enumerate(LYRICS)], "doc_id long, text string, source string, lang string").write.parquet(f"{folder}/documents.parquet")
+    return {d: {r.doc_id: r.text for r in content_queries._docs(spark, d).where("source = 'lyric_draft' AND text IS NOT NULL").collect()} for d in (str(DATA / "sf0.1"), str(folder))}
+
+
+def test_lines_of_the_stored_text(spark, lyrics):
+    for d, docs in lyrics.items():
+        lines, excerpts = {}, {}
+        for k, t in docs.items():
+            kept = {}
+            for x in t.splitlines():
+                x = re.sub(r"\s+", " ", x).strip()
+                if x:
+                    kept.setdefault(x.lower(), x)
+            clean = "\n".join(kept.values())
+            lines[k] = (hashlib.md5(clean.encode()).hexdigest(), len(clean))
+            used, taken = 0, []
+            for x in filter(str.strip, t.splitlines()):
+                if (used := used + len(x) + 1) > 200:
+                    break
+                taken.append(x)
+            excerpts[k] = "\n".join(taken)
+        assert {r.doc_id: (r.digest, r.n) for r in content_queries.txt_unique_lines_all(spark, d).collect()} == lines
+        assert {r.doc_id: r.excerpt for r in content_queries.txt_excerpts_all(spark, d).collect()} == excerpts
