@@ -7,9 +7,11 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaverlake.session import cut
+
 
 def ranking(predictions: DataFrame, truth: DataFrame, key: str, item: str, rank: str, ks: list[int]) -> DataFrame:
     """(key, recall_k and precision_k for each k, reciprocal_rank, n_truth): predictions with ranks from 1
@@ -23,6 +25,16 @@ def ranking(predictions: DataFrame, truth: DataFrame, key: str, item: str, rank:
     return joined.select(key, *cols, F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"), "n_truth")
 
 
+def places(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds ``rank`` from 1 in an order without ties. Ranges of the order are sorted apart and the counts of those
+    before them added, so no task sorts all rows."""
+    parted = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    counts = parted.groupBy("part").agg(F.count("*").alias("c"))
+    before = counts.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parted.withColumn("place", place).join(F.broadcast(before), "part").withColumn("rank", F.col("place") + F.col("n0")).drop("part", "place", "n0")
+
+
 def rank_summary(ranks: DataFrame, rank: str, ks: list[int]) -> DataFrame:
     """One row: share of ranks within each k, mean reciprocal rank, mean and median rank."""
     r = F.col(rank)

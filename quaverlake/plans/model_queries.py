@@ -144,7 +144,8 @@ def met_positional(spark, d):
 
 
 def met_ranking(spark, d):
-    """Popularity as a recommender: ranks of the 100 most used items against each test record's items."""
+    """Popularity as a recommender: ranks of the 100 most used items against each test record's items, as its SQL has
+    it; ``met_ranking_all`` ranks every item."""
     from pyspark.sql import Window
 
     all_lists = lists(spark, d)
@@ -156,6 +157,16 @@ def met_ranking(spark, d):
     return out.select("prefix_id", *[F.bround(c, 6).alias(c) for c in ("recall_5", "recall_50", "precision_10", "reciprocal_rank")], "n_truth")
 
 
+def met_ranking_all(spark, d):
+    """Popularity as a recommender: ranks of all items used in training against each test record's items."""
+    all_lists = lists(spark, d)
+    used = curation.item_frequency(all_lists.where("split_name = 'train'"), "prefix_id", "items")
+    truth = all_lists.where("split_name = 'test'").select("prefix_id", F.explode("items").alias("item"))
+    found = truth.join(metrics.places(used, F.desc("n"), F.asc("item")).select("item", "rank"), "item")
+    out = metrics.ranking(found, truth, "prefix_id", "item", "rank", [5, 10, 50])
+    return out.select("prefix_id", *[F.bround(c, 6).alias(c) for c in ("recall_5", "recall_50", "precision_10", "reciprocal_rank")], "n_truth")
+
+
 def met_rank_summary(spark, d):
     """Place of the first stored cue among the cues nearest to the vector, of the probed items only, as its SQL has
     it; ``met_rank_summary_all`` is over every item."""
@@ -302,7 +313,7 @@ def chk_fingerprint(spark, d):
     return checks.fingerprint(log, "source_row", ["source_row", "user_id", "item_id"])
 
 
-_NAMES = (enc_decoded, enc_round_trip, enc_masks, enc_completion, enc_type_ranges, enc_type_violations, enc_prefix_index, enc_conflicts, enc_level_usage, enc_role_mean, enc_chunks, enc_remap, enc_rvq_codes, met_multiset, met_hits, met_positional, met_ranking, met_rank_summary, met_rank_summary_all, met_assignment, met_item_entropy, met_dispersion_tiers, met_bootstrap, met_frechet, met_coverage, study_unblinded, study_summary, study_counts, study_paired, study_sides, study_least_used, chk_alignment, chk_cue_rows, chk_sequences, chk_duplicates, chk_orphans, chk_not_unit, chk_prepared, chk_constraints, chk_fingerprint)
+_NAMES = (enc_decoded, enc_round_trip, enc_masks, enc_completion, enc_type_ranges, enc_type_violations, enc_prefix_index, enc_conflicts, enc_level_usage, enc_role_mean, enc_chunks, enc_remap, enc_rvq_codes, met_multiset, met_hits, met_positional, met_ranking, met_ranking_all, met_rank_summary, met_rank_summary_all, met_assignment, met_item_entropy, met_dispersion_tiers, met_bootstrap, met_frechet, met_coverage, study_unblinded, study_summary, study_counts, study_paired, study_sides, study_least_used, chk_alignment, chk_cue_rows, chk_sequences, chk_duplicates, chk_orphans, chk_not_unit, chk_prepared, chk_constraints, chk_fingerprint)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

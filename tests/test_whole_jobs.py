@@ -1,6 +1,9 @@
 """Queries that do a job over all rows, against brute force."""
 
+import collections
 import hashlib
+import math
+import random
 import re
 import unicodedata
 
@@ -9,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaverlake.functions import text
-from quaverlake.operators import knn
+from quaverlake.operators import knn, metrics
 from quaverlake.plans import content_queries, model_queries, sequence_queries
 from quaverlake.session import read
 from tests.support import DATA, rows
@@ -168,3 +171,17 @@ def test_lines_of_the_stored_text(spark, lyrics):
             excerpts[k] = "\n".join(taken)
         assert {r.doc_id: (r.digest, r.n) for r in content_queries.txt_unique_lines_all(spark, d).collect()} == lines
         assert {r.doc_id: r.excerpt for r in content_queries.txt_excerpts_all(spark, d).collect()} == excerpts
+
+
+def test_first_hit_beyond_place_100(spark):
+    found = model_queries.met_ranking_all(spark, D).collect()
+    records = [(r.prefix_id, r.split_name, r["items"]) for r in sequence_queries.lists(spark, D).collect()]
+    n = collections.Counter(x for _, split, items in records if split == "train" for x in items)
+    rank = {x: i + 1 for i, x in enumerate(sorted(n, key=lambda x: (-n[x], x)))}
+    first = {k: min((rank[x] for x in items if x in rank), default=math.inf) for k, split, items in records if split == "test"}
+    assert {r.prefix_id: r.reciprocal_rank for r in found} == {k: pytest.approx(1 / v, abs=1e-6) for k, v in first.items()}
+    many = spark.createDataFrame([(f"i{i:05d}", random.Random(i).randrange(3)) for i in range(5000)], "item string, n long")
+    got = [r["item"] for r in metrics.places(many, F.desc("n"), F.asc("item")).orderBy("rank").collect()]
+    assert got == [r["item"] for r in many.orderBy(F.desc("n"), "item").collect()]
+    late = spark.createDataFrame([("k", "i", 250)], "prefix_id string, item string, rank int")
+    assert metrics.ranking(late, late, "prefix_id", "item", "rank", [5]).first().reciprocal_rank == 1 / 250
