@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +69,11 @@ def select_vocabulary(scored: DataFrame, score: str, size: int, digits: int = 9)
     return unk.unionByName(ranked).unionByName(pads.select("cue_id", F.concat(F.lit("<pad_"), F.col("cue_id"), F.lit(">")).alias("cue"), F.lit(True).alias("is_pad")))
 
 
-def tfidf_top(docs: DataFrame, key: str, column: str, top: int = 10, min_df: int = 2, digits: int = 6) -> DataFrame:
-    """(key, term, weight, rank): the terms (one or two words, no stopwords) of highest weight of each
-    document; weight (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), to length one per document, ties by term."""
+def tfidf_top(docs: DataFrame, key: str, column: str, top: int = 10, min_df: int = 2, digits: int = 6, words: Callable[[str], Column] = text.words) -> DataFrame:
+    """(key, term, weight, rank): the terms (one or two words as ``words`` cuts them, no stopwords, none of one
+    character) of highest weight of each document; weight (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), to length one per document, ties by term."""
     stop = F.array(*[F.lit(w) for w in text.STOPWORDS])
-    tokens = F.filter(text.words(column), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    tokens = F.filter(words(column), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
     lists = spread(docs).select(key, tokens.alias("t")).select(key, F.concat(F.col("t"), text.ngrams(F.col("t"), 2)).alias("terms"))
     tf = lists.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
     total = docs.agg(F.count("*").alias("n"))

@@ -89,9 +89,14 @@ def txt_stability(spark, d):
 
 
 def txt_tfidf(spark, d):
+    """Terms of the letters a to z, as its SQL has them; ``txt_tfidf_all`` is over the words of every script."""
     return vocab.tfidf_top(_docs(spark, d), "doc_id", "text", 5)
 
 
+def txt_tfidf_all(spark, d):
+    return vocab.tfidf_top(_docs(spark, d), "doc_id", "text", 5, words=text.word_runs)
+
+
 def txt_unique_lines(spark, d):
     """Of the text's printable ASCII, as its SQL has it; ``txt_unique_lines_all`` is of the stored text."""
     rows = _docs(spark, d).where("source = 'lyric_draft' AND text IS NOT NULL")
@@ -273,7 +278,7 @@ def vec_diverse_cues(spark, d):
     return knn.diverse_topk(_cues(spark, d).where("cue_id > 0"), items, 8, 64, key="cue_id")
 
 
-_NAMES = (txt_phrases, txt_document_frequency, txt_scores, txt_blocked, txt_kept_phrases, txt_stage_counts, txt_vocabulary, txt_stability, txt_tfidf, txt_unique_lines, txt_unique_lines_all, txt_excerpts, txt_excerpts_all, txt_cue_keys, txt_song_documents, cue_usage, cue_health, cue_top, cue_score_rows, feat_scaled, feat_top_genres, feat_asset_flags, feat_metadata_strings, feat_metadata_strings_all, vec_norms, vec_topk, vec_assigned, vec_assigned_all, vec_centroids, vec_diversity, vec_centroid_neighbours, vec_history_fit, vec_coverage, vec_distinct_cues, vec_diverse_cues)
+_NAMES = (txt_phrases, txt_document_frequency, txt_scores, txt_blocked, txt_kept_phrases, txt_stage_counts, txt_vocabulary, txt_stability, txt_tfidf, txt_tfidf_all, txt_unique_lines, txt_unique_lines_all, txt_excerpts, txt_excerpts_all, txt_cue_keys, txt_song_documents, cue_usage, cue_health, cue_top, cue_score_rows, feat_scaled, feat_top_genres, feat_asset_flags, feat_metadata_strings, feat_metadata_strings_all, vec_norms, vec_topk, vec_assigned, vec_assigned_all, vec_centroids, vec_diversity, vec_centroid_neighbours, vec_history_fit, vec_coverage, vec_distinct_cues, vec_diverse_cues)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaverlake.functions import text
-from quaverlake.operators import knn, metrics
+from quaverlake.operators import knn, metrics, vocab
 from quaverlake.plans import content_queries, model_queries, sequence_queries
 from quaverlake.session import read
 from tests.support import DATA, rows
@@ -173,6 +173,26 @@ def test_lines_of_the_stored_text(spark, lyrics):
         assert {r.doc_id: r.excerpt for r in content_queries.txt_excerpts_all(spark, d).collect()} == excerpts
 
 
+def test_terms_of_every_script(spark):
+    docs = {r.doc_id: r.text or "" for r in content_queries._docs(spark, str(DATA / "sf0.01")).collect()}
+    docs |= {-1 - i: t for i, t in enumerate([*LYRICS, *LYRICS, "東京 Été", "東京 Été"])}
+    terms = {}
+    for k, t in docs.items():
+        w = [x for x in re.findall(r"(?u)\b\w\w+\b", t.lower()) if x not in text.STOPWORDS]
+        terms[k] = collections.Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+    df = collections.Counter(t for c in terms.values() for t in c)
+    expected = set()
+    for k, c in terms.items():
+        w = {t: (1 + math.log(n)) * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for t, n in c.items() if df[t] >= 2}
+        length = math.sqrt(sum(x * x for x in w.values()))
+        top = sorted((-round(x / length, 6), t) for t, x in w.items())[:5]
+        expected |= {(k, t, round(-x, 4), i + 1) for i, (x, t) in enumerate(top)}
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.term, round(r.weight, 4), r["rank"]) for r in vocab.tfidf_top(table, "doc_id", "text", 5, words=text.word_runs).collect()}
+    assert {t for k, t, *_ in got if k == -2 * len(LYRICS) - 1} == {"東京", "été", "東京 été"}
+    assert len(got ^ expected) <= 0.001 * len(expected)
+
+
 def test_first_hit_beyond_place_100(spark):
     found = model_queries.met_ranking_all(spark, D).collect()
     records = [(r.prefix_id, r.split_name, r["items"]) for r in sequence_queries.lists(spark, D).collect()]
