@@ -104,6 +104,11 @@ class Quantiser:
         codes = self.encode(x).astype(np.uint8)
         return codes[:, 0::2] | (codes[:, 1::2] << 4)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of what ``codes`` (bytes of a code, rows) stand for."""
+        halves = np.stack([codes & 15, codes >> 4], axis=1).reshape(-1, codes.shape[1])
+        return np.concatenate([self.books[s][c] for s, c in enumerate(halves)], axis=1)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(bytes of a code, 256, queries): partial inner products."""
         part = np.einsum("qsk,sck->scq", queries.reshape(len(queries), -1, 2), self.books)
@@ -145,6 +150,17 @@ def _index(quantiser: Quantiser, dims: int):
     return run
 
 
+def _extended(scan: np.ndarray, error: np.ndarray, rows: np.ndarray, value: np.ndarray, k: int, exactly) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates of one query in a block and their exact scores, with all other rows that may be among the k + 1
+    best (one of them may be the query itself): an exact score is at most ``error``, the length of what the code
+    leaves out, above the scan's."""
+    at = len(value) - min(k + 1, len(value))
+    wanted = scan + error >= np.partition(value, at)[at]
+    wanted[rows] = False
+    more = np.flatnonzero(wanted)
+    return (np.concatenate([rows, more]), np.concatenate([value, exactly(more)])) if len(more) else (rows, value)
+
+
 def _scan(quantiser: Quantiser, names: list[str], queries: np.ndarray, first: int, k: int, rerank: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_names = np.array(names, object)
@@ -163,6 +179,7 @@ def _scan(quantiser: Quantiser, names: list[str], queries: np.ndarray, first: in
                 codes = np.frombuffer(batch.column("codes")[row].as_py(), np.uint8).reshape(-1, n).astype(np.intp)
                 exact = np.frombuffer(batch.column("vectors")[row].as_py(), np.float64).reshape(n, -1)
                 take = min(n, rerank)
+                error = np.sqrt(((Quantiser.pad(exact) - quantiser.decode(codes)) ** 2).sum(1)) + 1e-5
                 for lo in range(0, len(names), TOGETHER):
                     table = quantiser.tables(padded[lo : lo + TOGETHER])
                     width = table.shape[2]
@@ -180,7 +197,11 @@ def _scan(quantiser: Quantiser, names: list[str], queries: np.ndarray, first: in
                         chosen = np.broadcast_to(np.arange(n), (width, n))
                     true = (exact[chosen] * queries[lo : lo + width, None, :]).sum(2)
                     for q in range(width):
-                        who, value = ids[chosen[q]], true[q]
+                        rows, value = chosen[q], true[q]
+                        if take < n:
+                            scan, x = score[:, q], queries[lo + q]
+                            rows, value = _extended(scan, error, rows, value, k, lambda more, x=x: (exact[more] * x).sum(1))
+                        who = ids[rows]
                         other = who != own_names[lo + q]
                         who, value = who[other], value[other]
                         if len(value) > k:
@@ -218,16 +239,20 @@ def most_similar(
     Each non-null id counts once (if its vectors differ, the largest in array order). Null and
     all-zero vectors, those with another length than ``dims`` and those with a null, NaN or infinite
     element take no part, neither as query nor as neighbour; a query without a vector has no rows.
-    Of equal vectors the k + 1 smallest ids are indexed, which is all that a result can hold, so
-    copies of one vector don't crowd a block's candidates. Queries are handled in blocks of at most
+    Of vectors of one direction (equal once divided by their largest element) the k + 1 smallest ids are
+    indexed, which is all that a result can hold, so copies and multiples don't crowd a block's candidates. Queries are handled in blocks of at most
     QUERIES, the only vectors sent to the driver besides the sample. Of each block of BLOCK rows
-    the ``rerank`` best by the codes are compared exactly. An empty table gives no rows."""
+    the ``rerank`` best by the codes are compared exactly, and then every other row that by its
+    code's error may still be among the best, so the result is exact. An empty table gives no rows."""
     spark = vectors.sparkSession
     usable = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())
     base = vectors.select(F.col(id_column).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where(usable)
     once = one_row_per_key(base, "id", "vec")
+    largest = F.array_max(F.transform("vec", lambda x: F.abs(x))).cast("double")
+    wide = F.col("vec").cast("array<double>")
+    same = F.when((F.col("m") > 0) & (F.col("m") < float("inf")), F.transform(wide, lambda x: x / F.col("m"))).otherwise(wide)
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    once = cut(once)
+    once = cut(once.withColumn("m", largest).select("id", same.alias("vec")))
     distinct = once.withColumn("copy", rank).where(F.col("copy") <= k + 1).select("id", "vec")
 
     first = once.orderBy(F.xxhash64("id")).limit(sample).toArrow()

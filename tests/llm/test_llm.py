@@ -190,6 +190,29 @@ def test_vectors_reach_the_exact_neighbours(spark, monkeypatch):
     assert vectors.most_similar(df, probes.limit(0), "id", "emb", dims=16).count() == 0
 
 
+def test_crowded_directions_are_searched_whole(spark):
+    """A third of the rows are multiples of one vector or near copies of another, more than are reranked."""
+    rng = np.random.default_rng(11)
+    base, near, rest = rng.normal(size=16), rng.normal(size=16), rng.normal(size=(2000, 16))
+    times = [base * f for f in (1, 2, 3, 5, 0.5, 7) for _ in range(80)]
+    copies = [near + rng.normal(size=16) * 1e-4 for _ in range(600)]
+    x = np.array(times + copies + list(rest)).astype(np.float32)
+    x[:480] = np.round(base * 64).astype(np.float32) * np.repeat([1, 2, 3, 5, 0.5, 7], 80)[:, None]
+    order = rng.permutation(len(x))
+    x = x[order]
+    df = spark.createDataFrame([(f"v{i:04d}", v) for i, v in enumerate(x.tolist())], "id string, emb array<float>").coalesce(1)
+    asked = [int(np.flatnonzero(order == i)[0]) for i in (0, 100, 479, 480, 700, 1079, 1500)]
+    got = collections.defaultdict(set)
+    for r in vectors.most_similar(df, spark.createDataFrame([(f"v{i:04d}",) for i in asked], "query_id string"), "id", "emb", k=5, dims=16, sample=1000, rerank=64).collect():
+        got[r.query_id].add(r.neighbour_id)
+    u = x.astype(float)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    for i in asked:
+        score = np.round(u @ u[i], 13)
+        score[i] = -2
+        assert got[f"v{i:04d}"] == {f"v{j:04d}" for j in np.lexsort((np.arange(len(u)), -score))[:5]}
+
+
 def test_quantiser_prefers_small_parallel_error():
     rng = np.random.default_rng(5)
     x = vectors.Quantiser.pad(rng.normal(size=(2000, 14)))
