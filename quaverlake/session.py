@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -20,6 +21,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -50,6 +52,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _delete(sc, path: str) -> None:
+    try:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed columnar table in the same shared folder: later reads take only the
+    columns they name, and Spark knows its size. The order of rows isn't kept. Deleted when Python ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    folder = f"{sc._jsc.sc().getCheckpointDir().get()}/stored"
+    if not getattr(sc, "_quaverlake_stored", False):
+        atexit.register(_delete, sc, folder)
+        sc._quaverlake_stored = True
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``, once nothing that is still to run reads it."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession.sparkContext, file)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per context: their workers may lack it on their path."""
     sc = spark.sparkContext
