@@ -31,18 +31,21 @@ def records(spark, data):
     return df.withColumn("n", F.lit(1)).withColumn("item", F.lit("clash")).withColumn("key", F.lit(None).cast("string"))
 
 
-@pytest.mark.parametrize("heavy", [0, 3, 512])
-def test_pairs_equal_brute_force(spark, heavy, monkeypatch):
-    monkeypatch.setattr(cooccurrence, "PIECE", 4)
+@pytest.mark.parametrize("heavy,quota,slices", [(0, 40, 1 << 16), (3, 7, 5), (512, None, 1 << 16)])
+def test_pairs_equal_brute_force(spark, heavy, quota, slices, monkeypatch):
+    """Small quotas deal the ranges of frequent items out by record; without a dictionary records are joined."""
+    monkeypatch.setattr(cooccurrence, "SLICES", slices)
+    monkeypatch.setattr(cooccurrence, "LONG", 5)
+    monkeypatch.setattr(cooccurrence, "DICTIONARY", 0 if heavy == 3 else 1 << 20)
     rng = random.Random(1)
     sets = {k: {f"i{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(rng.randrange(0, 14))} for k in range(300)}
     data = [(k, None, [f" {x} " if rng.random() < 0.3 else x for x in v] + [None, " ", *list(v)[:1]]) for k, v in sets.items()]
     data += data[:20] + [(None, None, ["a", "b"]), (900, None, None), (901, None, [])]
     count, pair = collections.Counter(x for v in sets.values() for x in v), collections.Counter(p for v in sets.values() for p in itertools.combinations(sorted(v), 2))
     total = sum(bool(v) for v in sets.values())
-    got = cooccurrence.cooccurring_pairs(records(spark, data), min_pair=2, max_heavy=heavy, heavy_share=0.01)
+    got = cooccurrence.cooccurring_pairs(records(spark, data), min_pair=2, max_heavy=heavy, heavy_share=0.01, range_pairs=quota)
     assert {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n_records) for r in got.collect()} == {p: (n, count[p[0]], count[p[1]], total) for p, n in pair.items() if n >= 2}
-    lifted = cooccurrence.cooccurring_pairs(records(spark, data), min_pair=2, min_lift=1.5, max_heavy=heavy, heavy_share=0.01)
+    lifted = cooccurrence.cooccurring_pairs(records(spark, data), min_pair=2, min_lift=1.5, max_heavy=heavy, heavy_share=0.01, range_pairs=quota)
     assert {(r.item_a, r.item_b) for r in lifted.collect()} == {p for p, n in pair.items() if n >= 2 and n * total >= 1.5 * count[p[0]] * count[p[1]]}
 
 
