@@ -11,7 +11,7 @@ from quaverlake.llm.cooccurrence import cooccurring_pairs
 from quaverlake.llm.encoding import encode_corpus
 from quaverlake.llm.entities import same_entities
 from quaverlake.llm.mixing import mix_by_temperature, mix_report, mix_sources
-from quaverlake.llm.overlap import overlap_report, split_overlaps
+from quaverlake.llm.overlap import overlap_report, overlapping_records, split_overlaps
 from quaverlake.llm.subjects import subject_areas
 from quaverlake.llm.term_counts import term_frequencies
 from quaverlake.llm.vectors import most_similar
@@ -45,6 +45,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("eval_key", "train_key").alias("prefix_a"), F.greatest("eval_key", "train_key").alias("prefix_b"))
 
 
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    found = overlapping_records(read(spark, d, "context_prefixes"), threshold=0.8)
+    return found.select(F.col("key").alias("prefix_id"), "split_name", "links", "most_common")
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(read(spark, d, "context_prefixes"), threshold=0.8)
 
@@ -98,7 +103,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_report, p4_found, p5_found, p6_ids, p7_mix, p7_report, p7_temperature, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_records, p3_report, p4_found, p5_found, p6_ids, p7_mix, p7_report, p7_temperature, p8_found, p8_composition)}
 
 
 _RECORDS = """
@@ -131,7 +136,7 @@ _OVERLAPS = (
 common AS (
   SELECT e.prefix_id AS e, t.prefix_id AS t, any_value(e.m) AS em, any_value(t.m) AS tm, count(*) AS n
   FROM held e JOIN held t ON e.item = t.item WHERE e.split_name IN ('val', 'test') AND t.split_name = 'train' GROUP BY 1, 2),
-hits AS (SELECT e, t FROM common WHERE n * 10 >= 8 * (em + tm - n))"""
+hits AS (SELECT e, t, n FROM common WHERE n * 10 >= 8 * (em + tm - n))"""
 )
 
 
@@ -155,6 +160,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_frequencies": _CUES,
         "p2_found": f"SELECT cue_id, band FROM ({_CUES}) WHERE band <> 'useful'",
         "p3_found": _OVERLAPS + " SELECT least(e, t) AS prefix_a, greatest(e, t) AS prefix_b FROM hits",
+        "p3_records": _OVERLAPS + " SELECT e AS prefix_id, any_value(split_name) AS split_name, count(*) AS links, max(n) AS most_common FROM hits JOIN kept ON kept.prefix_id = e GROUP BY e",
         "p5_found": _NEAREST,
         "p3_report": _OVERLAPS
         + """ SELECT split_name, source, count(*) AS records, count(*) FILTER (WHERE prefix_id IN (SELECT e FROM hits)) AS overlapping

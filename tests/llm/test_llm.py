@@ -97,10 +97,13 @@ def test_overlaps_equal_brute_force(spark, threshold, monkeypatch):
     want = {(e, t) for e, (se, a) in sets.items() if se in ("val", "test") and a for t, (st, b) in sets.items() if st == "train" and b and len(a & b) >= threshold * len(a | b) - 1e-9}
     df = records(spark, data)
     assert {tuple(r) for r in overlap.split_overlaps(df, threshold=threshold).collect()} == want
-    classes = overlap.normalised_records(df, "prefix_id", "split_name", "item_ids", ["train"], ["val", "test"])
-    few = overlap.overlapping_sets(classes, threshold, shard_passages=20, text_rows=15)
-    many = overlap.overlapping_sets(classes, threshold)
-    assert rows(few, "eval_set", "train_set", "common") == rows(many, "eval_set", "train_set", "common")
+    members, many = overlap.overlap_classes(df, threshold=threshold)
+    monkeypatch.setattr(overlap, "LEAST", 5)
+    few = overlap.overlap_classes(df, threshold=threshold, shard_passages=20, text_rows=15)[1]
+    assert rows(few, "eval_class", "train_class", "common") == rows(many, "eval_class", "train_class", "common")
+    assert members.count() == sum(s in ("train", "val", "test") and bool(v) for s, v in sets.values())
+    links = collections.Counter(e for e, _ in want)
+    assert {r.key: r.links for r in overlap.overlapping_records(df, threshold=threshold).collect()} == links
     assert overlap.split_overlaps(df.limit(0)).count() == 0
 
 
