@@ -71,6 +71,22 @@ def test_frequencies_equal_brute_force(spark, burst, held, load):
     assert term_counts.term_frequencies(df.limit(0), "k", "t").count() == 0
 
 
+def test_routes_stay_small_behind_a_long_common_prefix(spark):
+    """Urls of one site, more than a route may hold, seen by several workers that burst at different places."""
+    urls = [f"https://example.org/{'deep/' * 30}{i % 7}/page-{i}" for i in range(900)] + ["https://example.org/", "x", ""]
+    df = spark.createDataFrame([(k, urls[k::3] + urls[k::7]) for k in range(21)], "k long, t array<string>").repartition(5)
+    held = term_counts.term_frequencies(df, "k", "t", burst=4, held=50, load=60)
+    want = collections.Counter(u for k in range(21) for u in urls[k::3] + urls[k::7])
+    assert {r.term: r.occurrences for r in held.collect()} == dict(want)
+    trie = term_counts.BurstTrie(4)
+    for u in urls:
+        trie.add(u.encode(), 1, 1)
+    assert max(len(t) for _, t in trie.subtrees()) <= 4 and trie.size == len(urls)
+    subtrees = spark.createDataFrame([(bytearray(p), [bytearray(r) for r in t]) for p, t in trie.subtrees()], "prefix binary, rests array<binary>")
+    routes = term_counts.find_routes(subtrees, len(urls), 60)
+    assert max(collections.Counter(routes.of(u.encode()) for u in urls).values()) <= 60 and routes.count <= 2 * len(urls) / 60 + 2
+
+
 # 3. overlaps
 
 
