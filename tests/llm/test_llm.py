@@ -205,9 +205,11 @@ def test_vectors_reach_the_exact_neighbours(spark, monkeypatch):
     assert set(got) == {f"v{i:04d}" for i in range(380, 500)} and all(len(v) == 5 for v in got.values())
     assert hits >= 0.99 * 600
     whole = rows(vectors.most_similar(df, probes, "id", "emb", k=5, dims=16, sample=1000), "query_id", "neighbour_id")
-    monkeypatch.setattr(vectors, "QUERIES", 30)
     monkeypatch.setattr(vectors, "TOGETHER", 7)
-    assert rows(vectors.most_similar(df, probes, "id", "emb", k=5, dims=16, sample=1000), "query_id", "neighbour_id") == whole
+    monkeypatch.setattr(vectors, "CELL", 100)
+    monkeypatch.setattr(vectors, "PART", 300)
+    parted = rows(vectors.most_similar(df, probes, "id", "emb", k=5, dims=16, sample=1000), "query_id", "neighbour_id")
+    assert len(parted) == len(whole) and len(set(parted) & set(whole)) >= 0.99 * len(whole)
     assert vectors.most_similar(df.limit(0), probes, "id", "emb", dims=16).count() == 0
     assert vectors.most_similar(df, probes.limit(0), "id", "emb", dims=16).count() == 0
 
@@ -235,6 +237,33 @@ def test_crowded_directions_are_searched_whole(spark):
         assert got[f"v{i:04d}"] == {f"v{j:04d}" for j in np.lexsort((np.arange(len(u)), -score))[:5]}
 
 
+def test_all_vectors_as_queries_over_full_cells(spark, monkeypatch):
+    """Recall against brute force where cells and parts are full and every row is a query."""
+    monkeypatch.setattr(vectors, "CELL", 64)
+    monkeypatch.setattr(vectors, "PART", 500)
+    rng = np.random.default_rng(12)
+    x = (rng.normal(size=(60, 16))[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 16)) * 0.5).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:04d}", v) for i, v in enumerate(x.tolist())], "id string, emb array<float>")
+    got = {(r.query_id, r.neighbour_id) for r in vectors.most_similar(df, df.select("id"), "id", "emb", query_id="id", dims=16, sample=1500).collect()}
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    score = u @ u.T
+    np.fill_diagonal(score, -2)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, row in enumerate(np.argsort(-score, axis=1)[:, :5]) for j in row}
+    assert len(got) == len(want) and len(got & want) >= 0.99 * len(want)
+    sample = u[:1500]
+    centres = vectors.centres_of(sample, 60)
+    assert vectors.cells_to_visit(sample, centres, 5, 0.99) < 30
+
+
+def test_a_hot_cell_is_split():
+    plan = vectors.Plan(np.array([10, 5000, 10, 20, 3000]), 8)
+    assert plan.split[1] >= 4 and plan.split[4] >= 2 and plan.parts == (plan.first + plan.split).max()
+    load = np.zeros(plan.parts)
+    for c, rows_of in enumerate([10, 5000, 10, 20, 3000]):
+        load[plan.first[c] : plan.first[c] + plan.split[c]] += rows_of / plan.split[c]
+    assert load.max() <= 1.3 * 8040 / 8
+
+
 def test_quantiser_prefers_small_parallel_error():
     rng = np.random.default_rng(5)
     x = vectors.Quantiser.pad(rng.normal(size=(2000, 14)))
@@ -302,6 +331,9 @@ def test_exponents():
     assert natural["a"] == 0.8 and natural["none"] == 0.0
     for e in (0.1, 0.5, 1.0, 2.0):
         assert abs(mixing.exponent_for_entropy(sizes, mixing.entropy(mixing.tempered(sizes, e))) - e) < 1e-6
+    e = mixing.exponent_for_share(0.15, 0.3, 1.0)
+    assert abs(0.15**e - 0.3) < 1e-12 and abs(0.15 ** mixing.exponent_for_share(0.15, 0.3, 1.0, limit=0.2) - 0.2) < 1e-12
+    assert mixing.exponent_for_share(1.0, 1.0, 1.0) >= 0 and abs(mixing.weight(1.0, mixing.exponent_for_share(1.0, 0.4, 1.0)) - 0.4) < 1e-9
     limit = mixing.exponent_for_repeats(sizes, {"a": 1, "b": 2, "c": 3, "none": 1}, 1000)
     assert all(p * 1000 <= sizes[s] * {"a": 1, "b": 2, "c": 3, "none": 1}[s] * (1 + 1e-9) for s, p in mixing.tempered(sizes, limit).items())
     assert mixing.tempered({}, 1.0) == {}
@@ -327,6 +359,11 @@ def test_mix(spark, monkeypatch):
     assert not {900, 901, 902, 903} & set(uses) and len(uses) == chosen.count()
     assert rows(chosen) == rows(mixing.mix_sources(docs.repartition(7), targets))
     assert mixing.mix_sources(docs.limit(0), targets).count() == 0 and mixing.mix_sources(docs, targets.limit(0)).count() == 0
+    for r in report.values():
+        assert abs(r.deviation - (r.actual_share - r.target_share)) < 1e-12 and (r.source == "absent" or r.exponent >= 0)
+    monkeypatch.setattr(mixing, "BLOCKS", 3)  # the last block is narrowed down over several passes
+    narrow = {r.source: r for r in mixing.mix_report(docs, targets).collect()}
+    assert abs(narrow["big"].actual_share - 0.5) < 0.01 and narrow["big"].used <= 0.5 * total + 1
     t = mixing.mix_by_temperature(docs, targets).collect()
     assert all(r.most_uses <= {"big": 1, "mid": 3, "tiny": 1, "absent": 2}[r.source] for r in t)
 
