@@ -1,12 +1,15 @@
-"""Mixing sources to target weights, in tokens of a public tokenizer.
-
-A mixture is a budget of tokens for each source. It comes from given target shares, or by
-temperature: shares proportional to size ** exponent, with the exponent bisected to an entropy
-or to the smallest one whose budgets need no document more often than allowed.
-
-A budget is realised by block permutations: the documents of a source lie in hashed blocks; a
-pass over all blocks uses each document once. Whole passes come first; the last pass takes
-blocks in order until one no longer fits, and of that one the documents that fit, largest first.
+"""Mixing sources to target weights, in tokens of a public tokenizer, by temperature.
+
+A source's weight is its share of all tokens to the power of an exponent. One exponent for all sources is
+bisected until the weights have the entropy of the target shares. It can't meet each of them, so each
+source's own exponent is bisected on from there, until its weight is its target or as much as its documents
+give when used as often as allowed, whichever comes first. (With ``mix_by_temperature`` one exponent is
+all there is: bisected to an entropy, then raised as far as the repetition limits ask.)
+
+Weights times the total are budgets, realised by block permutations: the order of a source's documents is
+that of their hashes, a pass uses each once. Whole passes come first; the last one takes blocks of hashes
+in order until one no longer fits, which is divided into blocks in turn, until the one at the edge is
+small; of that one the documents that fit are used, largest first.
 """
 
 from __future__ import annotations
@@ -18,12 +21,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaverlake.llm.encoding import count_tokens
-from quaverlake.session import cut
+from quaverlake.session import stored
 
-#: At most so many blocks of a source, so that the driver holds sources x BLOCKS sums.
+#: A source is divided into at most so many blocks at a time, and all of them into SUMS, which the driver holds.
 BLOCKS = 4096
-#: Documents that a block should hold; more only where BLOCKS blocks don't suffice.
+SUMS = 1 << 20
+#: Documents of a block at the edge that is no longer divided.
 BLOCK_ROWS = 2000
+HASHES = 1 << 62
+
+
+def weight(share: float, exponent: float) -> float:
+    """A share of tokens to the power of its exponent; a source that has them all counts as just short of that."""
+    return min(share, 1 - 2**-20) ** exponent if share > 0 else 0.0
+
+
+def exponent_for_share(share: float, target: float, start: float, limit: float = 1.0, steps: int = 200) -> float:
+    """The exponent whose weight is ``target``, or ``limit`` if that is less, bisected on from ``start``; the weight
+    falls as the exponent grows."""
+    wanted = min(target, limit)
+    if not 0 < share <= 1 or not 0 < wanted <= 1:
+        return start
+    lo, hi = 0.0, max(start, 1.0)
+    while weight(share, hi) > wanted:
+        hi *= 2
+    for _ in range(steps):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if weight(share, mid) > wanted else (lo, mid)
+    return (lo + hi) / 2
 
 
 def tempered(sizes: dict[str, float], exponent: float) -> dict[str, float]:
@@ -79,49 +104,79 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
 
 def tokens_by_source(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(doc, source, n_tokens) of every document, written once."""
-    return cut(count_tokens(df.select(F.col(key).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text")), "text", ["doc", "source"]))
+    return stored(count_tokens(df.select(F.col(key).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text")), "text", ["doc", "source"]))
+
+
+def _edges(placed: DataFrame, rest: dict[str, int], rows: dict[str, int]) -> dict[str, tuple[int, int, int]]:
+    """Per source (first, end, left): documents with a hash before ``first`` have their place in the last pass; of those
+    from there to before ``end``, few, as many as fit into ``left`` tokens."""
+    spark = placed.sparkSession
+    edges = {s: (0, HASHES, n) for s, n in rest.items()}
+    todo = {s: rows[s] for s, n in rest.items() if n > 0}
+    while todo:
+        width = {}
+        for s, n in todo.items():
+            first, end, _ = edges[s]
+            blocks = max(2, min(BLOCKS, SUMS // len(todo), math.ceil(n / BLOCK_ROWS)))
+            width[s] = max(1, math.ceil((end - first) / blocks))
+        table = spark.createDataFrame([(s, edges[s][0], edges[s][1], width[s]) for s in todo], "source string, first long, end long, width long")
+        inside = placed.join(F.broadcast(table), "source").where("h >= first AND h < end")
+        sums = inside.groupBy("source", F.expr("(h - first) div width").alias("block")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()
+        by_source: dict[str, list[tuple[int, int, int]]] = {}
+        for r in sums:
+            by_source.setdefault(r.source, []).append((r.block, r.tokens, r.n))
+        for s in list(todo):
+            first, end, left = edges[s]
+            for block, tokens, n in sorted(by_source.get(s, [])):
+                if tokens > left:
+                    lo = first + block * width[s]
+                    edges[s], todo[s] = (lo, min(end, lo + width[s]), left), n
+                    break
+                left -= tokens
+            else:
+                edges[s], todo[s] = (end, end, left), 0
+            if todo[s] <= BLOCK_ROWS or edges[s][1] - edges[s][0] <= 1:
+                del todo[s]
+    return edges
 
 
 def use_documents(tokens: DataFrame, budgets: dict[str, int], repeats: dict[str, int], seed: int = 42) -> DataFrame:
     """(doc, source, n_tokens, uses) of the documents that are used: per source at most its budget
-    of tokens, short of it by less than the smallest document left out of its last block, or
+    of tokens, short of it by less than the smallest document left out of the block at the edge, or
     because all its documents are used as often as allowed. Documents without tokens, of a null
-    source or of one without a budget aren't used. Rows are documents, equal ones too."""
+    source or of one without a budget aren't used. Rows are documents, equal ones too (those of one key
+    share a hash, so they are filled in together)."""
     spark = tokens.sparkSession
     known = tokens.where(F.col("source").isin(list(budgets)) & (F.col("n_tokens") > 0)) if budgets else tokens.limit(0)
     sizes = {r.source: (r.n, r.tokens) for r in known.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()}
-    plan = []
-    for s, (n, size) in sizes.items():
-        passes = min(repeats[s], budgets[s] // size)
-        rest = 0 if passes == repeats[s] else budgets[s] - passes * size
-        plan.append((s, passes, rest, min(BLOCKS, max(1, math.ceil(n / BLOCK_ROWS)))))
-    table = spark.createDataFrame(plan, "source string, passes long, rest long, blocks long")
-    placed = known.join(F.broadcast(table), "source").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(seed)), F.col("blocks")))
-    sums = placed.where("rest > 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")).collect()
-    by_source: dict[str, list[tuple[int, int]]] = {}
-    for r in sums:
-        by_source.setdefault(r.source, []).append((r.block, r.tokens))
-    edges = []
-    for s, _, rest, blocks in plan:
-        left, edge = rest, blocks
-        for block, t in sorted(by_source.get(s, [])):
-            if t > left:
-                edge = block
-                break
-            left -= t
-        edges.append((s, edge if rest else 0, left))
-    edge_table = spark.createDataFrame(edges, "source string, edge long, last long")
-    cutoff = placed.join(F.broadcast(edge_table), "source")
-    plain = cutoff.where("rest = 0 OR block <> edge").select("doc", "source", "n_tokens", (F.col("passes") + F.when((F.col("rest") > 0) & (F.col("block") < F.col("edge")), 1).otherwise(0)).alias("uses"))
+    passes = {s: min(repeats[s], budgets[s] // size) for s, (_, size) in sizes.items()}
+    rest = {s: 0 if passes[s] == repeats[s] else budgets[s] - passes[s] * size for s, (_, size) in sizes.items()}
+    placed = known.withColumn("h", F.xxhash64("doc", F.lit(seed)).bitwiseAND(F.lit(HASHES - 1)))
+    edges = _edges(placed, rest, {s: n for s, (n, _) in sizes.items()})
+    plan = [(s, passes[s], *edges[s]) if rest[s] else (s, passes[s], 0, 0, 0) for s in sizes]
+    table = spark.createDataFrame(plan, "source string, passes long, first long, end long, rest long")
+    cutoff = placed.join(F.broadcast(table), "source")
+    uses = (F.col("passes") + F.when(F.col("h") < F.col("first"), 1).otherwise(0)).alias("uses")
+    plain = cutoff.where("h < first OR h >= end").select("doc", "source", "n_tokens", uses)
     kind = tokens.schema["doc"].dataType.simpleString()
-    last = cutoff.where("rest > 0 AND block = edge").select("doc", "source", "n_tokens", F.col("passes").alias("uses"), F.col("last").alias("rest"))
+    last = cutoff.where("h >= first AND h < end").select("doc", "source", "n_tokens", F.col("passes").alias("uses"), "rest")
     filled = last.groupBy("source").applyInPandas(_fill, f"doc {kind}, source string, n_tokens long, uses long")
     return plain.unionByName(filled).where("uses > 0")
 
 
-def budgets_for(targets: list[tuple[str, float, int]], total: int) -> dict[str, int]:
-    """Tokens of each source: its share of the total, whatever it has."""
-    return {s: int(round(share * total)) for s, share, _ in targets}
+def plan_mixture(sizes: dict[str, int], targets: list[tuple[str, float, int]], total: int) -> dict[str, dict]:
+    """Per source the one exponent's share (``tempered``), its own ``exponent``, its ``weight`` and its ``budget``."""
+    own = {s: float(sizes.get(s, 0)) for s, _, _ in targets}
+    wanted = {s: share for s, share, _ in targets}
+    common = exponent_for_entropy(own, entropy({s: p for s, p in wanted.items() if own[s] > 0}))
+    tempered_shares = tempered(own, common)
+    out = {}
+    for s, target, repeats in targets:
+        share = own[s] / total if total else 0.0
+        exponent = exponent_for_share(share, target, common, limit=share * repeats)
+        w = min(weight(share, exponent), share * repeats) if target > 0 else 0.0
+        out[s] = {"tempered": tempered_shares[s], "exponent": exponent if share > 0 and target > 0 else None, "weight": w, "budget": int(round(w * total))}
+    return out
 
 
 def read_targets(targets: DataFrame, limit: int = 10_000) -> list[tuple[str, float, int]]:
@@ -133,27 +188,35 @@ def read_targets(targets: DataFrame, limit: int = 10_000) -> list[tuple[str, flo
     return sorted((r.source, float(r.target_share), int(r.max_repeats)) for r in rows)
 
 
+def _mixture(documents: DataFrame, targets: DataFrame, key: str, text: str, source: str, seed: int) -> tuple:
+    wanted = read_targets(targets)
+    tokens = tokens_by_source(documents, key, text, source)
+    known = tokens.where(F.col("source").isin([s for s, _, _ in wanted])) if wanted else tokens.limit(0)
+    sizes = {r.source: r.n for r in known.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    plan = plan_mixture(sizes, wanted, total)
+    chosen = use_documents(tokens, {s: p["budget"] for s, p in plan.items()}, {s: r for s, _, r in wanted}, seed)
+    return tokens, total, wanted, plan, chosen
+
+
 def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42) -> DataFrame:
     """(doc_id, source, n_tokens, uses): a choice of documents in which each source of ``targets``
     has its ``target_share`` of a total equal to the tokens of all documents (also of those with a
     null or unknown source), and no document is used more than ``max_repeats`` times. A source too
     small for its share is used up to its limit, one without documents not at all, and the others
     keep their own shares. Empty documents are never used. An empty table gives no rows."""
-    tokens = tokens_by_source(documents, key, text, source)
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    wanted = read_targets(targets)
-    out = use_documents(tokens, budgets_for(wanted, total), {s: r for s, _, r in wanted}, seed)
-    return out.withColumnRenamed("doc", key)
+    return _mixture(documents, targets, key, text, source, seed)[-1].withColumnRenamed("doc", key)
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42) -> DataFrame:
-    """(source, target_share, actual_share, available, used, total, documents, most_uses) of each
-    source of ``targets`` for the choice of ``mix_sources``; shares are of the total."""
-    tokens = tokens_by_source(documents, key, text, source)
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    wanted = read_targets(targets)
-    chosen = use_documents(tokens, budgets_for(wanted, total), {s: r for s, _, r in wanted}, seed)
-    return _report(tokens, chosen, {s: share for s, share, _ in wanted}, total)
+    """(source, target_share, actual_share, available, used, total, documents, most_uses, deviation, tempered_share,
+    exponent) of each source of ``targets`` for the choice of ``mix_sources``; shares are of the total,
+    deviation is the actual share less the target, tempered_share what one exponent for all would give; a
+    source without documents has no exponent."""
+    tokens, total, wanted, plan, chosen = _mixture(documents, targets, key, text, source, seed)
+    report = _report(tokens, chosen, {s: share for s, share, _ in wanted}, total)
+    table = tokens.sparkSession.createDataFrame([(s, p["tempered"], p["exponent"]) for s, p in plan.items()], "source string, tempered_share double, exponent double")
+    return report.join(table, "source").withColumn("deviation", F.col("actual_share") - F.col("target_share"))
 
 
 def _report(tokens: DataFrame, chosen: DataFrame, shares: dict[str, float], total: int) -> DataFrame:
