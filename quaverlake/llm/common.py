@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,16 +54,32 @@ def batches(columns: dict[str, np.ndarray], schema: pa.Schema, rows: int = 1 <<
         yield pa.RecordBatch.from_arrays([pa.array(columns[f.name][i : i + rows], type=f.type) for f in schema], schema=schema)
 
 
-def rows_of(source: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    for batch in source:
-        yield from zip(*[batch.column(n).to_pylist() for n in names], strict=True)
+def _contracted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one partition to stars around the smallest node of each of their components."""
+    parent: dict[int, int] = {}
 
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of the undirected edges (a, b) hangs
-    together with. Alternates large and small stars, which only group and join, so no node's
-    neighbours are gathered in one place, and takes a number of rounds logarithmic in the size."""
-    from quaverlake.session import cut
+    for batch in source:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    out = [(x, root(x)) for x in parent if root(x) != x]
+    for i in range(0, len(out), 65536):
+        a, b = zip(*out[i : i + 65536], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node of the undirected edges (a, b; long) hangs
+    together with. Each partition's edges are contracted first; then large and small stars
+    alternate, which only group and join, so no node's neighbours are gathered in one place. Ends when nothing
+    changes, after a number of rounds logarithmic in the size."""
+    from quaverlake.session import discard, stored
 
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -74,16 +90,17 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().mapInArrow(_contracted, "a long, b long").distinct())
     before = state(e)
-    for _ in range(limit):
+    while True:
         s = both(e)
         large = s.join(least(s), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         m = least(down)
         small = down.join(m, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(m.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        e = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        last, e = e, stored(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         now = state(e)
+        discard(last)
         if now == before:
             break
         before = now

@@ -93,10 +93,6 @@ def parse_name(value: str) -> tuple[list[str], list[str], str]:
     return words, initials, "".join(squashed)
 
 
-def formal_names(word: str) -> list[str]:
-    return NICKNAMES.get(word, "").split()
-
-
 def parse_title(value: str) -> tuple[list[str], str]:
     """(words, version) of a title: notes on a remaster or an edition are dropped; what makes another
     recording or number (live, acoustic, remix, part 2) is the version. No words: a blank title."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quaverlake.llm.cooccurrence import cooccurring_pairs
 from quaverlake.llm.encoding import encode_corpus
-from quaverlake.llm.entities import same_entities
+from quaverlake.llm.entities import entity_classes, same_entities
 from quaverlake.llm.mixing import mix_by_temperature, mix_report, mix_sources
 from quaverlake.llm.overlap import overlap_report, overlapping_records, split_overlaps
 from quaverlake.llm.subjects import subject_areas
@@ -58,6 +58,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_entities(read(spark, d, "catalog_items"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return entity_classes(read(spark, d, "catalog_items"))
+
+
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
     probes = read(spark, d, "knn_probes")
     parts = []
@@ -103,7 +107,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_records, p3_report, p4_found, p5_found, p6_ids, p7_mix, p7_report, p7_temperature, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_records, p3_report, p4_found, p4_classes, p5_found, p6_ids, p7_mix, p7_report, p7_temperature, p8_found, p8_composition)}
 
 
 _RECORDS = """

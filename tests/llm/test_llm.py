@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quaverlake.llm import cooccurrence, encoding, entities, mixing, names, overlap, queries, subjects, term_counts, vectors
+from quaverlake.llm import common, cooccurrence, encoding, entities, mixing, names, overlap, queries, subjects, term_counts, vectors
 from tests.support import DATA, check, rows
 
 QUERIES, SQL = queries.queries(), queries.oracle_sql()
@@ -180,6 +180,30 @@ def test_an_initial_of_two_people_links_to_neither(spark):
     assert len(set(entity.values())) == 4 and entity["H Trivonkapel"] == entity["Hugo Trivonkapel"]
 
 
+def test_the_right_spelling_links_two_that_do_not_fit_each_other(spark):
+    """Each wrong spelling has a letter more at another place and is used more often than the right one."""
+    data = ["Walter Kinnolapra"] + ["Walter Kinnnolapra"] * 3 + ["Walter Kinnolaapra"] * 3 + ["Nora Zestarimo"]
+    songs = ["Amber Signal Fire", "Ambr Signal Fire", "Amber Signl Fire", "Ambr Signl Fire", "Amber Signal Fire (Live)"]
+    df = spark.createDataFrame([(f"i{k}", a, "One") for k, a in enumerate(data)] + [(f"s{k}", "Nora Zestarimo", t) for k, t in enumerate(songs)], "item_id string, artist string, title string")
+    classes = {(r.kind, r.key): (r.class_id, r.members) for r in entities.entity_classes(df).collect()}
+    assert {classes["artist", v] for v in data[:7]} == {("Walter Kinnnolapra", 3)}
+    # two errors in one title fit only what the merged titles say together
+    assert {classes["song", f"s{k}"] for k in range(4)} == {("s0", 4)} and classes["song", "s4"][1] == 1
+
+
+def test_nicknames_are_a_parameter(spark):
+    df = spark.createDataFrame([("Zed Trivonkapel",), ("Zedekia Trivonkapel",)], "artist string")
+    assert len({r.entity for r in entities.resolve_names(df, "artist").collect()}) == 2
+    assert len({r.entity for r in entities.resolve_names(df, "artist", {"zed": "zedekia"}).collect()}) == 1
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long").repartition(7)
+    got = {r.node: r.component for r in common.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+    assert common.components(edges.limit(0)).count() == 0
+
+
 # 5. vectors
 
 
