@@ -96,20 +96,28 @@ class Terms:
 
 
 class Rows:
-    """Sparse rows: columns and weights of each sentence that has any weight, one after the other."""
+    """Sparse rows: columns and weights of each sentence that has any weight, one after the other. Rows of about the
+    same length are ``blocks``: their numbers, and columns and weights as arrays filled up with weight 0."""
 
     def __init__(self, columns: np.ndarray, sizes: np.ndarray, term_weight: np.ndarray):
         value = term_weight[columns]
         keep = value > 0
-        row = np.repeat(np.arange(len(sizes)), sizes)[keep]
+        size = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
         self.n = len(sizes)
-        self.column, self.value = columns[keep], value[keep]
-        self.size = np.bincount(row, minlength=self.n)
-        self.at = np.flatnonzero(self.size)
-        self.size = self.size[self.at]
-
-    def starts(self) -> np.ndarray:
-        return np.cumsum(self.size) - self.size
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        column, value, start = columns[keep], value[keep], np.cumsum(size) - size
+        wide = np.where(size > 32, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), -(-size // 4) * 4)
+        order = np.argsort(wide, kind="stable")
+        edges = [*np.flatnonzero(np.diff(wide[order], prepend=-1)).tolist(), len(order)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            width = int(wide[order[lo]])
+            step = max(1, (1 << 16) // max(1, width))
+            for at in range(lo, hi if width else lo, step):
+                rows = order[at : min(at + step, hi)]
+                place = np.arange(width)
+                inside = place < size[rows, None]
+                take = np.minimum(start[rows, None] + place, len(column) - 1)
+                self.blocks.append((rows, column[take], np.where(inside, value[take], 0).astype(np.float32)))
 
 
 def _unit_rows(w: np.ndarray) -> np.ndarray:
@@ -120,39 +128,43 @@ def explain(x: Rows, h: np.ndarray, allowed: np.ndarray | None = None, steps: in
     """W for fixed H (columns, components): multiplicative updates from even values, of each row until none of its
     values moves by more than ``still``, at most ``steps``. A row without weight is all zero."""
     out = np.zeros((x.n, h.shape[1]), np.float32)
-    if not len(x.at):
-        return out
-    w = _unit_rows(np.ones((len(x.at), h.shape[1]), np.float32) if allowed is None else allowed[x.at].astype(np.float32))
-    rows, size, terms, value = x.at, x.size, h[x.column], x.value
-    for step in range(steps):
-        part = np.einsum("ij,ij->i", terms, np.repeat(w, size, axis=0))
-        pull = np.add.reduceat(terms * (value / np.maximum(part, EPS))[:, None], np.cumsum(size) - size, axis=0)
-        new = _unit_rows(w * pull)
-        moving = np.abs(new - w).max(1) > still
-        w = new
-        if step % 3 == 2 and moving.mean() < 0.75:
-            out[rows] = w
-            each = np.repeat(moving, size)
-            rows, w, size, terms, value = rows[moving], w[moving], size[moving], terms[each], value[each]
-            if not len(rows):
-                return out
-    out[rows] = w
+    for rows, column, value in x.blocks:
+        terms = h[column]
+        w = _unit_rows(np.ones((len(rows), h.shape[1]), np.float32) if allowed is None else allowed[rows].astype(np.float32))
+        for step in range(steps):
+            part = np.matmul(terms, w[:, :, None])[:, :, 0]
+            new = _unit_rows(w * np.matmul((value / np.maximum(part, EPS))[:, None, :], terms)[:, 0])
+            moving = np.abs(new - w).max(1) > still
+            w = new
+            if step % 3 == 2 and moving.mean() < 0.6:
+                out[rows] = w
+                rows, w, terms, value = rows[moving], w[moving], terms[moving], value[moving]
+                if not len(rows):
+                    break
+        out[rows] = w
     return out
 
 
-def gathered(x: Rows, w: np.ndarray, h: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """What the update of H sums up (columns, components); ``scale``: how much each row counts for each component."""
-    own = w[x.at]
-    terms = h[x.column]
-    part = np.einsum("ij,ij->i", terms, np.repeat(own, x.size, axis=0))
-    terms *= np.repeat(own * scale[x.at], x.size, axis=0)
-    terms *= (x.value / np.maximum(part, EPS))[:, None]
-    order = np.argsort(x.column, kind="stable")
-    edges = np.flatnonzero(np.diff(x.column[order], prepend=-1))
-    total = np.zeros(h.shape, np.float64)
-    if len(edges):
-        total[x.column[order][edges]] = np.add.reduceat(terms[order], edges, axis=0)
-    return total
+def gathered(x: Rows, w: np.ndarray, h: np.ndarray, scale: np.ndarray, least: float = 1e-3) -> np.ndarray:
+    """What the update of H sums up (columns, components); ``scale``: how much each row counts for each component.
+    Components that explain less than ``least`` of a row count for nothing in it."""
+    k = h.shape[1]
+    total = np.zeros(h.size)
+    cells, amounts, held = [], [], 0
+    for rows, column, value in x.blocks:
+        own = w[rows]
+        terms = h[column]
+        ratio = value / np.maximum(np.matmul(terms, own[:, :, None])[:, :, 0], EPS)
+        r, c = np.nonzero(own > least)
+        cells.append((column[r].astype(np.int64) * k + c[:, None]).ravel())
+        amounts.append((h[column[r], c[:, None]] * ratio[r] * (own * scale[rows])[r, c][:, None]).ravel())
+        held += cells[-1].size
+        if held > 1 << 21:
+            total += np.bincount(np.concatenate(cells), np.concatenate(amounts), h.size)
+            cells, amounts, held = [], [], 0
+    if cells:
+        total += np.bincount(np.concatenate(cells), np.concatenate(amounts), h.size)
+    return total.reshape(h.shape)
 
 
 def smoothed(counts: np.ndarray) -> np.ndarray:
@@ -185,8 +197,13 @@ def _frequencies(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COLUMNS, np.int64)
     for batch in source:
         columns, lengths = ragged(batch.column("columns"))
-        both = np.unique(np.repeat(np.arange(len(lengths)), lengths) * COLUMNS + columns)
-        counts += np.bincount(both % COLUMNS, minlength=COLUMNS)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        for lo in range(0, len(lengths), 256):
+            # a table of documents by columns is quicker than sorting
+            a, b = np.searchsorted(row, [lo, lo + 256])
+            held = np.zeros((min(256, len(lengths) - lo), COLUMNS), bool)
+            held[row[a:b] - lo, columns[a:b]] = True
+            counts += held.sum(0)
     some = np.flatnonzero(counts)
     if len(some):
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["c", "n"])
@@ -249,10 +266,11 @@ def _seed(term_weight: np.ndarray, subjects: int):
         for batch in source:
             x, counts = _documents(batch, 0, batch.num_rows, term_weight)
             allowed, _ = _allowed(batch, 0, batch.num_rows, counts, subjects, subjects)
-            for s in range(subjects):
-                mine = np.repeat(allowed[x.at, s], x.size)
-                total[:, s] += np.bincount(x.column[mine], x.value[mine], COLUMNS)
-            total[:, subjects] += np.bincount(x.column, x.value, COLUMNS)
+            for rows, column, value in x.blocks:
+                for s in range(subjects):
+                    mine = allowed[rows, s]
+                    total[:, s] += np.bincount(column[mine].ravel(), value[mine].ravel(), COLUMNS)
+                total[:, subjects] += np.bincount(column.ravel(), value.ravel(), COLUMNS)
         yield _columns_of(total)
 
     return run
@@ -264,11 +282,11 @@ def _update(h: np.ndarray, term_weight: np.ndarray, subjects: int, steps: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(h.shape)
         for batch in source:
-            for at in range(0, batch.num_rows, 512):
-                x, counts = _documents(batch, at, 512, term_weight)
+            for at in range(0, batch.num_rows, 2048):
+                x, counts = _documents(batch, at, 2048, term_weight)
                 if not x.n:
                     continue
-                allowed, labelled = _allowed(batch, at, 512, counts, subjects, h.shape[1])
+                allowed, labelled = _allowed(batch, at, 2048, counts, subjects, h.shape[1])
                 scale = np.where(labelled, 1.0, UNLABELLED).astype(np.float32)[:, None].repeat(h.shape[1], 1)
                 # what a document with subjects says beside them isn't the background's to learn, lest it take what they are about
                 scale[np.ix_(labelled & allowed[:, :subjects].any(1), np.arange(subjects, h.shape[1]))] = OUTSIDE
@@ -281,15 +299,15 @@ def _update(h: np.ndarray, term_weight: np.ndarray, subjects: int, steps: int):
 def _assign(h: np.ndarray, term_weight: np.ndarray, names: list[str], share: float, sure: float):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for at in range(0, batch.num_rows, 512):
-                x, counts = _documents(batch, at, 512, term_weight)
+            for at in range(0, batch.num_rows, 2048):
+                x, counts = _documents(batch, at, 2048, term_weight)
                 some = np.flatnonzero(counts)
                 if not len(some):
                     continue
                 about = (explain(x, h)[:, : len(names)] >= sure).astype(np.float64)
                 found = np.add.reduceat(about, (np.cumsum(counts) - counts)[some], axis=0) / counts[some, None]
                 d, s = np.nonzero(found >= share - EPS)
-                ids = batch.column("doc").slice(at, 512).take(pa.array(some[d]))
+                ids = batch.column("doc").slice(at, 2048).take(pa.array(some[d]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([names[i] for i in s], pa.string()), pa.array(found[d, s])], names=["doc", "subject", "share"])
 
     return run
