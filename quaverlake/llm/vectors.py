@@ -406,7 +406,7 @@ def most_similar(
     visit = cells_to_visit(train[: max(sample, 4 * TRIED)], centres, k, recall)
 
     # only directions that more than k + 1 rows share, by their hashes, have to be told apart
-    crowded = once.groupBy("towards").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("towards")
+    crowded = stored(once.groupBy("towards").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("towards"))
     rank = F.row_number().over(Window.partitionBy("same").orderBy("id"))
     many = once.join(crowded, "towards", "left_semi").withColumn("same", direction).withColumn("copy", rank).where(F.col("copy") <= k + 1)
     distinct = once.join(crowded, "towards", "left_anti").select("id", "vec").unionByName(many.select("id", "vec"))
