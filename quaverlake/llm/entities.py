@@ -34,7 +34,7 @@ _FACTS_SQL = "form long, kind string, a string, b string"
 _EDGES_SQL = "a long, b long"
 #: A word is frequent if this share of forms (but at least 3) has it. So at most a few thousand are.
 FREQUENT = 1 / 2000
-#: Shorter words are compared exactly, and so are words that stand alone and titles if shorter than twice that.
+#: Two shorter words are compared exactly, and so are words that stand alone and titles if shorter than twice that.
 TYPO_LENGTH = 4
 
 
@@ -140,8 +140,9 @@ def _variants(word: Column | str) -> Column:
 
 
 def _short_of_one(rows: DataFrame) -> DataFrame:
-    """Rows with v, each spelling of p (TYPO_LENGTH letters at least) short of one letter."""
-    return rows.where(F.length("p") >= TYPO_LENGTH).select("*", F.explode(_variants("p")).alias("v"))
+    """Rows with v, p itself and, if it has TYPO_LENGTH letters at least, each spelling of it short of one letter."""
+    variants = F.when(F.length("p") >= TYPO_LENGTH, _variants("p")).otherwise(F.array("p"))
+    return rows.select("*", F.explode(variants).alias("v"))
 
 
 def _links(same):
