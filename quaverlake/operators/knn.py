@@ -1,8 +1,8 @@
 """Exact vector search and selection.
 
-Searches compare a stated query set with every row in blocks: the smaller side is packed into
-bounded matrices, and a block product per pack runs in NumPy over the Arrow batches of the other.
-Nothing is compared row by row, and only the k best of a batch leave it.
+Searches compare a stated query set with every row in blocks: both sides are packed into bounded
+matrices, and a product of two packs runs in NumPy. Nothing is compared row by row, and only the k
+best of a product leave it.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaverlake.functions import vec
+from quaverlake.session import spread
 
 #: Rows in one pack.
 PACK = 4096
@@ -28,48 +30,66 @@ def _matrix(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows.column("name").to_pylist(), object), x
 
 
-def _best(query_names: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.ndarray, k: int, digits: int, exclude_self: bool) -> pd.DataFrame:
-    order = np.argsort(names, kind="stable")
-    names, score = names[order], np.round(q @ x[order].T, digits) + 0.0
+def _packs(side: DataFrame, names: str, vectors: str) -> DataFrame:
+    """Rows (name, v) as unit vectors, up to PACK of them in one row: names in order, and the matrix."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for at in range(0, batch.num_rows, PACK):
+                part = batch.slice(at, PACK)
+                own = np.array(part.column("name").to_pylist(), object)
+                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                order = np.argsort(own, kind="stable")
+                x = x[order] / np.sqrt((x[order] * x[order]).sum(1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([pa.array([own[order].tolist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())], names=[names, vectors])
+
+    return side.mapInArrow(run, f"{names} array<string>, {vectors} binary")
+
+
+def _best(query_names: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.ndarray, k: int, digits: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a product of two packs the k best of each query; equal scores by the smaller name, as names are in order."""
+    score = np.round(q @ x.T, digits) + 0.0
     if exclude_self:
         score[query_names[:, None] == names[None, :]] = -np.inf
+    if score.shape[1] > 4 * k:
+        # rows that can't be among the k best are left out before sorting
+        floor = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        rows, columns = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
+        value = score[rows, columns]
+        order = np.lexsort((columns, -value, rows))
+        rows, columns, value = rows[order], columns[order], value[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < k
+        return query_names[rows[keep]], names[columns[keep]], value[keep]
     best = np.argsort(-score, axis=1, kind="stable")[:, :k]
     rows = np.repeat(np.arange(len(query_names)), best.shape[1])
     value = score[rows, best.ravel()]
     keep = np.isfinite(value)
-    return pd.DataFrame({"query_id": query_names[rows[keep]], "item": names[best.ravel()[keep]], "score": value[keep]})
+    return query_names[rows[keep]], names[best.ravel()[keep]], value[keep]
 
 
 def exact_topk(catalogue: DataFrame, queries: DataFrame, k: int, key: str = "item_id", vector: str = "emb", query_key: str = "query_id", query_vector: str = "qvec", dims: int = 64, exclude_self: bool = False, digits: int = 6) -> DataFrame:
     """(query_id, item, score, rank): the ``k`` rows of highest cosine for each query, scores rounded half
     to even to ``digits``, equal ones by the smaller key. Unusable vectors (null, zero, not finite, other
-    length) take no part on either side. The smaller side goes to the tasks in packs of PACK rows,
-    one pass over the other side each."""
+    length) take no part on either side. Both sides are packed into matrices where they lie, packs of
+    one meet those of the other on a grid, and a product of two packs gives k rows a query; nothing
+    passes through the driver."""
     q = queries.where(vec.usable(query_vector, dims)).select(F.col(query_key).cast("string").alias("name"), vec.doubles(query_vector).alias("v")).dropDuplicates(["name"])
     c = catalogue.where(vec.usable(vector, dims)).select(F.col(key).cast("string").alias("name"), vec.doubles(vector).alias("v"))
-    nq, nc = q.count(), c.count()
-    packed, streamed, by_query = (q, c, True) if nq <= nc else (c, q, False)
-    n = max(1, -(-min(nq, nc) // PACK))
-    schema = "query_id string, item string, score double"
-    out = None
-    for p in range(n):
-        names, x = _matrix(packed.where(F.pmod(F.xxhash64("name"), F.lit(n)) == p) if n > 1 else packed)
-        if not len(names):
-            continue
-
-        def run(source: Iterator[pd.DataFrame], names=names, x=x) -> Iterator[pd.DataFrame]:
-            for pdf in source:
-                y = np.stack(pdf["v"].to_numpy())
-                y = y / np.sqrt((y * y).sum(1, keepdims=True))
-                own = pdf["name"].to_numpy()
-                yield _best(names, x, own, y, k, digits, exclude_self) if by_query else _best(own, y, names, x, k, digits, exclude_self)
-
-        hits = streamed.mapInPandas(run, schema)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return catalogue.sparkSession.createDataFrame([], f"{schema}, rank int")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for row in range(batch.num_rows):
+                own, names = (np.array(batch.column(n)[row].as_py(), object) for n in ("q_names", "c_names"))
+                y, x = (np.frombuffer(batch.column(n)[row].as_py(), float).reshape(len(m), -1) for n, m in (("q", own), ("c", names)))
+                for at in range(0, len(own), 512):
+                    a, b, s = _best(own[at : at + 512], y[at : at + 512], names, x, k, digits, exclude_self)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.tolist(), pa.string()), pa.array(b.tolist(), pa.string()), pa.array(s, pa.float64())], names=["query_id", "item", "score"])
+
+    grid = _packs(spread(q), "q_names", "q").crossJoin(_packs(c, "c_names", "c"))
+    hits = grid.mapInArrow(run, "query_id string, item string, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def mean_vector(vector: Column | str, dims: int) -> list[Column]:
@@ -106,6 +126,68 @@ def gather(lists: DataFrame, key: str, ids: str, table: DataFrame, table_key: st
     return exploded.join(table.select(F.col(table_key).alias("id"), F.col(value).alias("value")), "id").select(key, "pos", "id", "value")
 
 
+def mean_pairwise_cosine(members: DataFrame, group: str, vector: str, dims: int = 64) -> DataFrame:
+    """(group, n, intra_cosine): mean cosine over all pairs of a group's usable vectors, groups of one left out: what
+    ``diversity`` lacks to one."""
+    return diversity(members, group, vector, dims).select(group, "n", (1 - F.col("diversity")).alias("intra_cosine"))
+
+
+def whitened(vectors: DataFrame, key: str, vector: str, dims: int, keep: int | None = None) -> DataFrame:
+    """(key, white): usable vectors turned to their principal axes, the ``keep`` widest of them (default all), and scaled to
+    variance one on each. Moments are summed in matrices per partition; dims x dims numbers come to the driver."""
+    ok = vectors.where(vec.usable(vector, dims)).select(F.col(key), vec.doubles(vector).alias("v"))
+
+    def moments(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, m = 0, np.zeros(dims), np.zeros((dims, dims))
+        for pdf in source:
+            x = np.stack(pdf["v"].to_numpy())
+            n, s, m = n + len(x), s + x.sum(0), m + x.T @ x
+        yield pd.DataFrame({"i": range(-1, dims), "v": [np.append(s, n), *np.pad(m, ((0, 0), (0, 1)))]})
+
+    rows = ok.select("v").mapInPandas(moments, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    total = np.zeros((dims + 1, dims + 1))
+    for r in rows:
+        total[r.i + 1, r.j] = r.x
+    n = max(1.0, total[0, dims])
+    mean = total[0, :dims] / n
+    values, axes = np.linalg.eigh(total[1:, :dims] / n - np.outer(mean, mean))
+    wide = np.argsort(-values)[: keep or dims]
+    turn = axes[:, wide] / np.sqrt(np.maximum(values[wide], 1e-12))
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in source:
+            yield pd.DataFrame({key: pdf[key], "white": list((np.stack(pdf["v"].to_numpy()) - mean) @ turn)})
+
+    return ok.mapInPandas(run, f"`{key}` {vectors.schema[key].dataType.simpleString()}, white array<double>")
+
+
+def cluster_representatives(vectors: DataFrame, key: str, vector: str, weight: str, clusters: int, dims: int, rounds: int = 10, sample: int = 20_000, seed: int = 42) -> DataFrame:
+    """(key, cluster): of k-means clusters of the vectors the row nearest to each centre, ties by key; an empty cluster has none. Centres
+    are fitted, with rows weighing ``weight``, to at most ``sample`` rows chosen by hash; every row is assigned."""
+    ok = vectors.where(vec.usable(vector, dims)).select(F.col(key).alias("k"), vec.doubles(vector).alias("v"), F.col(weight).cast("double").alias("w"))
+    few = ok.orderBy(F.xxhash64("k", F.lit(seed)), "k").limit(sample).toArrow()
+    x, w = np.array(few.column("v").to_pylist(), float).reshape(-1, dims), np.array(few.column("w").to_pylist(), float)
+    c = x[:clusters].copy()
+    for _ in range(rounds):
+        near = np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1) if len(c) else np.zeros(0, int)
+        mass = np.bincount(near, w, len(c))
+        for d in range(dims):
+            c[:, d] = np.where(mass > 0, np.bincount(near, w * x[:, d], len(c)) / np.where(mass > 0, mass, 1), c[:, d])
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in source:
+            y = np.stack(pdf["v"].to_numpy())
+            far = (y * y).sum(1)[:, None] - 2 * y @ c.T + (c * c).sum(1)
+            near = far.argmin(1)
+            yield pd.DataFrame({"k": pdf["k"], "cluster": near.astype(np.int32), "far": np.round(far[np.arange(len(y)), near], 9)})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    if not len(c):
+        return vectors.sparkSession.createDataFrame([], f"`{key}` {kind}, cluster int")
+    placed = ok.select("k", "v").mapInPandas(run, f"k {kind}, cluster int, far double")
+    return placed.groupBy("cluster").agg(F.min(F.struct("far", "k")).alias("r")).select(F.col("r.k").alias(key), "cluster")
+
+
 def coverage_selection(members: DataFrame, group: str, ordinal: str, item: str, vector: str, k: int) -> DataFrame:
     """(group, place, item): greedy farthest points of a group: the first one by ordinal, then again and
     again the one least similar to its nearest chosen one, ties by ordinal. Sequential by nature, so a

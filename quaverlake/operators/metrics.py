@@ -35,10 +35,33 @@ def places(rows: DataFrame, *order: Column) -> DataFrame:
     return parted.withColumn("place", place).join(F.broadcast(before), "part").withColumn("rank", F.col("place") + F.col("n0")).drop("part", "place", "n0")
 
 
+def percentiles(df: DataFrame, column: str, fractions: list[float]) -> DataFrame:
+    """One row (p0, p1, ...): linear percentiles of the values that aren't null, null if there are none. The
+    values are ranked by ranges; only the two beside each wanted place come together."""
+    ranked = places(df.select(F.col(column).cast("double").alias("v"), F.monotonically_increasing_id().alias("i")).where("v IS NOT NULL"), F.asc("v"), F.asc("i"))
+    n = ranked.agg(F.count("*").alias("n"))
+    wanted = n.select("n", F.posexplode(F.array(*[F.lit(float(f)) for f in fractions])).alias("k", "f")).where("n > 0").withColumn("at", F.col("f") * (F.col("n") - 1))
+    beside = wanted.select("k", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("place"))
+    met = ranked.join(F.broadcast(beside), F.col("rank") == F.col("place") + 1)
+    low, high = F.min_by("v", "place"), F.max_by("v", "place")
+    per = met.groupBy("k").agg((low + (high - low) * (F.first("at") - F.floor(F.first("at")))).alias("p"))
+    return per.agg(*[F.max(F.when(F.col("k") == i, F.col("p"))).alias(f"p{i}") for i in range(len(fractions))])
+
+
 def rank_summary(ranks: DataFrame, rank: str, ks: list[int]) -> DataFrame:
     """One row: share of ranks within each k, mean reciprocal rank, mean and median rank."""
     r = F.col(rank)
-    return ranks.agg(*[F.avg((r <= k).cast("int")).alias(f"recall_{k}") for k in ks], F.avg(1.0 / r).alias("mrr"), F.avg(r).alias("mean_rank"), F.percentile(r, F.lit(0.5)).alias("median_rank"), F.count("*").alias("n"))
+    means = ranks.agg(*[F.avg((r <= k).cast("int")).alias(f"recall_{k}") for k in ks], F.avg(1.0 / r).alias("mrr"), F.avg(r).alias("mean_rank"), F.count("*").alias("n"))
+    return means.crossJoin(percentiles(ranks, rank, [0.5]).withColumnRenamed("p0", "median_rank"))
+
+
+def mean_rounded(batches: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
+    """One row: the mean of each column over all batches, rounded half to even; null where no batch has a value. A column may be a
+    list of a batch's values, which are taken one by one."""
+    wide = {f.name: f.dataType.typeName() for f in batches.schema}
+    one = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))
+    total = lambda c: F.sum(one(c)) / F.sum(F.size(F.filter(c, lambda x: x.isNotNull()))) if wide[c] == "array" else F.avg(c)
+    return batches.agg(*[F.bround(total(c), digits).alias(c) for c in columns])
 
 
 def counts_of(items: Column) -> Column:
@@ -71,19 +94,50 @@ def multiset_metrics(rows: DataFrame, key: str, predicted: str, target: str) ->
     return out.withColumn("f1", 2 * F.col("recall") * F.col("precision") / F.greatest(F.col("recall") + F.col("precision"), F.lit(1.1920929e-7)))
 
 
-def hits_at(rows: DataFrame, key: str, predicted: str, target: str, ks: list[int]) -> DataFrame:
-    """(key, hit_1.., recall and jaccard of sets at each k): hit_j is whether the first max(ks) hold at least j
-    distinct targets."""
-    p, t = F.col(predicted), F.array_distinct(F.col(target))
-    widest = F.size(F.array_intersect(F.slice(p, 1, max(ks)), t))
-    cols = [(widest >= j).cast("int").alias(f"hit_{j}") for j in range(1, 6)]
+def hits_at(rows: DataFrame, key: str, predicted: str, target: str, ks: list[int], multiset: bool = False) -> DataFrame:
+    """(key, hit_1 to hit_5, hit_full, recall, precision and jaccard at each k): hit_j is whether the first max(ks) hold at
+    least j targets, hit_full whether they are just the targets in any order. Elements count once, or with
+    ``multiset`` as often as both sides have them."""
+    p, t = F.col(predicted), F.col(target) if multiset else F.array_distinct(F.col(target))
+
+    def at(k: int) -> tuple[Column, Column]:
+        top = F.slice(p, 1, k)
+        top = top if multiset else F.array_distinct(top)
+        return top, multiset_common(top, t) if multiset else F.size(F.array_intersect(top, t))
+
+    widest, most = at(max(ks))
+    cols = [(most >= j).cast("int").alias(f"hit_{j}") for j in range(1, 6)]
+    cols.append(((most == F.size(t)) & (most == F.size(widest))).cast("int").alias("hit_full"))
     for k in ks:
-        top = F.array_distinct(F.slice(p, 1, k))
-        common = F.size(F.array_intersect(top, t))
-        cols += [(common / F.greatest(F.size(t), F.lit(1))).alias(f"recall_{k}"), (common / F.greatest(F.size(F.array_union(top, t)), F.lit(1))).alias(f"jaccard_{k}")]
+        top, common = at(k)
+        share = lambda n, common=common: common / F.greatest(n, F.lit(1))
+        cols += [share(F.size(t)).alias(f"recall_{k}"), share(F.size(top)).alias(f"precision_{k}"), share(F.size(top) + F.size(t) - common).alias(f"jaccard_{k}")]
     return rows.select(key, *cols)
 
 
+def bundle_metrics(bundles: DataFrame, key: str, predicted: str, target: str) -> DataFrame:
+    """``multiset_metrics`` of lists of lists: what all items of a bundle hold, one after the other, as one multiset."""
+    flat = bundles.select(key, F.flatten(predicted).alias("p"), F.flatten(target).alias("t"))
+    return multiset_metrics(flat, key, "p", "t")
+
+
+def code_hits(predicted: DataFrame, key: str, codes: str, catalogue: DataFrame, item_codes: str) -> DataFrame:
+    """One row (predictions, hits, misses, hit_share): how many predicted codes the catalogue has. Codes are counted
+    before they are joined."""
+    counts = predicted.select(F.col(codes).alias("codes")).groupBy("codes").agg(F.count("*").alias("n"))
+    known = catalogue.select(F.col(item_codes).alias("codes")).distinct().withColumn("known", F.lit(1))
+    joined = counts.join(known, "codes", "left")
+    hits = F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return joined.agg(total.alias("predictions"), hits.alias("hits"), (total - hits).alias("misses"), F.when(total > 0, hits / total).otherwise(0.0).alias("hit_share"))
+
+
+def top_gaps(hits: DataFrame, key: str, score: str, rank: str) -> DataFrame:
+    """One row (queries, mean_top, mean_gap, least_gap): score of each query's first hit, and how far the second is behind."""
+    two = hits.where(F.col(rank) <= 2).groupBy(key).agg(F.max(F.when(F.col(rank) == 1, F.col(score))).alias("a"), F.max(F.when(F.col(rank) == 2, F.col(score))).alias("b"))
+    return two.agg(F.count("*").alias("queries"), F.avg("a").alias("mean_top"), F.avg(F.col("a") - F.col("b")).alias("mean_gap"), F.min(F.col("a") - F.col("b")).alias("least_gap"))
+
+
 def positional(rows: DataFrame, key: str, predicted: str, target: str) -> DataFrame:
     """(key, matches, share, all_match): elements equal at the same place."""
     same = F.size(F.filter(F.zip_with(predicted, target, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x))
@@ -166,28 +220,44 @@ def weighted_mean(rows: DataFrame, rate: str, weight: str) -> DataFrame:
     return rows.agg((F.sum(F.col(rate) * F.col(weight)) / F.sum(weight)).alias("mean"), F.sum(weight).alias("n"))
 
 
-def bootstrap_interval(values: DataFrame, value: str, samples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+def bootstrap_interval(values: DataFrame, value: str, samples: int = 1000, seed: int = 42, level: float = 0.95, key: str | None = None, slices: int = 4096) -> DataFrame:
     """One row: mean, low, high of the mean by a Poisson bootstrap: each value counts in each of ``samples``
-    resamples a Poisson number of times, seeded by the value's hash-free row draw within Arrow batches.
-    A partition adds up (samples) weights and sums, so nothing is gathered; the interval is the linear
-    percentile of the resampled means."""
+    resamples a Poisson number of times. Rows are dealt to slices by ``key`` (unique; else by the value and its place, where equal rows
+    may change places) and drawn in blocks of 512 of a slice, each with its own generator, whatever the Arrow batches
+    and partitions. A task adds up (samples) weights and sums, so nothing is gathered; the interval is
+    the linear percentile of the resampled means."""
 
     def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, weights = np.zeros(samples), np.zeros(samples)
+        own, block, held = -1, 0, np.zeros(0)
+
+        def draw(v: np.ndarray) -> None:
+            nonlocal block
+            n = np.random.default_rng([seed, own, block]).poisson(1.0, (samples, len(v)))
+            sums[:] += n @ v
+            weights[:] += n.sum(1)
+            block += 1
+
         for pdf in source:
-            for h, block in pdf.groupby("h", sort=True):
-                rng = np.random.default_rng([seed, int(h)])
-                v = np.sort(block["v"].to_numpy())
-                for i in range(0, len(v), 512):
-                    draw = rng.poisson(1.0, (samples, len(v[i : i + 512])))
-                    sums += draw @ v[i : i + 512]
-                    weights += draw.sum(1)
+            for h, rows in pdf.groupby("h", sort=False):
+                if h != own:
+                    if len(held):
+                        draw(held)
+                    own, block, held = int(h), 0, np.zeros(0)
+                held = np.concatenate([held, rows["v"].to_numpy()])
+                while len(held) >= 512:
+                    draw(held[:512])
+                    held = held[512:]
+        if len(held):
+            draw(held)
         yield pd.DataFrame({"b": range(samples), "s": sums, "w": weights})
 
-    rows = values.where(F.col(value).isNotNull()).select(F.pmod(F.xxhash64(value), F.lit(4096)).alias("h"), F.col(value).cast("double").alias("v"))
-    parts = rows.repartition("h").sortWithinPartitions("h", "v").mapInPandas(run, "b int, s double, w double")
+    own = F.col(key) if key else F.struct(F.col(value), F.monotonically_increasing_id())
+    rows = values.where(F.col(value).isNotNull()).select(F.pmod(F.xxhash64(own), F.lit(slices)).cast("int").alias("h"), F.col(value).cast("double").alias("v"), own.alias("k"))
+    parts = rows.repartition("h").sortWithinPartitions("h", "k").drop("k").mapInPandas(run, "b int, s double, w double")
     means = parts.groupBy("b").agg((F.sum("s") / F.sum("w")).alias("m"))
     tail = (1 - level) / 2
+    # of ``samples`` numbers, not of rows
     band = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     return rows.agg(F.avg("v").alias("mean"), F.count("*").alias("n")).crossJoin(band)
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quaverlake.functions import hashing, vec
 from quaverlake.operators import knn
+from quaverlake.operators.metrics import places
+from quaverlake.operators.tokens import rvq_decode
 
 
 def known_items(lists: DataFrame, key: str, items: str, catalogue: DataFrame, catalogue_key: str) -> DataFrame:
@@ -35,13 +37,13 @@ def expand(lists: DataFrame, key: str, items: str, catalogue: DataFrame, catalog
     return given.unionByName(padded).where(F.col("place") < k)
 
 
-def select_items(lists: DataFrame, key: str, items: str, catalogue: DataFrame, catalogue_key: str, vector: str, k: int) -> DataFrame:
-    """(key, place, item): the known items of each list, if more than ``k`` the ``k`` that cover it best."""
+def select_items(lists: DataFrame, key: str, items: str, catalogue: DataFrame, catalogue_key: str, vector: str, k: int, dims: int = 64) -> DataFrame:
+    """(key, place, item): the known items of each list, if more than ``k`` the ``k`` with a usable vector that cover it best."""
     known = known_items(lists, key, items, catalogue, catalogue_key)
     sizes = known.groupBy(key).agg(F.count("*").alias("n"))
     few = known.join(sizes.where(F.col("n") <= k).select(key), key).select(key, F.col("pos").cast("int").alias("place"), "item")
     many = known.join(sizes.where(F.col("n") > k).select(key), key)
-    table = catalogue.select(F.col(catalogue_key).cast("string").alias("item"), F.col(vector).alias("v")).where(vec.usable("v", 0) | F.col("v").isNotNull()).dropDuplicates(["item"])
+    table = catalogue.select(F.col(catalogue_key).cast("string").alias("item"), F.col(vector).alias("v")).where(vec.usable("v", dims)).dropDuplicates(["item"])
     return few.unionByName(knn.coverage_selection(many.join(table, "item"), key, "pos", "item", "v", k))
 
 
@@ -75,17 +77,61 @@ def by_code(predicted: DataFrame, key: str, codes: str, vector: str, catalogue:
     return direct.unionByName(near.select("query_id", "item", F.lit("nearest").alias("how"))).withColumnRenamed("query_id", key)
 
 
+def code_features(predicted: DataFrame, key: str, codes: str, catalogue: DataFrame, item_codes: str, item_vector: str, books: DataFrame, dims: int) -> DataFrame:
+    """(key, vector, how): the vector of the catalogue row with exactly these codes (``direct``; the smallest in array order, if several), else
+    the sum of their codewords (``codebook``). ``books`` is (level, code, vec)."""
+    exact = catalogue.groupBy(F.col(item_codes).alias("codes")).agg(F.min(F.col(item_vector).cast("array<double>")).alias("vector"))
+    p = predicted.select(F.col(key), F.col(codes).alias("codes"))
+    direct = p.join(exact, "codes").select(key, "vector", F.lit("direct").alias("how"))
+    rest = p.join(exact.select("codes"), "codes", "left_anti")
+    return direct.unionByName(rvq_decode(rest, key, "codes", books, dims).select(key, "vector", F.lit("codebook").alias("how")))
+
+
 def pools(truth: DataFrame, key: str, item: str, catalogue: DataFrame, catalogue_key: str, size: int, seed: int = 42) -> DataFrame:
-    """(key, item, is_label): each key's true items and ``size`` others as distractors. Distractors are the first by
-    hash of the whole catalogue, the same for every key but for its own items, so nothing is drawn per key."""
-    first = catalogue.select(F.col(catalogue_key).cast("string").alias("item")).distinct().orderBy(hashing.digest("pool", seed, F.col("item")), "item").limit(4 * size)
+    """(key, item, is_label): each key's true items and ``size`` others as distractors (all others, if there are fewer).
+    The catalogue stands in hash order; a key draws what follows its own place in it, so each key has others, as many places as
+    it has labels more than ``size``, so that enough are left however many labels it meets."""
+    ids = catalogue.select(F.col(catalogue_key).cast("string").alias("item")).distinct()
+    order = places(ids, hashing.digest("pool", seed, F.col("item")), F.col("item")).select("item", (F.col("rank") - 1).alias("place"))
+    n = order.agg(F.count("*").alias("n"))
     labels = truth.select(F.col(key), F.col(item).cast("string").alias("item")).distinct()
-    order = first.select("item", hashing.digest("pool", seed, F.col("item")).alias("h"))
-    others = labels.select(key).distinct().crossJoin(F.broadcast(order)).join(labels, [key, "item"], "left_anti")
-    chosen = others.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("h", "item"))).where(F.col("place") <= size)
+    start = F.conv(F.substring(hashing.digest("start", seed, F.col(key)), 1, 15), 16, 10).cast("long")
+    keys = labels.groupBy(key).agg(F.count("*").alias("m")).crossJoin(F.broadcast(n)).where("n > 0")
+    drawn = keys.select(key, "n", F.pmod(start, F.col("n")).alias("s"), F.explode(F.sequence(F.lit(0), F.least(F.col("m") + size, F.col("n")) - 1)).alias("j"))
+    met = drawn.select(key, "j", F.pmod(F.col("s") + F.col("j"), F.col("n")).alias("place")).join(order, "place").join(labels, [key, "item"], "left_anti")
+    chosen = met.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("j"))).where(F.col("r") <= size)
     return labels.withColumn("is_label", F.lit(True)).unionByName(chosen.select(key, "item", F.lit(False).alias("is_label")))
 
 
+def from_pools(pooled: DataFrame, key: str, queries: DataFrame, query_vector: str, table: DataFrame, table_key: str, vector: str, k: int, repeats: bool = False) -> DataFrame:
+    """(key, step, item): of each key's pool (what ``pools`` gives) the item nearest to each of its queries, one per
+    step from 0, ties by the smaller id. Unless ``repeats``, an item that an earlier step took is passed over. A pool is a
+    short list; a key's pool and queries are one group."""
+    import numpy as np
+    import pandas as pd
+
+    t = table.select(F.col(table_key).cast("string").alias("item"), vec.l2(vector).alias("v")).where(F.col("v").isNotNull())
+    members = pooled.select(F.col(key), "item").join(t, "item").select(key, F.lit(-1).alias("step"), "item", "v")
+    asked = queries.select(F.col(key), F.col("step").cast("int"), F.lit(None).cast("string").alias("item"), vec.l2(query_vector).alias("v")).where(F.col("v").isNotNull() & (F.col("step") < k))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pool = pdf[pdf["step"] < 0].sort_values("item")
+        steps = pdf[pdf["step"] >= 0].sort_values("step")
+        if not len(pool) or not len(steps):
+            return pd.DataFrame({key: [], "step": [], "item": []})
+        score = np.round(np.stack(steps["v"].to_numpy()) @ np.stack(pool["v"].to_numpy()).T, 6)
+        took: list[int] = []
+        for row in score:
+            if not repeats:
+                row[took] = -np.inf
+            if np.isfinite(row).any():
+                took.append(int(np.argmax(row)))
+        return pd.DataFrame({key: pdf[key].iloc[0], "step": steps["step"].to_numpy()[: len(took)], "item": pool["item"].to_numpy()[took]})
+
+    kind = pooled.schema[key].dataType.simpleString()
+    return members.unionByName(asked).groupBy(key).applyInPandas(run, f"`{key}` {kind}, step int, item string")
+
+
 def nearest_of_all(generated: DataFrame, key: str, vector: str, catalogue: DataFrame, item: str, item_vector: str, dims: int = 64) -> DataFrame:
     """(key, item, score): the highest cosine of each generated vector to the whole catalogue."""
     q = generated.select(F.col(key).cast("string").alias("query_id"), F.col(vector).alias("qvec"))

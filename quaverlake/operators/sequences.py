@@ -80,7 +80,7 @@ def windows(mapped: DataFrame, gap: int | None, window: int = 20, block: int = B
 def with_verdict(wins: DataFrame, references: int = 15, min_references: int = 8, min_targets: int = 3) -> DataFrame:
     """Adds unique_references, unique_targets and verdict: ``references`` if too few distinct ones, else
     ``targets`` if too few of those, else ``kept``."""
-    refs, targets = F.slice("items", 1, references), F.slice("items", references + 1, 1000)
+    refs, targets = F.slice("items", 1, references), F.slice("items", F.lit(references + 1), F.size("items"))
     out = wins.withColumn("unique_references", F.size(F.array_distinct(refs))).withColumn("unique_targets", F.size(F.array_distinct(targets)))
     verdict = F.when(F.col("unique_references") < min_references, "references").when(F.col("unique_targets") < min_targets, "targets").otherwise("kept")
     return out.withColumn("verdict", verdict)
@@ -115,7 +115,7 @@ def record_lines(chosen: DataFrame, seed: int = 42, prefix: str = "m4a") -> Data
 def repeat_stats(kept: DataFrame, references: int = 15) -> DataFrame:
     """One row: windows with any repeat, with a target among the references, with equal targets, and
     how many targets are among the references."""
-    refs, targets = F.slice("items", 1, references), F.slice("items", references + 1, 1000)
+    refs, targets = F.slice("items", 1, references), F.slice("items", F.lit(references + 1), F.size("items"))
     again = F.size(F.filter(targets, lambda x: F.array_contains(refs, x)))
     return kept.select(
         (F.size(F.array_distinct("items")) < F.size("items")).cast("long").alias("r"), (again > 0).cast("long").alias("o"), again.cast("long").alias("n"), (F.size(F.array_distinct(targets)) < F.size(targets)).cast("long").alias("d")
@@ -131,12 +131,19 @@ def capped_counts(kept: DataFrame, caps: list[int], seed: int, test_fraction: fl
 
 def gap_audit(mapped: DataFrame, thresholds: list[int | None], window: int = 20, references: int = 15) -> DataFrame:
     """(threshold, windows, users, unique_window_share, five_target_share) for each gap; -1 stands for
-    any gap. The mapped events are positioned once for all thresholds."""
-    out = None
-    for gap in thresholds:
-        wins = windows(mapped, gap, window).select(F.lit(-1 if gap is None else gap).alias("threshold"), "user", (F.size(F.array_distinct("items")) == window).cast("int").alias("u"), (F.size(F.array_distinct(F.slice("items", references + 1, window - references))) == window - references).cast("int").alias("f"))
-        out = wins if out is None else out.unionByName(wins)
-    per_user = out.groupBy("threshold", "user").agg(F.count("*").alias("n"), F.sum("u").alias("u"), F.sum("f").alias("f"))
+    any gap. One pass over the mapped events: a window is one at every threshold that its widest gap doesn't exceed."""
+    parted = _blocks(mapped, window, BLOCK)
+    order = Window.partitionBy("user", "block").orderBy("mrn")
+    skipped = parted.withColumn("skipped", F.coalesce(F.col("rn") - F.lag("rn").over(order) - 1, F.lit(0)))
+    over = order.rowsBetween(-(window - 1), 0)
+    seen = skipped.select("user", "own", F.max("skipped").over(order.rowsBetween(-(window - 2), 0)).alias("widest"), F.count("*").over(over).alias("length"), F.collect_list("item").over(over).alias("items"))
+    full = seen.where(F.col("own") & (F.col("length") == window)).select("user", "widest", (F.size(F.array_distinct("items")) == window).cast("int").alias("u"), (F.size(F.array_distinct(F.slice("items", references + 1, window - references))) == window - references).cast("int").alias("f"))
+    # the widest gap only matters as the first threshold that allows it
+    limits = sorted(g for g in thresholds if g is not None)
+    least = F.coalesce(*[F.when(F.col("widest") <= g, F.lit(g)) for g in limits], F.lit(1 << 30)) if limits else F.lit(1 << 30)
+    few = full.groupBy("user", least.alias("least")).agg(F.count("*").alias("n"), F.sum("u").alias("u"), F.sum("f").alias("f"))
+    every = few.select("*", F.explode(F.array(*[F.lit((1 << 31) - 1 if g is None else g).cast("long") for g in thresholds])).alias("limit")).where("least <= limit")
+    per_user = every.groupBy(F.when(F.col("limit") == (1 << 31) - 1, -1).otherwise(F.col("limit")).cast("int").alias("threshold"), "user").agg(F.sum("n").alias("n"), F.sum("u").alias("u"), F.sum("f").alias("f"))
     return per_user.groupBy("threshold").agg(F.sum("n").alias("windows"), F.count("*").alias("users"), (F.sum("u") / F.sum("n")).alias("unique_window_share"), (F.sum("f") / F.sum("n")).alias("five_target_share"))
 
 
@@ -163,8 +170,8 @@ def users_at_least(log: DataFrame, thresholds: list[int]) -> DataFrame:
 
 def file_order_streaks(log: DataFrame, window: int = 20, block: int = 1 << 16) -> DataFrame:
     """One row: in the order of source_row, the windows of uninterrupted mapped events of one user, steps
-    in time up and down within a user, and whether each user's rows lie together. Worked in blocks of
-    source_row: of each block only its first and last stretch are carried over."""
+    in time up and down within a user, and users_together: whether each user's rows lie together, so that there are as
+    many stretches of one user as users. Worked in blocks of source_row: of each block only its first and last stretch are carried over."""
     b = log.withColumn("block", F.floor(F.col("source_row") / block))
     order = Window.partitionBy("block").orderBy("source_row")
     prev_user, prev_item, prev_ts = F.lag("user").over(order), F.lag(F.col("item").isNotNull()).over(order), F.lag("ts").over(order)
@@ -184,7 +191,12 @@ def file_order_streaks(log: DataFrame, window: int = 20, block: int = 1 << 16) -
     stepped = numbered.withColumn("eu", (touching & (F.col("pu") == F.col("user")) & (F.col("first_ts") > F.col("pt"))).cast("int")).withColumn("ed", (touching & (F.col("pu") == F.col("user")) & (F.col("first_ts") < F.col("pt"))).cast("int"))
     chains = stepped.groupBy("chain").agg(F.first("mapped").alias("mapped"), F.sum("n").alias("n"), F.sum(F.col("up") + F.coalesce("eu", F.lit(0))).alias("u"), F.sum(F.col("down") + F.coalesce("ed", F.lit(0))).alias("d"))
     outer = chains.agg(F.coalesce(F.sum(F.when(F.col("mapped"), gain(F.col("n")))), F.lit(0)).alias("w2"), F.coalesce(F.sum("u"), F.lit(0)).alias("u2"), F.coalesce(F.sum("d"), F.lit(0)).alias("d2"))
-    return inner.crossJoin(outer).select((F.col("w") + F.col("w2")).alias("contiguous_windows"), (F.col("u") + F.col("u2")).alias("increases"), (F.col("d") + F.col("d2")).alias("decreases"))
+    # stretches of one user: changes within blocks, and block borders with another user on the other side
+    borders = b.groupBy("block").agg(F.min_by("user", "source_row").alias("first"), F.max_by("user", "source_row").alias("last"))
+    crossed = borders.withColumn("before", F.lag("last").over(Window.orderBy("block"))).agg(F.count(F.when(F.coalesce(F.col("before") != F.col("first"), F.lit(True)), 1)).alias("crossed"))
+    changes = marked.agg(F.count(F.when(~F.col("same"), 1)).alias("changes"), F.count_distinct("user").alias("users"))
+    together = changes.crossJoin(crossed).select((F.col("changes") + F.col("crossed") == F.col("users")).alias("users_together"))
+    return inner.crossJoin(outer).crossJoin(together).select((F.col("w") + F.col("w2")).alias("contiguous_windows"), (F.col("u") + F.col("u2")).alias("increases"), (F.col("d") + F.col("d2")).alias("decreases"), "users_together")
 
 
 def rolling(playlists: DataFrame, key: str, items: str, window: int = 20) -> DataFrame:

@@ -10,14 +10,33 @@ from quaverlake.functions import hashing
 
 def balanced_sides(cases: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """(key, case_code, generated_on_a): half of the cases, one more if odd, have the generated song on side A,
-    by hash order; codes are opaque. A study has a bounded number of cases."""
-    h = cases.select(F.col(key).alias("key"), hashing.digest("side", seed, F.col(key)).alias("h"), hashing.digest("case", seed, F.col(key)).alias("c"))
-    n = h.agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy("h", "key"))
-    ranked = h.withColumn("place", place).crossJoin(F.broadcast(n))
+    by hash order; codes are opaque. The place in hash order comes from counts of hash prefixes."""
+    h = cases.select(F.col(key).alias("key"), hashing.digest("side", seed, F.col(key)).alias("h"), hashing.digest("case", seed, F.col(key)).alias("c")).withColumn("p", F.substring("h", 1, 3))
+    counts = h.groupBy("p").agg(F.count("*").alias("n"))
+    # 4096 prefixes at most
+    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("p").orderBy("h", "key")) + F.col("n0")
+    ranked = h.join(F.broadcast(before), "p").withColumn("place", place).crossJoin(F.broadcast(n))
     return ranked.select(F.col("key").alias(key), F.substring("c", 1, 12).alias("case_code"), (F.col("place") <= F.ceil(F.col("n") / 2)).alias("generated_on_a"))
 
 
+def parsed_flag(column: Column | str) -> Column:
+    """True and false as people and programs write them (true, 1, yes; false, 0, no; any case, blanks around); else null."""
+    c = F.lower(F.trim((F.col(column) if isinstance(column, str) else column).cast("string")))
+    return F.when(c.isin("true", "1", "yes"), True).when(c.isin("false", "0", "no"), False)
+
+
+def next_item_pairs(playlists: DataFrame, key: str, items: str, catalogue: DataFrame, catalogue_key: str, heard: int = 15, seed: int = 42) -> DataFrame:
+    """(key, next_item, generated_on_a): the item that follows the first ``heard`` of each list and the side that the generated
+    song is on. Only the immediately following one will do: a list that ends there, or whose next item the catalogue lacks,
+    has no row, and nothing is put in its place."""
+    following = playlists.where(F.size(items) > heard).select(F.col(key), F.element_at(items, heard + 1).alias("next_item"))
+    have = catalogue.select(F.col(catalogue_key).alias("next_item")).distinct()
+    found = following.join(have, "next_item", "left_semi")
+    return found.join(balanced_sides(found, key, seed).select(key, "generated_on_a"), key).select(key, "next_item", "generated_on_a")
+
+
 def least_used(cases: DataFrame, assignments: DataFrame, key: str) -> DataFrame:
     """(key, n, a, eligible): uses of every case, never used ones too, how often with side A, and whether it is among
     the least used."""

@@ -74,6 +74,40 @@ def masks(references: int, items: Column) -> tuple[Column, Column]:
     return F.array_repeat(F.lit(True), length), target
 
 
+def encode_playlist(blocks: DataFrame, key: str, pos: str, block: str, references: int, vector: str | None = None, dims: int = 64) -> DataFrame:
+    """(key, input_ids, attention_mask, target_mask[, mu, sigma2]): from one row per item of each list, with its
+    place from 0, its block of tokens and its vector. Attention is on all but BOS, BOI and EOS; targets are
+    the tokens, but for BOI, of the items after the first ``references``; mu and sigma2 are the mean of the references' vectors
+    and their mean squared distance from it. Lists of fewer than three items, or not longer than ``references``, have no row."""
+    rows = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(block).alias("b"), *([F.col(vector).cast("array<double>").alias("v")] if vector else [])))).alias("x"))
+    rows = rows.where((F.size("x") >= 3) & (F.size("x") > references) & F.lit(references >= 2))
+    ids = F.concat(F.array(F.lit(LAYOUT.bos)), F.flatten(F.transform("x", lambda r: r["b"])), F.array(F.lit(LAYOUT.eos)))
+    item = F.transform("x", lambda r, i: F.concat(F.array(F.lit(False)), F.array_repeat(i >= references, F.size(r["b"]) - 1)))
+    out = rows.select(key, ids.alias("input_ids"), F.concat(F.array(F.lit(False)), F.flatten(item), F.array(F.lit(False))).alias("target_mask"), "x")
+    attention = F.transform("input_ids", lambda t: ~t.isin(LAYOUT.bos, LAYOUT.boi, LAYOUT.eos))
+    columns = [key, "input_ids", attention.alias("attention_mask"), "target_mask"]
+    if vector:
+        out = out.withColumn("r", F.transform(F.slice("x", 1, references), lambda r: r["v"]))
+        total = F.aggregate("r", F.array_repeat(F.lit(0.0), dims), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+        out = out.withColumn("mu", F.transform(total, lambda a: a / references))
+        far = F.aggregate(F.transform("r", lambda v: F.aggregate(F.zip_with(v, F.col("mu"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)), F.lit(0.0), lambda s, x: s + x)
+        columns += ["mu", (far / references).alias("sigma2")]
+    return out.select(*columns)
+
+
+def tokenised_splits(encoded: DataFrame, key: str, split: str, ids: str, references: int, targets: int, test: str = "test") -> DataFrame:
+    """(key, split, input_ids, target_mask, labels): train rows as they are, without labels; rows of split ``test`` cut to
+    their references and EOS, nothing in the mask, the semantic tokens of their targets as labels. Rows of another
+    number of items than both together have no row."""
+    whole = encoded.where(F.size(ids) == LAYOUT.length(references + targets))
+    held = F.col(split) == test
+    context = F.concat(F.slice(ids, 1, 1 + references * LAYOUT.stride), F.array(F.lit(LAYOUT.eos)))
+    label = F.array(*[F.slice(ids, (references + i) * LAYOUT.stride + 3, LAYOUT.levels + 1) for i in range(targets)])
+    first = 1 + references * LAYOUT.stride
+    mask = F.transform(F.sequence(F.lit(0), F.size(ids) - 1), lambda i: (i > first) & (i < F.size(ids) - 1) & (F.pmod(i - 1, F.lit(LAYOUT.stride)) != 0))
+    return whole.select(key, split, F.when(held, context).otherwise(F.col(ids)).alias("input_ids"), F.when(held, F.transform(context, lambda t: F.lit(False))).otherwise(mask).alias("target_mask"), F.when(held, label).alias("labels"))
+
+
 def completion(context: Column, n: int) -> tuple[Column, Column]:
     """A context (ending in EOS) with ``n`` blocks to fill in before its EOS, and the mask of what to fill:
     all of a block but its BOI."""
@@ -84,6 +118,25 @@ def completion(context: Column, n: int) -> tuple[Column, Column]:
     return ids, holes
 
 
+def legacy_type_ranges(spark, items: int, levels: int = 4, codes: int = 256, boi: int | None = None) -> DataFrame:
+    """(pos, low, high): tokens allowed at each position of an older sequence of ``items`` blocks of a BOI and ``levels`` codes, without
+    BOS, cues or EOS; code c of level l is l * codes + c + 1, and BOI the next id after all of them unless given."""
+    stride = levels + 1
+    role = F.pmod(F.col("id"), F.lit(stride))
+    mark = levels * codes + 1 if boi is None else boi
+    low = F.when(role == 0, mark).otherwise((role - 1) * codes + 1)
+    high = F.when(role == 0, mark).otherwise(role * codes)
+    return spark.range(items * stride).select(F.col("id").cast("int").alias("pos"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+
+def legacy_encode(lists: DataFrame, key: str, items: str, codes: DataFrame, item_key: str, code_column: str, boi: int | None = None, width: int = 256) -> DataFrame:
+    """(key, tokens): older token lists: every item's codes as l * width + c + 1, after a BOI if one is given; items without codes are left out."""
+    level = F.transform(code_column, lambda c, i: i * width + c + 1)
+    table = codes.select(F.col(item_key).alias("item"), (F.concat(F.array(F.lit(boi)), level) if boi is not None else level).alias("block"))
+    rows = lists.select(key, F.posexplode(items).alias("pos", "item")).join(table, "item")
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("b")).select(key, F.flatten(F.transform("b", lambda x: x["block"])).alias("tokens"))
+
+
 def type_ranges(spark, items: int) -> DataFrame:
     """(pos, low, high): tokens allowed at each position of a sequence of ``items`` blocks."""
     length = LAYOUT.length(items)
@@ -113,9 +166,26 @@ def decode(sequences: DataFrame, key: str, ids: str) -> DataFrame:
 
 
 def conflict_digits(coded: DataFrame, key: str, codes: str, order: str) -> DataFrame:
-    """(key, digit): how many rows with the same codes come before, from 0, by ``order``. Tens of rows share
+    """(key, digit): the row's place among those with the same codes, from 1, by ``order``. Tens of rows share
     codes in a sound codebook; the window is by code, not over all rows."""
-    return coded.select(key, (F.row_number().over(Window.partitionBy(codes).orderBy(order, key)) - 1).alias("digit"))
+    return coded.select(key, F.row_number().over(Window.partitionBy(codes).orderBy(order, key)).alias("digit"))
+
+
+def conflict_levels(digits: DataFrame, digit: str, levels: int = LAYOUT.levels, codes: int = LAYOUT.codes) -> DataFrame:
+    """(most, codes, rows, space_share): how many codes are shared by ``most`` rows, the rows they have, and the share
+    of all codes * levels combinations that they are. ``digits`` has one row per row, numbered within its code."""
+    again = digits.groupBy(F.col(digit).alias("at")).agg(F.count("*").alias("n"))
+    # n rows have place d, so n(d) - n(d + 1) codes end there
+    after = again.select((F.col("at") - 1).alias("at"), F.col("n").alias("more"))
+    ends = again.join(after, "at", "left").select(F.col("at").alias("most"), (F.col("n") - F.coalesce("more", F.lit(0))).alias("codes")).where("codes > 0")
+    return ends.select("most", "codes", (F.col("most") * F.col("codes")).alias("rows"), (F.col("codes") / F.lit(float(codes**levels))).alias("space_share"))
+
+
+def allowed_next(coded: DataFrame, codes: str, used: DataFrame) -> DataFrame:
+    """(prefix, next): as ``prefix_index``, without the tokens under which every code is in ``used`` (a table of codes,
+    column ``codes``): a prefix whose codes are all used up leads nowhere."""
+    rows = coded.select(F.col(codes).alias("c")).where(F.size("c") > 0).distinct()
+    return prefix_index(rows.join(used.select(F.col("codes").alias("c")).distinct(), "c", "left_anti"), "c")
 
 
 def prefix_index(coded: DataFrame, codes: str) -> DataFrame:

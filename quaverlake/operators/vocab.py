@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaverlake.functions import text
-from quaverlake.session import spread
+from quaverlake.functions import hashing, text
+from quaverlake.operators.knn import greedy_distinct
+from quaverlake.operators.metrics import places
+from quaverlake.session import spread, stored
 
 
 def phrases(docs: DataFrame, key: str, column: str, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -58,6 +63,34 @@ def ranking_scores(df: DataFrame, n_docs: Column, band_target: float = 0.02) ->
     return df.withColumn("idf", idf).withColumn("df_idf", F.col("df") * idf).withColumn("band", band)
 
 
+def random_score(seed: int = 0) -> Column:
+    """A ranking by chance, the same wherever it is computed: the first 13 hex digits of a hash of the phrase."""
+    return F.conv(F.substring(hashing.digest("rank", seed, F.col("phrase")), 1, 13), 16, 10).cast("double")
+
+
+def char_gram_vectors(rows: DataFrame, key: str, column: str, low: int = 2, high: int = 4, dims: int = 1024) -> DataFrame:
+    """(key, emb): TF-IDF vectors of a phrase's pieces of ``low`` to ``high`` characters within its words, each with a blank at both ends, of
+    length one. Weight tf * (ln((1 + N) / (1 + df)) + 1). Pieces are hashed to ``dims`` places, so vectors are no longer than that however many
+    pieces there are. A phrase without a word has the zero vector."""
+    own = rows.select(F.col(key), F.explode_outer(F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != "")).alias("w"))
+    words = own.select(key, F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
+    pieces = F.concat(*[text.char_grams(F.col("w"), n) for n in range(low, high + 1)])
+    grams = words.select(key, F.explode_outer(pieces).alias("g")).groupBy(key, "g").agg(F.count("*").alias("tf"))
+    total = rows.select(key).distinct().agg(F.count("*").alias("n"))
+    df = grams.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("g", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    placed = grams.join(df, "g", "left").select(key, F.pmod(F.xxhash64("g"), F.lit(dims)).cast("int").alias("at"), F.coalesce(F.col("tf") * F.col("idf"), F.lit(0.0)).alias("w"))
+    summed = placed.groupBy(key, "at").agg(F.sum("w").alias("w")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return summed.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0)).alias("emb"))
+
+
+def near_duplicates_removed(phrases: DataFrame, idf: str, threshold: float = 0.92, limit: int = 50_000) -> DataFrame:
+    """(phrase): the phrases, rarest first and then by text, that are no closer than ``threshold`` to one kept before, by the vectors of their
+    pieces. For vocabularies of at most ``limit`` phrases; more raise an error."""
+    ranked = places(phrases.select("phrase", F.bround(idf, 9).alias("__s")), F.desc("__s"), F.asc("phrase")).select("phrase", F.col("rank").alias("o"))
+    vectors = char_gram_vectors(ranked, "phrase", "phrase").join(ranked, "phrase")
+    return greedy_distinct(vectors, "phrase", "o", "emb", threshold, limit)
+
+
 def select_vocabulary(scored: DataFrame, score: str, size: int, digits: int = 9) -> DataFrame:
     """(cue_id, cue, is_pad): ``<unk>`` is 0, then the ``size`` - 1 phrases of highest score, ties by text, then
     ``<pad_i>`` up to ``size``. A vocabulary is a bounded table; the cut before ranking is a top-k."""
@@ -75,7 +108,17 @@ def tfidf_top(docs: DataFrame, key: str, column: str, top: int = 10, min_df: int
     stop = F.array(*[F.lit(w) for w in text.STOPWORDS])
     tokens = F.filter(words(column), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
     lists = spread(docs).select(key, tokens.alias("t")).select(key, F.concat(F.col("t"), text.ngrams(F.col("t"), 2)).alias("terms"))
-    tf = lists.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
+    # a document's terms are counted where it lies: no shuffle of all its words
+    def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                counts = [Counter(t) for t in part.column(1).to_pylist()]
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(counts)), [len(c) for c in counts])))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], names=[key, "term", "c"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    tf = stored(lists.select(key, F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).mapInArrow(counted, f"`{key}` {kind}, term string, c long"))
     total = docs.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(total)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     weighted = tf.join(df, "term").select(key, "term", ((1.0 + F.log(F.col("c").cast("double"))) * F.col("idf")).alias("w"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaverlake.plans import content_queries, model_queries, retrieval_queries, sequence_queries
+from quaverlake.plans import assembly_queries, content_queries, model_queries, retrieval_queries, sequence_queries
 
 FLAGSHIP = "seq_windows"
-PARTS = (sequence_queries, content_queries, model_queries, retrieval_queries)
+PARTS = (sequence_queries, content_queries, model_queries, retrieval_queries, assembly_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

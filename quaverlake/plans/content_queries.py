@@ -89,33 +89,23 @@ def txt_stability(spark, d):
 
 
 def txt_tfidf(spark, d):
-    """Terms of the letters a to z, as its SQL has them; ``txt_tfidf_all`` is over the words of every script."""
-    return vocab.tfidf_top(_docs(spark, d), "doc_id", "text", 5)
-
-
-def txt_tfidf_all(spark, d):
+    """Five terms of every document, of the words of every script."""
     return vocab.tfidf_top(_docs(spark, d), "doc_id", "text", 5, words=text.word_runs)
 
 
-def txt_unique_lines(spark, d):
-    """Of the text's printable ASCII, as its SQL has it; ``txt_unique_lines_all`` is of the stored text."""
-    rows = _docs(spark, d).where("source = 'lyric_draft' AND text IS NOT NULL")
-    clean = text.unique_lines(F.regexp_replace("text", r"[^\x0a\x20-\x7e]", ""))
-    return rows.select("doc_id", F.md5(clean).alias("digest"), F.length(clean).alias("n"))
+def txt_tfidf_letters(spark, d):
+    """As ``txt_tfidf``, of the letters a to z, as the phrases are."""
+    return vocab.tfidf_top(_docs(spark, d), "doc_id", "text", 5)
 
 
-def txt_unique_lines_all(spark, d):
+def txt_unique_lines(spark, d):
+    """Each line of every lyric draft once, of the text as stored."""
     rows = _docs(spark, d).where("source = 'lyric_draft' AND text IS NOT NULL").select("doc_id", text.unique_lines("text").alias("clean"))
     return rows.select("doc_id", F.md5("clean").alias("digest"), F.length("clean").alias("n"))
 
 
 def txt_excerpts(spark, d):
-    """Of the text's printable ASCII, as its SQL has it; ``txt_excerpts_all`` is of the stored text."""
-    rows = _docs(spark, d).where("source = 'lyric_draft' AND text IS NOT NULL")
-    return rows.select("doc_id", text.excerpt(F.regexp_replace("text", r"[^\x0a\x20-\x7e]", ""), 200).alias("excerpt"))
-
-
-def txt_excerpts_all(spark, d):
+    """The first lines of every lyric draft, of the text as stored."""
     return _docs(spark, d).where("source = 'lyric_draft' AND text IS NOT NULL").select("doc_id", text.excerpt("text", 200).alias("excerpt"))
 
 
@@ -164,8 +154,10 @@ def feat_scaled(spark, d):
 
 
 def feat_top_genres(spark, d):
-    c = read(spark, d, "catalog_items").where("item_id IS NOT NULL").select("item_id", F.lower(F.trim("genre")).alias("genre")).where("genre <> ''").distinct()
-    return c.groupBy("genre").agg(F.count("*").alias("n"), F.min("item_id").alias("first_item")).orderBy(F.desc("n"), "genre").limit(20)
+    """The twenty genres of most items; of equal ones the one that comes first in the feature order."""
+    c = read(spark, d, "catalog_items").where("item_id IS NOT NULL").select("item_id", F.lower(F.trim("genre")).alias("genre"), F.when(F.col("feature_index") >= 0, F.col("feature_index")).alias("at")).where("genre <> ''").distinct()
+    counts = c.groupBy("genre").agg(F.count("*").alias("n"), F.coalesce(F.min("at"), F.lit(2147483647)).alias("first_index"))
+    return counts.orderBy(F.desc("n"), "first_index", "genre").limit(20)
 
 
 def feat_asset_flags(spark, d):
@@ -176,15 +168,6 @@ def feat_asset_flags(spark, d):
 
 
 def feat_metadata_strings(spark, d):
-    """Metadata strings of names of letters and spaces, as its SQL has them, parsed again;
-    ``feat_metadata_strings_all`` is of every item."""
-    c = read(spark, d, "catalog_items").where("item_id IS NOT NULL").groupBy("item_id").agg(F.max(F.struct("title", "artist", "album")).alias("r")).select("item_id", "r.*")
-    ok = c.where(F.col("title").rlike("^[A-Za-z ]+$") & F.col("artist").rlike("^[A-Za-z ]+$") & F.col("album").rlike("^[A-Za-z ]+$"))
-    raw = ok.select("item_id", F.concat(F.lit("'"), "title", F.lit("' by "), "artist", F.lit(" in album'"), "album", F.lit("'")).alias("raw"))
-    return raw.select("item_id", *readers.metadata(F.col("raw")))
-
-
-def feat_metadata_strings_all(spark, d):
     """Metadata strings made from every item with title, artist and album and parsed again."""
     c = read(spark, d, "catalog_items").where("item_id IS NOT NULL").groupBy("item_id").agg(F.max(F.struct("title", "artist", "album")).alias("r")).select("item_id", "r.*")
     raw = c.select("item_id", F.concat(F.lit("'"), "title", F.lit("' by "), "artist", F.lit(" in album'"), "album", F.lit("'")).alias("raw")).where("raw IS NOT NULL")
@@ -203,15 +186,6 @@ def vec_topk(spark, d):
 
 
 def vec_assigned(spark, d):
-    """Twelve cues in sixteen slots for the songs of the probes, as its SQL has it; ``vec_assigned_all`` is the whole job."""
-    cues = _cues(spark, d).where("cue_id > 0")
-    probes = read(spark, d, "knn_probes").where("collection = 'item'").select(F.col("query_id").alias("item_id")).distinct()
-    items = _items(spark, d).join(probes, "item_id", "left_semi").select(F.col("item_id").alias("query_id"), F.col("emb").alias("qvec"))
-    rows = knn.assigned(knn.exact_topk(cues, items, 12, "cue_id", "emb"), 16)
-    return rows.select("query_id", F.array_join("ids", ",").alias("ids"), F.size("scores").alias("n_scores"), F.size(F.filter("scores", lambda s: s.isNull())).alias("empty_slots"))
-
-
-def vec_assigned_all(spark, d):
     """Sixteen cues for every item with a usable vector, scores in order, empty slots as 0 with a null score."""
     cues = _cues(spark, d).where("cue_id > 0")
     items = _items(spark, d).select(F.col("item_id").alias("query_id"), F.col("emb").alias("qvec"))
@@ -278,7 +252,7 @@ def vec_diverse_cues(spark, d):
     return knn.diverse_topk(_cues(spark, d).where("cue_id > 0"), items, 8, 64, key="cue_id")
 
 
-_NAMES = (txt_phrases, txt_document_frequency, txt_scores, txt_blocked, txt_kept_phrases, txt_stage_counts, txt_vocabulary, txt_stability, txt_tfidf, txt_tfidf_all, txt_unique_lines, txt_unique_lines_all, txt_excerpts, txt_excerpts_all, txt_cue_keys, txt_song_documents, cue_usage, cue_health, cue_top, cue_score_rows, feat_scaled, feat_top_genres, feat_asset_flags, feat_metadata_strings, feat_metadata_strings_all, vec_norms, vec_topk, vec_assigned, vec_assigned_all, vec_centroids, vec_diversity, vec_centroid_neighbours, vec_history_fit, vec_coverage, vec_distinct_cues, vec_diverse_cues)
+_NAMES = (txt_phrases, txt_document_frequency, txt_scores, txt_blocked, txt_kept_phrases, txt_stage_counts, txt_vocabulary, txt_stability, txt_tfidf, txt_tfidf_letters, txt_unique_lines, txt_excerpts, txt_cue_keys, txt_song_documents, cue_usage, cue_health, cue_top, cue_score_rows, feat_scaled, feat_top_genres, feat_asset_flags, feat_metadata_strings, vec_norms, vec_topk, vec_assigned, vec_centroids, vec_diversity, vec_centroid_neighbours, vec_history_fit, vec_coverage, vec_distinct_cues, vec_diverse_cues)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -324,9 +298,6 @@ FROM m, (SELECT round_even(count(*) / 2047, 6) AS vocabulary_share, round_even(-
 def oracle_sql() -> dict[str, str]:
     nearest = lambda k, source: f"""WITH {_ITEMS}, {_CUES}, scored AS (SELECT i.item_id AS query_id, c.cue_id, round_even(list_inner_product(i.v, c.v) / (i.norm * c.norm), 6) AS score FROM {source} CROSS JOIN cues c),
 ranked AS (SELECT query_id, cue_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cue_id::VARCHAR) AS rank FROM scored QUALIFY rank <= {k})"""
-    probed = "(SELECT * FROM items WHERE item_id IN (SELECT query_id FROM knn_probes WHERE collection = 'item')) i"
-    line = "trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))"
-    ascii_text = "regexp_replace(text, '[^\\x0a\\x20-\\x7e]', '', 'g')"
     return {
         "txt_phrases": f"WITH {_PHRASES} SELECT doc_id, len(p)::INT AS phrases, len(list_distinct(p))::INT AS distinct_phrases FROM phrases",
         "txt_document_frequency": f"WITH {_PHRASES} SELECT phrase, df FROM band",
@@ -340,17 +311,11 @@ SELECT 0 AS stage, 'raw' AS name, count(*) AS phrases FROM df UNION ALL SELECT 1
 SELECT 0 AS cue_id, '<unk>' AS cue, false AS is_pad UNION ALL SELECT cue_id, cue, false FROM top UNION ALL SELECT g::INT, '<pad_' || g || '>', true FROM range(1, 2048) t(g) WHERE g NOT IN (SELECT cue_id FROM top)""",
         "txt_stability": f"""WITH {_PHRASES}, s AS (SELECT phrase, source IN ('review', 'artist_bio', 'research_abstract', 'wiki_stub', 'liner_note') AS l FROM ex WHERE source IS NOT NULL), c AS (SELECT phrase, l FROM s GROUP BY 1, 2 HAVING count(*) >= 5), g AS (SELECT phrase, count(*) AS n FROM c GROUP BY 1)
 SELECT count(*) FILTER (WHERE n = 2) AS common, count(*) AS either, CASE WHEN count(*) = 0 THEN 1.0 ELSE round_even(count(*) FILTER (WHERE n = 2) / count(*), 6) END AS jaccard FROM g""",
-        "txt_tfidf": f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x: length(x) > 1 AND NOT list_contains({_list(text.STOPWORDS)}, x)) AS t FROM documents),
+        "txt_tfidf_letters": f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x: length(x) > 1 AND NOT list_contains({_list(text.STOPWORDS)}, x)) AS t FROM documents),
 l AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM w), tf AS (SELECT doc_id, term, count(*) AS c FROM l GROUP BY 1, 2),
 df AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term HAVING count(*) >= 2),
 s AS (SELECT doc_id, term, (1.0 + ln(c)) * idf AS w FROM tf JOIN df USING (term)), n AS (SELECT doc_id, term, round_even(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM s)
 SELECT doc_id, term, weight, (row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term))::INT AS rank FROM n QUALIFY rank <= 5""",
-        "txt_unique_lines": f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split({ascii_text}, chr(10)), lambda x: {line}), lambda x: x <> '') AS lines FROM documents WHERE source = 'lyric_draft' AND text IS NOT NULL),
-u AS (SELECT doc_id, array_to_string(list_filter(lines, lambda x, i: list_position(list_transform(lines, lambda y: lower(y)), lower(x)) = i), chr(10)) AS clean FROM l)
-SELECT doc_id, md5(clean) AS digest, length(clean)::INT AS n FROM u""",
-        "txt_excerpts": f"""WITH l AS (SELECT doc_id, list_filter(string_split({ascii_text}, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents WHERE source = 'lyric_draft' AND text IS NOT NULL),
-e AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS x FROM l), s AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM e)
-SELECT l.doc_id, coalesce((SELECT string_agg(x, chr(10) ORDER BY i) FROM s WHERE s.doc_id = l.doc_id AND used <= 200), '') AS excerpt FROM l""",
         "txt_cue_keys": f"""WITH k AS (SELECT cue_id, list_filter(string_split(trim(regexp_replace(lower(cue), '[^a-z0-9'']+', ' ', 'g'), ' '''), ' '), lambda w: w <> '') AS t FROM cue_vocab), p AS (SELECT cue_id, array_to_string(t, ' ') AS phrase FROM k) SELECT cue_id, phrase AS cue_key, ({_KEEP}) AS kept FROM p""",
         "txt_song_documents": f"""WITH c AS ({_ITEM.format('title, artist, album, genre, mood, lyric_excerpt, tags')})
 SELECT item_id, concat_ws(' ', nullif(trim(title), ''), nullif(trim(album), ''), nullif(trim(genre), ''), nullif(trim(mood), ''), nullif(trim(lyric_excerpt), '')) AS document,
@@ -364,13 +329,11 @@ SELECT item_id, rank, x.cue_id, coalesce(cue, '<missing:' || x.cue_id || '>') AS
         "feat_scaled": f"""WITH c AS ({_ITEM.format('tempo, mood')}) SELECT item_id, round_even(CASE WHEN tempo IS NULL OR isnan(tempo) THEN 0.5 ELSE least(1.0, greatest(0.0, (tempo - 39.0::DOUBLE) / 196.0::DOUBLE)) END, 6) AS tempo_scaled,
 CASE WHEN tempo IS NULL THEN NULL WHEN tempo < 70 THEN 'very slow, ballad-paced' WHEN tempo < 100 THEN 'slow to moderate, relaxed' WHEN tempo < 120 THEN 'moderate, mid-tempo' WHEN tempo < 140 THEN 'upbeat, lively' ELSE 'fast-paced, energetic' END AS tempo_word,
 array_to_string(list_transform({_list(scalar.MOODS + ['bright', 'dreamy', 'solemn', 'tense', 'wistful'])}, lambda x: CASE WHEN lower(trim(mood)) = x THEN '1' ELSE '0' END), '') AS mood_hot FROM c""",
-        "feat_top_genres": "WITH c AS (SELECT DISTINCT item_id, lower(trim(genre)) AS genre FROM catalog_items WHERE item_id IS NOT NULL AND trim(genre) <> '') SELECT genre, count(*) AS n, min(item_id) AS first_item FROM c GROUP BY genre ORDER BY n DESC, genre LIMIT 20",
+        "feat_top_genres": "WITH c AS (SELECT DISTINCT item_id, lower(trim(genre)) AS genre, CASE WHEN feature_index >= 0 THEN feature_index END AS fi FROM catalog_items WHERE item_id IS NOT NULL AND trim(genre) <> '') SELECT genre, count(*) AS n, coalesce(min(fi), 2147483647) AS first_index FROM c GROUP BY genre ORDER BY n DESC, first_index, genre LIMIT 20",
         "feat_asset_flags": f"""WITH c AS ({_ITEM.format('title, artist, audio_path, lyric_excerpt')}), f AS (SELECT item_id, coalesce(trim(title) <> '', false) AND coalesce(trim(artist) <> '', false) AS has_meta, coalesce(trim(audio_path) <> '', false) AS has_audio, coalesce(trim(lyric_excerpt) <> '', false) AS has_lyrics FROM c) SELECT *, has_meta AND has_audio AND has_lyrics AS complete FROM f""",
-        "feat_metadata_strings": f"""WITH c AS ({_ITEM.format('title, artist, album')}) SELECT item_id, title, regexp_replace(artist, '^\\s+|\\s+$', '', 'g') AS artist, album FROM c WHERE regexp_full_match(title, '[A-Za-z ]+') AND regexp_full_match(artist, '[A-Za-z ]+') AND regexp_full_match(album, '[A-Za-z ]+')""",
         "vec_norms": f"WITH {_ITEMS} SELECT item_id, round_even(norm, 5) AS norm FROM items",
         "vec_topk": nearest(5, "items i") + " SELECT query_id, cue_id::VARCHAR AS item, rank::INT AS rank FROM ranked",
-        "vec_assigned": nearest(12, probed) + " SELECT query_id, array_to_string(list_concat(list(cue_id ORDER BY rank), [0, 0, 0, 0]), ',') AS ids, 16 AS n_scores, 4 AS empty_slots FROM ranked GROUP BY query_id",
-        "vec_assigned_all": nearest(16, "items i") + " SELECT query_id, array_to_string(list(cue_id ORDER BY rank), ',') AS ids, 16 AS n_scores, 0 AS empty_slots FROM ranked GROUP BY query_id",
+        "vec_assigned": nearest(16, "items i") + " SELECT query_id, array_to_string(list(cue_id ORDER BY rank), ',') AS ids, 16 AS n_scores, 0 AS empty_slots FROM ranked GROUP BY query_id",
         "vec_centroids": f"""WITH {_ITEMS}, {_LISTS}, a AS (SELECT prefix_id, count(*) AS n, [{_MU}] AS mu, avg(list_inner_product(v, v)) AS sq FROM members WHERE pos < 15 GROUP BY prefix_id)
 SELECT prefix_id, n, round_even(greatest(0, sq - list_inner_product(mu, mu)), 5) AS sigma2, round_even(mu[1], 5) + 0.0 AS mu_first, round_even(mu[64], 5) + 0.0 AS mu_last FROM a""",
         "vec_diversity": f"""WITH {_ITEMS}, {_LISTS}, p AS (SELECT a.prefix_id, avg(list_inner_product(a.v, b.v) / (a.norm * b.norm)) AS c FROM members a JOIN members b ON a.prefix_id = b.prefix_id AND a.pos < b.pos GROUP BY 1), n AS (SELECT prefix_id, count(*) AS n FROM members GROUP BY 1)

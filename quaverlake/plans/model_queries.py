@@ -76,7 +76,7 @@ def enc_prefix_index(spark, d):
 
 
 def enc_conflicts(spark, d):
-    """Rows of the code table that share their three codes, numbered."""
+    """Rows of the code table that share their three codes, numbered from 1 in the order of the stored conflict code."""
     rows = _coded(spark, d).select(F.array_join(F.transform("codes", lambda x: x.cast("string")), "-").alias("code"), F.array_join(F.transform(F.slice("codes", 1, 3), lambda x: x.cast("string")), "-").alias("three"), F.element_at("codes", 4).alias("c"))
     return tokens.conflict_digits(rows, "code", "three", "c").select("code", "digit")
 
@@ -144,20 +144,6 @@ def met_positional(spark, d):
 
 
 def met_ranking(spark, d):
-    """Popularity as a recommender: ranks of the 100 most used items against each test record's items, as its SQL has
-    it; ``met_ranking_all`` ranks every item."""
-    from pyspark.sql import Window
-
-    all_lists = lists(spark, d)
-    top = curation.item_frequency(all_lists.where("split_name = 'train'"), "prefix_id", "items").orderBy(F.desc("n"), "item").limit(100)
-    ranked = top.select("item", F.row_number().over(Window.orderBy(F.desc("n"), "item")).alias("rank"))
-    truth = all_lists.where("split_name = 'test'").select("prefix_id", F.explode("items").alias("item"))
-    keys = truth.select("prefix_id").distinct()
-    out = metrics.ranking(keys.crossJoin(F.broadcast(ranked)), truth, "prefix_id", "item", "rank", [5, 10, 50])
-    return out.select("prefix_id", *[F.bround(c, 6).alias(c) for c in ("recall_5", "recall_50", "precision_10", "reciprocal_rank")], "n_truth")
-
-
-def met_ranking_all(spark, d):
     """Popularity as a recommender: ranks of all items used in training against each test record's items."""
     all_lists = lists(spark, d)
     used = curation.item_frequency(all_lists.where("split_name = 'train'"), "prefix_id", "items")
@@ -168,18 +154,6 @@ def met_ranking_all(spark, d):
 
 
 def met_rank_summary(spark, d):
-    """Place of the first stored cue among the cues nearest to the vector, of the probed items only, as its SQL has
-    it; ``met_rank_summary_all`` is over every item."""
-    cues = read(spark, d, "cue_vocab").where("cue_id > 0")
-    probes = read(spark, d, "knn_probes").where("collection = 'item'").select(F.col("query_id").alias("item_id")).distinct()
-    items = _items(spark, d).join(probes, "item_id", "left_semi").select(F.col("item_id").alias("query_id"), F.col("emb").alias("qvec"))
-    hits = knn.exact_topk(cues, items, 2047, "cue_id", "emb")
-    own = _mappings(spark, d).where("cue_ids IS NOT NULL").select(F.col("item_id").alias("query_id"), F.element_at("cue_ids", 1).cast("string").alias("item"))
-    out = metrics.rank_summary(hits.join(own, ["query_id", "item"]), "rank", [1, 10, 100])
-    return out.select(*[F.bround(c, 6).alias(c) for c in ("recall_1", "recall_10", "recall_100", "mrr", "mean_rank")], "median_rank", "n")
-
-
-def met_rank_summary_all(spark, d):
     """Place of each item's first stored cue among the cues nearest to the item's vector, over every item."""
     own = _mappings(spark, d).where("cue_ids IS NOT NULL").select("item_id", F.element_at("cue_ids", 1).alias("own"))
     asked = _items(spark, d).join(own, "item_id").select(F.col("item_id").alias("query_id"), F.col("emb").alias("qvec"), "own")
@@ -208,12 +182,12 @@ def met_item_entropy(spark, d):
 def met_dispersion_tiers(spark, d):
     """Playlists by their spread, cut at the linear 33rd and 66th percentile."""
     rows = _sequences(spark, d).select("playlist_id", F.col("sigma_c2").cast("double").alias("s")).where("s IS NOT NULL")
-    cuts = rows.agg(F.percentile("s", F.lit(0.33)).alias("low"), F.percentile("s", F.lit(0.66)).alias("high"))
+    cuts = metrics.percentiles(rows, "s", [0.33, 0.66]).select(F.col("p0").alias("low"), F.col("p1").alias("high"))
     return rows.crossJoin(F.broadcast(cuts)).select("playlist_id", scalar.dispersion_tier(F.col("s"), F.col("low"), F.col("high")).alias("tier"))
 
 
 def met_bootstrap(spark, d):
-    return metrics.bootstrap_interval(_sequences(spark, d), "sigma_c2", 400)
+    return metrics.bootstrap_interval(_sequences(spark, d), "sigma_c2", 400, key="playlist_id")
 
 
 def met_frechet(spark, d):
@@ -313,7 +287,7 @@ def chk_fingerprint(spark, d):
     return checks.fingerprint(log, "source_row", ["source_row", "user_id", "item_id"])
 
 
-_NAMES = (enc_decoded, enc_round_trip, enc_masks, enc_completion, enc_type_ranges, enc_type_violations, enc_prefix_index, enc_conflicts, enc_level_usage, enc_role_mean, enc_chunks, enc_remap, enc_rvq_codes, met_multiset, met_hits, met_positional, met_ranking, met_ranking_all, met_rank_summary, met_rank_summary_all, met_assignment, met_item_entropy, met_dispersion_tiers, met_bootstrap, met_frechet, met_coverage, study_unblinded, study_summary, study_counts, study_paired, study_sides, study_least_used, chk_alignment, chk_cue_rows, chk_sequences, chk_duplicates, chk_orphans, chk_not_unit, chk_prepared, chk_constraints, chk_fingerprint)
+_NAMES = (enc_decoded, enc_round_trip, enc_masks, enc_completion, enc_type_ranges, enc_type_violations, enc_prefix_index, enc_conflicts, enc_level_usage, enc_role_mean, enc_chunks, enc_remap, enc_rvq_codes, met_multiset, met_hits, met_positional, met_ranking, met_rank_summary, met_assignment, met_item_entropy, met_dispersion_tiers, met_bootstrap, met_frechet, met_coverage, study_unblinded, study_summary, study_counts, study_paired, study_sides, study_least_used, chk_alignment, chk_cue_rows, chk_sequences, chk_duplicates, chk_orphans, chk_not_unit, chk_prepared, chk_constraints, chk_fingerprint)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -358,7 +332,7 @@ def oracle_sql() -> dict[str, str]:
 SELECT pos, count(*) AS n FROM r WHERE NOT ok GROUP BY pos""",
         "enc_prefix_index": f"""WITH {_SLOT}, c AS (SELECT DISTINCT z0, z1, z2, conflict FROM slots), p AS (SELECT '' AS prefix, z0 AS nx FROM c UNION ALL SELECT z0::VARCHAR, z1 FROM c UNION ALL SELECT z0 || '-' || z1, z2 FROM c UNION ALL SELECT z0 || '-' || z1 || '-' || z2, conflict FROM c)
 SELECT prefix, count(DISTINCT nx)::INT AS n, min(nx)::INT AS least, max(nx)::INT AS most FROM p GROUP BY prefix""",
-        "enc_conflicts": f"WITH {_SLOT}, c AS (SELECT DISTINCT z0, z1, z2, conflict FROM slots) SELECT concat_ws('-', z0, z1, z2, conflict) AS code, (row_number() OVER (PARTITION BY z0, z1, z2 ORDER BY conflict) - 1)::INT AS digit FROM c",
+        "enc_conflicts": f"WITH {_SLOT}, c AS (SELECT DISTINCT z0, z1, z2, conflict FROM slots) SELECT concat_ws('-', z0, z1, z2, conflict) AS code, (row_number() OVER (PARTITION BY z0, z1, z2 ORDER BY conflict))::INT AS digit FROM c",
         "enc_level_usage": f"""WITH {_SLOT}, f AS (SELECT 0 AS level, z0 AS code FROM slots UNION ALL SELECT 1, z1 FROM slots UNION ALL SELECT 2, z2 FROM slots), n AS (SELECT level, code, count(*) AS n, sum(count(*)) OVER (PARTITION BY level) AS t FROM f GROUP BY level, code)
 SELECT level, count(*) AS used, round_even(-sum(n / t * ln(n / t)), 6) AS entropy, max(t)::BIGINT AS total FROM n GROUP BY level""",
         "enc_role_mean": f"WITH {_SEQ}, f AS (SELECT generate_subscripts(input_ids, 1) - 1 AS p, unnest(input_ids) AS t FROM seqs) SELECT ((p - 1) % 13)::INT AS role, round_even(avg(t), 6) AS mean_token, count(*) AS n FROM f WHERE p > 0 AND p < 261 GROUP BY role",
@@ -374,13 +348,10 @@ SELECT prefix_id, k::INT AS matches, round_even(k / nt, 6) AS recall, round_even
         "met_hits": f"""WITH {_FIRST}, r AS (SELECT prefix_id, len(list_intersect(refs, targets)) AS c15, len(list_intersect(refs[1:5], targets)) AS c5, len(list_distinct(targets)) AS nt, len(list_distinct(list_concat(refs[1:5], targets))) AS u5, len(list_distinct(list_concat(refs, targets))) AS u15 FROM firsts)
 SELECT prefix_id, (c15 >= 1)::INT AS hit_1, (c15 >= 2)::INT AS hit_2, round_even(c5 / nt, 6) AS recall_5, round_even(c5 / u5, 6) AS jaccard_5, round_even(c15 / nt, 6) AS recall_15, round_even(c15 / u15, 6) AS jaccard_15 FROM r""",
         "met_positional": f"""WITH {_FIRST}, r AS (SELECT len(list_filter(range(1, 6), lambda i: predicted[i] = targets[i])) AS m FROM firsts) SELECT count(*) AS n, sum(m)::BIGINT AS matches, round_even(avg(m / 5), 6) AS share, count(*) FILTER (WHERE m = 5) AS all_match FROM r""",
-        "met_ranking": f"""WITH {LISTS}, tr AS (SELECT unnest(items) AS item FROM lists WHERE split_name = 'train'), top AS (SELECT item, count(*) AS n FROM tr GROUP BY item ORDER BY n DESC, item LIMIT 100), rk AS (SELECT item, row_number() OVER (ORDER BY n DESC, item) AS r FROM top),
+        "met_ranking": f"""WITH {LISTS}, tr AS (SELECT unnest(items) AS item FROM lists WHERE split_name = 'train'), top AS (SELECT item, count(*) AS n FROM tr GROUP BY item), rk AS (SELECT item, row_number() OVER (ORDER BY n DESC, item) AS r FROM top),
 t AS (SELECT DISTINCT prefix_id, unnest(items) AS item FROM lists WHERE split_name = 'test'), h AS (SELECT prefix_id, count(*) AS n_truth, count(*) FILTER (WHERE r <= 5) AS h5, count(*) FILTER (WHERE r <= 10) AS h10, count(*) FILTER (WHERE r <= 50) AS h50, min(r) AS f FROM t LEFT JOIN rk USING (item) GROUP BY prefix_id)
 SELECT prefix_id, round_even(h5 / n_truth, 6) AS recall_5, round_even(h50 / n_truth, 6) AS recall_50, round_even(h10 / 10, 6) AS precision_10, round_even(coalesce(1.0 / f, 0.0), 6) AS reciprocal_rank, n_truth FROM h""",
-        "met_rank_summary": f"""WITH {_ITEMS}, {_CUES}, {_MAPPINGS}, s AS (SELECT i.item_id, c.cue_id, row_number() OVER (PARTITION BY i.item_id ORDER BY round_even(list_inner_product(i.v, c.v) / (i.norm * c.norm), 6) DESC, c.cue_id::VARCHAR) AS rank FROM items i CROSS JOIN cues c WHERE i.item_id IN (SELECT query_id FROM knn_probes WHERE collection = 'item')),
-r AS (SELECT rank FROM s JOIN m ON m.item_id = s.item_id AND s.cue_id = m.cue_ids[1])
-SELECT round_even(avg((rank <= 1)::INT), 6) AS recall_1, round_even(avg((rank <= 10)::INT), 6) AS recall_10, round_even(avg((rank <= 100)::INT), 6) AS recall_100, round_even(avg(1.0::DOUBLE / rank), 6) AS mrr, round_even(avg(rank), 6) AS mean_rank, quantile_cont(rank, 0.5)::DOUBLE AS median_rank, count(*) AS n FROM r""",
-        "met_rank_summary_all": f"""WITH {_ITEMS}, {_CUES}, {_MAPPINGS}, s AS (SELECT i.item_id, c.cue_id, c.cue_id::VARCHAR AS name, round_even(list_inner_product(i.v, c.v) / (i.norm * c.norm), 6) AS score FROM items i CROSS JOIN cues c),
+        "met_rank_summary": f"""WITH {_ITEMS}, {_CUES}, {_MAPPINGS}, s AS (SELECT i.item_id, c.cue_id, c.cue_id::VARCHAR AS name, round_even(list_inner_product(i.v, c.v) / (i.norm * c.norm), 6) AS score FROM items i CROSS JOIN cues c),
 o AS (SELECT s.item_id, s.name, s.score FROM s JOIN m ON m.item_id = s.item_id AND s.cue_id = m.cue_ids[1]), r AS (SELECT o.item_id, count(*) AS rank FROM o JOIN s ON s.item_id = o.item_id AND (s.score > o.score OR (s.score = o.score AND s.name <= o.name)) GROUP BY 1)
 SELECT round_even(avg((rank <= 1)::INT), 6) AS recall_1, round_even(avg((rank <= 10)::INT), 6) AS recall_10, round_even(avg((rank <= 100)::INT), 6) AS recall_100, round_even(avg(1.0::DOUBLE / rank), 6) AS mrr, round_even(avg(rank), 6) AS mean_rank, quantile_cont(rank, 0.5)::DOUBLE AS median_rank, count(*) AS n FROM r""",
         "met_assignment": f"""WITH {_ITEMS}, {_LISTS}, c AS (SELECT a.prefix_id, a.pos - 10 AS i, b.pos - 15 AS j, list_inner_product(a.v, b.v) / (a.norm * b.norm) AS c FROM members a JOIN members b ON a.prefix_id = b.prefix_id AND a.pos BETWEEN 10 AND 14 AND b.pos BETWEEN 15 AND 19), p AS (SELECT prefix_id, {cells} FROM c GROUP BY prefix_id)
@@ -411,6 +382,8 @@ UNION ALL SELECT 'rising scores', count(*) FILTER (WHERE len(list_filter(range(1
         "chk_sequences": f"""WITH {_SEQ}, p AS (SELECT playlist_id, unnest([CASE WHEN len(input_ids) <> 262 THEN 'length' END, CASE WHEN len(list_filter(input_ids, lambda t: t IS NULL OR t < 0 OR t >= 2894)) > 0 THEN 'token' END, CASE WHEN len(sequence_mask) <> len(input_ids) THEN 'mask sequence_mask' END, CASE WHEN len(attention_mask) <> len(input_ids) THEN 'mask attention_mask' END, CASE WHEN len(target_mask) <> len(input_ids) THEN 'mask target_mask' END]) AS problem FROM seqs)
 SELECT playlist_id, problem FROM p WHERE problem IS NOT NULL""",
         "chk_duplicates": "SELECT n, count(*) AS keys FROM (SELECT source_row, count(*) AS n FROM listening_log GROUP BY 1 HAVING count(*) > 1) GROUP BY n",
+        "chk_fingerprint": """WITH l AS (SELECT DISTINCT source_row, user_id, item_id FROM listening_log), h AS (SELECT source_row AS o, sha256('{' || concat_ws(',', '"source_row":' || source_row, '"user_id":"' || user_id || '"', '"item_id":"' || item_id || '"') || '}') AS h FROM l),
+s AS (SELECT o // 4096 AS s, count(*) AS n, sha256(string_agg(h, '' ORDER BY o, h)) AS h FROM h GROUP BY 1), t AS (SELECT s // 4096 AS t, sum(n) AS n, sha256(string_agg(h, '' ORDER BY s)) AS h FROM s GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY t)) AS fingerprint, sum(n)::BIGINT AS n FROM t""",
         "chk_orphans": """SELECT 'documents' AS source, count(DISTINCT trim(item_id)) AS missing FROM documents WHERE trim(item_id) <> '' AND trim(item_id) NOT IN (SELECT item_id FROM catalog_items WHERE item_id IS NOT NULL)
 UNION ALL SELECT 'listening_log', count(DISTINCT trim(item_id)) FROM listening_log WHERE trim(item_id) <> '' AND trim(item_id) NOT IN (SELECT item_id FROM catalog_items WHERE item_id IS NOT NULL)""",
         "chk_not_unit": f"WITH {_ITEMS} SELECT item_id, round_even(norm, 5) AS norm FROM items WHERE abs(norm - 1) >= 1e-4::DOUBLE",

@@ -62,3 +62,14 @@ def identity(config: Mapping[str, object], ignore: Iterable[str] = ("created", "
     """Hash of what makes two runs the same, whatever the order of keys; a resumed run must have the same."""
     kept = {k: v for k, v in config.items() if k not in set(ignore)}
     return hashlib.sha256(json.dumps(kept, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()
+
+
+def registry(artifacts: dict[str, str], required: set[str]) -> dict[str, str]:
+    """Paths of the named artifacts that exist. A required one that is missing is an error, another is left out."""
+    from pathlib import Path
+
+    there = {name: path for name, path in artifacts.items() if Path(path).exists()}
+    missing = sorted(required - set(there))
+    if missing:
+        raise FileNotFoundError(f"missing artifacts: {', '.join(missing)}")
+    return there

@@ -134,10 +134,16 @@ c AS (SELECT prefix_id, any_value(n) AS n, [{mu}] AS mu FROM g JOIN items i ON i
 SELECT prefix_id, place::INT AS place, item, 'given' AS source FROM g WHERE place < 5 UNION ALL SELECT prefix_id, place::INT, item, 'padded' FROM r WHERE place < 5""",
         "vec_nearest_of_all": f"""WITH {_ITEMS}, {_SEQ}, q AS (SELECT playlist_id, context_emb::DOUBLE[] AS c FROM seqs WHERE split_name = 'test' AND context_emb IS NOT NULL), n AS (SELECT playlist_id, item_id AS item, list_inner_product(c, v) / (sqrt(list_inner_product(c, c)) * norm) AS s FROM q CROSS JOIN items WHERE list_inner_product(c, c) > 0)
 SELECT playlist_id, item, round_even(s, 6) + 0.0 AS score FROM n QUALIFY row_number() OVER (PARTITION BY playlist_id ORDER BY round_even(s, 6) DESC, item) = 1""",
+        "vec_hybrid": f"""WITH {_ITEMS}, {_SEQ}, asked AS (SELECT playlist_id, max(item_ids[1:2]) AS ids FROM context_prefixes WHERE split_name = 'test' GROUP BY playlist_id), x AS (SELECT playlist_id, generate_subscripts(ids, 1) AS p, unnest(ids) AS item FROM asked), o AS (SELECT playlist_id, item, min(p) AS p FROM x WHERE item IN (SELECT item_id FROM items) GROUP BY 1, 2), g AS (SELECT playlist_id, item, row_number() OVER (PARTITION BY playlist_id ORDER BY p) - 1 AS place FROM o),
+n AS (SELECT asked.playlist_id, count(g.item) AS n FROM asked LEFT JOIN g USING (playlist_id) GROUP BY 1), t AS (SELECT playlist_id, context_emb::DOUBLE[] AS c FROM seqs JOIN asked USING (playlist_id) WHERE context_emb IS NOT NULL AND list_inner_product(context_emb::DOUBLE[], context_emb::DOUBLE[]) > 0),
+mu AS (SELECT playlist_id, [{mu}] AS c FROM g JOIN items i ON i.item_id = g.item WHERE playlist_id NOT IN (SELECT playlist_id FROM t) GROUP BY 1), q AS (SELECT *, 'text' AS source FROM t UNION ALL SELECT *, 'padded' FROM mu),
+r AS (SELECT q.playlist_id, i.item_id AS item, source, n + row_number() OVER (PARTITION BY q.playlist_id ORDER BY round_even(list_inner_product(c, v) / (sqrt(list_inner_product(c, c)) * norm), 6) DESC, i.item_id) - 1 AS place FROM q JOIN n USING (playlist_id) CROSS JOIN items i WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.playlist_id = q.playlist_id AND g.item = i.item_id))
+SELECT playlist_id, place::INT AS place, item, 'seed' AS source FROM g WHERE place < 5 UNION ALL SELECT playlist_id, place::INT, item, source FROM r WHERE place < 5""",
         "smp_items": "WITH c AS (SELECT DISTINCT item_id FROM catalog_items WHERE item_id IS NOT NULL) SELECT item_id FROM c ORDER BY sha256('sample' || chr(0) || '42' || chr(0) || item_id), item_id LIMIT 50",
-        "smp_pools": f"""WITH {LISTS}, l AS (SELECT DISTINCT prefix_id, unnest(items) AS item FROM lists WHERE split_name = 'test'), c AS (SELECT DISTINCT item_id AS item, sha256('pool' || chr(0) || '42' || chr(0) || item_id) AS h FROM catalog_items WHERE item_id IS NOT NULL), f AS (SELECT * FROM c ORDER BY h, item LIMIT 80),
-o AS (SELECT k.prefix_id, f.item, row_number() OVER (PARTITION BY k.prefix_id ORDER BY h, f.item) AS place FROM (SELECT DISTINCT prefix_id FROM l) k CROSS JOIN f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.prefix_id = k.prefix_id AND l.item = f.item))
-SELECT prefix_id, item, true AS is_label FROM l UNION ALL SELECT prefix_id, item, false FROM o WHERE place <= 20""",
+        "smp_pools": f"""WITH {LISTS}, l AS (SELECT DISTINCT prefix_id, unnest(items) AS item FROM lists WHERE split_name = 'test'), c AS (SELECT item, row_number() OVER (ORDER BY sha256('pool' || chr(0) || '42' || chr(0) || item), item) - 1 AS place FROM (SELECT DISTINCT item_id AS item FROM catalog_items WHERE item_id IS NOT NULL)), n AS (SELECT count(*) AS n FROM c),
+k AS (SELECT prefix_id, n, ('0x' || substr(sha256('start' || chr(0) || '42' || chr(0) || prefix_id), 1, 15))::BIGINT % n AS s, unnest(range(0, least(count(*) + 20, n))) AS j FROM l, n GROUP BY prefix_id, n),
+o AS (SELECT k.prefix_id, c.item, row_number() OVER (PARTITION BY k.prefix_id ORDER BY j) AS r FROM k JOIN c ON c.place = (s + j) % n WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.prefix_id = k.prefix_id AND l.item = c.item))
+SELECT prefix_id, item, true AS is_label FROM l UNION ALL SELECT prefix_id, item, false FROM o WHERE r <= 20""",
         "txt_sweep": f"WITH {_PHRASES} SELECT a AS min_df, b AS max_share, count(*) FILTER (WHERE df >= a AND df <= n * b) AS phrases FROM df, total, (VALUES (2), (5), (20)) x(a), (VALUES (0.05::DOUBLE), (0.3)) y(b) GROUP BY a, b",
         "txt_char_grams": "WITH c AS (SELECT cue_id, lower(cue) AS c FROM cue_vocab), g AS (SELECT DISTINCT cue_id, unnest(list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3))) AS gram FROM c) SELECT gram, count(*) AS df FROM g GROUP BY gram",
     }

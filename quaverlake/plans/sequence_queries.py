@@ -69,7 +69,10 @@ def seq_users_at_least(spark, d):
 
 
 def seq_file_order(spark, d):
-    return sequences.file_order_streaks(_log(spark, d), window=2)
+    """In file order, for windows of two and of twenty events."""
+    log = _log(spark, d)
+    one = lambda w: sequences.file_order_streaks(log, w).withColumn("events", F.lit(w))
+    return one(2).unionByName(one(20))
 
 
 def seq_user_splits(spark, d):
@@ -119,16 +122,16 @@ def cur_splits(spark, d):
 
 
 def cur_available(spark, d):
-    """Slots whose item the catalogue has, by split."""
+    """Slots whose item the catalogue has, by split. Items are counted before they are looked up."""
     have = read(spark, d, "catalog_items").select(F.col("item_id").alias("item")).distinct()
-    slots = lists(spark, d).select("split_name", F.explode("items").alias("item"))
-    return slots.join(have.withColumn("ok", F.lit(1)), "item", "left").groupBy("split_name").agg(F.count("*").alias("slots"), F.count("ok").alias("available"))
+    slots = lists(spark, d).select("split_name", F.explode("items").alias("item")).groupBy("split_name", "item").agg(F.count("*").alias("n"))
+    return slots.join(have.withColumn("ok", F.lit(1)), "item", "left").groupBy("split_name").agg(F.sum("n").alias("slots"), F.coalesce(F.sum(F.when(F.col("ok") == 1, F.col("n"))), F.lit(0)).alias("available"))
 
 
 def cur_missing_ids(spark, d):
     """Ids of lists that the catalogue lacks."""
-    ids = lists(spark, d).select(F.explode("items").alias("item_id"))
-    return ids.join(read(spark, d, "catalog_items"), "item_id", "left_anti").groupBy("item_id").agg(F.count("*").alias("n"))
+    ids = lists(spark, d).select(F.explode("items").alias("item_id")).groupBy("item_id").agg(F.count("*").alias("n"))
+    return ids.join(read(spark, d, "catalog_items"), "item_id", "left_anti")
 
 
 def cur_id_sets(spark, d):
@@ -143,27 +146,11 @@ def _catalogue(spark, d):
 
 
 def match_keys(spark, d):
-    """Match keys of the titles in ASCII, as its SQL has them; ``match_keys_all`` is of every title."""
-    c = _catalogue(spark, d)
-    return c.where(F.col("title").rlike(r"^[\x20-\x7e]+$")).select("item_id", text.match_key("title", True).alias("strict_key"), text.match_key(text.base_title("title"), True).alias("relaxed_key"))
-
-
-def match_cascade(spark, d):
-    """Items in ASCII matched to those with an album by artist and title, as its SQL has it; ``match_cascade_all`` is
-    the match to albums, over every item."""
-    c = _catalogue(spark, d).where(F.col("title").rlike(r"^[\x20-\x7e]+$") & F.col("artist").rlike(r"^[\x20-\x7e]+$"))
-    left = cut(matching.keyed(c, "item_id", "artist", "title", True))
-    albums = c.where(F.col("album").rlike(r"^[\x20-\x7e]+$"))
-    right = cut(matching.keyed(albums.select(F.concat(F.lit("a"), "item_id").alias("id"), F.lower("artist").alias("artist"), "title"), "id", "artist", "title", True))
-    return matching.cascade(left, right)
-
-
-def match_keys_all(spark, d):
     """Match keys of every title, folded to ASCII."""
     return _catalogue(spark, d).where("title IS NOT NULL").select("item_id", text.match_key("title").alias("strict_key"), text.match_key(text.base_title("title")).alias("relaxed_key"))
 
 
-def match_cascade_all(spark, d):
+def match_cascade(spark, d):
     """Every item with the album by the same artist that its title also names, or none. An album is a name of an
     artist, and has the id of its smallest item."""
     c = _catalogue(spark, d)
@@ -186,7 +173,7 @@ def match_gathered(spark, d):
     return rows.groupBy("prefix_id").agg(F.count("*").alias("found"), F.min("pos").alias("first_pos"), F.sum("value").alias("row_sum"))
 
 
-_NAMES = (seq_windows, seq_window_stats, seq_repeats, seq_caps, seq_windows_per_user, seq_gap_audit, seq_interactions, seq_users_at_least, seq_file_order, seq_user_splits, seq_rolling, seq_first_window, seq_transitions, seq_duplicate_surplus, seq_split_index, cur_frequency, cur_fixpoint, cur_card, cur_splits, cur_available, cur_missing_ids, cur_id_sets, match_keys, match_cascade, match_keys_all, match_cascade_all, match_not_one_to_one, match_gathered)
+_NAMES = (seq_windows, seq_window_stats, seq_repeats, seq_caps, seq_windows_per_user, seq_gap_audit, seq_interactions, seq_users_at_least, seq_file_order, seq_user_splits, seq_rolling, seq_first_window, seq_transitions, seq_duplicate_surplus, seq_split_index, cur_frequency, cur_fixpoint, cur_card, cur_splits, cur_available, cur_missing_ids, cur_id_sets, match_keys, match_cascade, match_not_one_to_one, match_gathered)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -218,34 +205,36 @@ _CATALOGUE = "catalogue AS (SELECT DISTINCT item_id, artist, title, album FROM c
 
 
 def _key(c: str) -> str:
-    """Without the rule on initialisms, which changes nothing unless an apostrophe follows one."""
-    x = f"replace(lower({c}), '&', ' and ')"
+    """Letters without their marks and nothing beyond ASCII, then the rules of a match key."""
+    x = f"regexp_replace(strip_accents({c}), '[^\\x00-\\x7f]', '', 'g')"
+    x = f"replace(lower({x}), '&', ' and ')"
+    # a run of single letters with a dot behind each is an initialism
+    x = f"list_reduce(list_prepend({x}, regexp_extract_all({x}, '\\b(?:[a-z]\\.){{2,}}')), lambda a, b: replace(a, b, replace(b, '.', '')))"
     x = f"regexp_replace({x}, '(\\w)[.'']\\b', '\\1', 'g')"
     return f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
 
 
 def _base(c: str) -> str:
-    v = text.VERSION_WORDS
+    v = "|".join(text.VERSION_WORDS)
     x = f"regexp_replace({c}, '[\\[(][^\\])]*(?:{v})[^\\])]*[\\])]', ' ', 'gi')"
     x = f"regexp_replace({x}, '\\s+[-–—]\\s+.*(?:{v}).*$', ' ', 'gi')"
     return f"regexp_replace({x}, '\\b(?:feat|ft)\\.?\\s+.*$', ' ', 'gi')"
 
 
-_ASCII = "regexp_full_match({0}, '[\\x20-\\x7e]+')"
-
-
 def oracle_sql() -> dict[str, str]:
     audit = " UNION ALL ".join(
         f"""SELECT {-1 if g is None else g} AS threshold, count(*) AS windows, count(DISTINCT "user") AS users, round_even(avg((len(list_distinct(items)) = 20)::INT), 6) AS unique_window_share, round_even(avg((unique_targets = 5)::INT), 6) AS five_target_share FROM (WITH {_windows(g)} SELECT * FROM wins) HAVING count(*) > 0"""
         for g in (0, 1, 5, 20, None)
     )
     record = """format('m4a-{}-{}-r{:04d}-s{:08d}', split_name, substr(sha256('pseudonym' || chr(0) || '42' || chr(0) || "user"), 1, 16), run_index::BIGINT, start_index)"""
-    matched = f"""WITH {_CATALOGUE}, ok AS (SELECT * FROM catalogue WHERE {_ASCII.format('title')} AND {_ASCII.format('artist')}),
-keyed AS (SELECT item_id AS id, nullif({_key('artist')}, '') AS a, nullif({_key('title')}, '') AS s, nullif({_key(_base('title'))}, '') AS r, album FROM ok),
-l AS (SELECT id, a || '|' || s AS strict_key, a || '|' || r AS relaxed_key FROM keyed), g AS (SELECT 'a' || id AS id, a || '|' || s AS strict_key, a || '|' || r AS relaxed_key FROM keyed WHERE {_ASCII.format('album')}),
+    matched = f"""WITH {_CATALOGUE},
+l AS (SELECT item_id AS id, nullif({_key('artist')}, '') || '|' || nullif({_key('title')}, '') AS strict_key, nullif({_key('artist')}, '') || '|' || nullif({_key(_base('title'))}, '') AS relaxed_key FROM catalogue),
+al AS (SELECT artist, album, 'a' || min(item_id) AS id FROM catalogue WHERE artist IS NOT NULL AND album IS NOT NULL GROUP BY artist, album),
+g AS (SELECT id, nullif({_key('artist')}, '') || '|' || nullif({_key('album')}, '') AS strict_key, nullif({_key('artist')}, '') || '|' || nullif({_key(_base('album'))}, '') AS relaxed_key FROM al),
 s AS (SELECT x.id AS left_id, y.id AS right_id FROM (SELECT strict_key, min(id) AS id FROM l WHERE strict_key IS NOT NULL GROUP BY 1 HAVING count(*) = 1) x JOIN (SELECT strict_key, min(id) AS id FROM g WHERE strict_key IS NOT NULL GROUP BY 1 HAVING count(*) = 1) y USING (strict_key)),
-r AS (SELECT x.id AS left_id, y.id AS right_id FROM (SELECT relaxed_key, min(id) AS id FROM l WHERE relaxed_key IS NOT NULL AND id NOT IN (SELECT left_id FROM s) GROUP BY 1 HAVING count(*) = 1) x JOIN (SELECT relaxed_key, min(id) AS id FROM g WHERE relaxed_key IS NOT NULL AND id NOT IN (SELECT right_id FROM s) GROUP BY 1 HAVING count(*) = 1) y USING (relaxed_key))
-SELECT left_id, right_id, 'strict' AS match_type FROM s UNION ALL SELECT left_id, right_id, 'relaxed-version' FROM r"""
+r AS (SELECT x.id AS left_id, y.id AS right_id FROM (SELECT relaxed_key, min(id) AS id FROM l WHERE relaxed_key IS NOT NULL AND id NOT IN (SELECT left_id FROM s) GROUP BY 1 HAVING count(*) = 1) x JOIN (SELECT relaxed_key, min(id) AS id FROM g WHERE relaxed_key IS NOT NULL AND id NOT IN (SELECT right_id FROM s) GROUP BY 1 HAVING count(*) = 1) y USING (relaxed_key)),
+f AS (SELECT left_id, right_id, 'strict' AS match_type FROM s UNION ALL SELECT left_id, right_id, 'relaxed-version' FROM r)
+SELECT l.id AS left_id, right_id, match_type FROM l LEFT JOIN f ON f.left_id = l.id"""
     return {
         "seq_windows": WINDOWS
         + f""", chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY run_index DESC, start_index DESC) AS latest, row_number() OVER (PARTITION BY "user" ORDER BY substr(sha256('window' || chr(0) || '42' || chr(0) || "user" || chr(0) || run_index || chr(0) || start_index), 1, 16), run_index, start_index) AS place FROM split) WHERE (split_name = 'test' AND latest = 1) OR (split_name = 'train' AND place <= 16))
@@ -264,7 +253,8 @@ SELECT f AS fraction, coalesce(v[round_even(f * (len(v) - 1), 0)::BIGINT + 1], 0
         "seq_file_order": f"""WITH {LOG}, p AS (SELECT *, lag("user") OVER o AS pu, lag(ts) OVER o AS pt, lag(item IS NOT NULL) OVER o AS pm FROM log WINDOW o AS (ORDER BY source_row)),
 i AS (SELECT *, sum(CASE WHEN pu = "user" AND pm = (item IS NOT NULL) THEN 0 ELSE 1 END) OVER (ORDER BY source_row) AS island FROM p),
 s AS (SELECT island, count(*) AS n FROM i WHERE item IS NOT NULL GROUP BY island)
-SELECT (SELECT coalesce(sum(greatest(0, n - 1)), 0)::BIGINT FROM s) AS contiguous_windows, count(*) FILTER (WHERE pu = "user" AND ts > pt) AS increases, count(*) FILTER (WHERE pu = "user" AND ts < pt) AS decreases FROM p""",
+SELECT w AS events, (SELECT coalesce(sum(greatest(0, n - w + 1)), 0)::BIGINT FROM s) AS contiguous_windows, count(*) FILTER (WHERE pu = "user" AND ts > pt) AS increases, count(*) FILTER (WHERE pu = "user" AND ts < pt) AS decreases,
+count(*) FILTER (WHERE pu IS DISTINCT FROM "user") = count(DISTINCT "user") AS users_together FROM p CROSS JOIN (VALUES (2), (20)) g(w) GROUP BY w""",
         "seq_user_splits": f"""WITH {LOG}, u AS (SELECT DISTINCT "user" FROM log) SELECT "user", CASE WHEN ('0x' || substr(sha256('split' || chr(0) || '42' || chr(0) || "user"), 1, 16))::UBIGINT / 18446744073709551616.0 < 0.2 THEN 'test' ELSE 'train' END AS split_name, substr(sha256('pseudonym' || chr(0) || '42' || chr(0) || "user"), 1, 16) AS pseudonym FROM u""",
         "seq_rolling": f"WITH {LISTS}, s AS (SELECT prefix_id, items, unnest(range(0, len(items) - 19)) AS start_index FROM lists WHERE len(items) >= 20) SELECT prefix_id, start_index::INT AS start_index, array_to_string(items[start_index + 1 : start_index + 20], ',') AS items FROM s",
         "seq_first_window": f"WITH {LISTS} SELECT prefix_id, array_to_string(items[1:15], ',') AS refs, array_to_string(items[16:20], ',') AS targets FROM lists WHERE len(items) >= 20",
@@ -283,7 +273,7 @@ SELECT prefix_id, CASE WHEN place <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN pl
         "cur_missing_ids": f"WITH {LISTS}, s AS (SELECT unnest(items) AS item_id FROM lists) SELECT item_id, count(*) AS n FROM s WHERE item_id NOT IN (SELECT item_id FROM catalog_items WHERE item_id IS NOT NULL) GROUP BY item_id",
         "cur_id_sets": """SELECT id, side FROM (SELECT DISTINCT item_id AS id, 'left' AS side FROM catalog_items WHERE item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM cue_mappings WHERE item_id IS NOT NULL)
 UNION ALL SELECT DISTINCT item_id, 'right' FROM cue_mappings WHERE item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM catalog_items WHERE item_id IS NOT NULL))""",
-        "match_keys": f"WITH {_CATALOGUE} SELECT item_id, {_key('title')} AS strict_key, {_key(_base('title'))} AS relaxed_key FROM catalogue WHERE {_ASCII.format('title')}",
+        "match_keys": f"WITH {_CATALOGUE} SELECT item_id, {_key('title')} AS strict_key, {_key(_base('title'))} AS relaxed_key FROM catalogue WHERE title IS NOT NULL",
         "match_cascade": matched,
         "match_not_one_to_one": """WITH c AS (SELECT DISTINCT item_id, feature_index FROM catalog_items WHERE feature_index >= 0 AND item_id IS NOT NULL)
 SELECT 'item_id' AS side, item_id AS id, count(*) AS n FROM c GROUP BY item_id HAVING count(*) > 1 UNION ALL SELECT 'feature_index', feature_index::VARCHAR, count(*) FROM c GROUP BY feature_index HAVING count(*) > 1""",

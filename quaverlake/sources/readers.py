@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,12 +63,17 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return items.groupBy("item").agg(F.min(F.struct("n", "k")).alias("pos"))
 
 
-def ordered_union(parts: list[DataFrame], key: str) -> DataFrame:
-    """The parts with src_ord, their place from 0; a key in two rows raises when read."""
+def ordered_union(parts: list[DataFrame], key: str, items: str | None = None, known: DataFrame | None = None, known_key: str = "item_id") -> DataFrame:
+    """The parts with src_ord, their place from 0; a key in two rows raises when read, and so does, with ``known``, a list
+    in ``items`` with an id that it lacks. Ids are taken once before they are looked up."""
     out = None
     for i, part in enumerate(parts):
         one = part.withColumn("src_ord", F.lit(i))
         out = one if out is None else out.unionByName(one)
+    if known is not None:
+        lacking = out.select(F.explode(items).alias("id")).distinct().join(known.select(F.col(known_key).alias("id")).distinct(), "id", "left_anti")
+        bad = lacking.agg(F.min("id").alias("__unknown"))
+        out = out.crossJoin(F.broadcast(bad)).where(F.when(F.col("__unknown").isNotNull(), F.raise_error(F.concat(F.lit("unknown id "), F.col("__unknown"))).cast("boolean")).otherwise(F.lit(True))).drop("__unknown")
     counts = out.groupBy(key).agg(F.count("*").alias("__n"))
     checked = out.join(counts, key)
     return checked.where(F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("repeated key "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))).drop("__n")
@@ -92,12 +100,16 @@ def metadata(raw: Column) -> list[Column]:
 
 
 def row_order(spark: SparkSession, path: str) -> DataFrame:
-    """(item_id, row) from a JSON list of ids or an object from id to row."""
+    """(item_id, row) from a JSON list of ids or an object from id to row. Rows must be 0, 1, ... without a gap, and an id
+    stand once; anything else raises when read."""
     text = spark.read.text(path, wholetext=True)
     body = F.trim("value")
     listed = text.where(body.startswith("[")).select(F.posexplode(F.from_json(body, T.ArrayType(T.StringType()))).alias("row", "item_id"))
     mapped = text.where(body.startswith("{")).select(F.explode(F.from_json(body, T.MapType(T.StringType(), T.IntegerType()))).alias("item_id", "row"))
-    return listed.select("item_id", "row").unionByName(mapped)
+    every = listed.select("item_id", "row").unionByName(mapped)
+    sound = every.agg((F.coalesce(F.max("row") + 1, F.lit(0)) == F.count("*")).alias("last"), (F.coalesce(F.min("row"), F.lit(0)) == 0).alias("first"), (F.count_distinct("row") == F.count("*")).alias("rows"), (F.count_distinct("item_id") == F.count("*")).alias("ids"))
+    ok = sound.select((F.col("last") & F.col("first") & F.col("rows") & F.col("ids")).alias("__ok"))
+    return every.crossJoin(F.broadcast(ok)).where(F.when(~F.col("__ok"), F.raise_error(F.lit("rows are not contiguous or not unique")).cast("boolean")).otherwise(F.lit(True))).drop("__ok")
 
 
 def side_files(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
@@ -106,20 +118,52 @@ def side_files(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFr
     return files.where(F.col("name").endswith(suffix)).select(F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias("item_id"), F.col("value").alias("text"))
 
 
+def catalogue_texts(spark: SparkSession, catalogue: DataFrame, key: str, order: str, folder: str, suffix: str = ".txt", limit: int | None = None, absent: bool = False) -> DataFrame:
+    """(key, order, text): the side files of the catalogue's rows, of the first ``limit`` in ``order`` that have one. With ``absent``
+    also the rows without a file, their text null; these don't count against the limit's choice."""
+    found = catalogue.select(key, order).join(side_files(spark, folder, suffix).withColumnRenamed("item_id", key), key, "left" if absent else "inner")
+    return found if limit is None else found.orderBy(order).limit(limit)
+
+
+def responses(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV of study responses with a header, in the order of submitted_utc, then session_id."""
+    reader = spark.read.option("header", True)
+    rows = (reader.schema(schema) if schema else reader).csv(path)
+    return rows.orderBy("submitted_utc", "session_id")
+
+
+def log_coverage(log: DataFrame, key: str, ids: DataFrame, id_key: str, done: str = "ok") -> DataFrame:
+    """One row (wanted, seen, done, share): of the ids, how many a log of attempts has, and has with a true ``done``."""
+    best = log.groupBy(F.col(key).alias("id")).agg(F.max(F.col(done).cast("int")).alias("d"))
+    joined = ids.select(F.col(id_key).alias("id")).where("id IS NOT NULL").distinct().join(best.withColumn("s", F.lit(1)), "id", "left")
+    hit = F.count(F.when(F.col("d") == 1, 1))
+    return joined.agg(F.count("*").alias("wanted"), F.count("s").alias("seen"), hit.alias("done"), F.when(F.count("*") > 0, hit / F.count("*")).otherwise(0.0).alias("share"))
+
+
+def fields(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns that the schema names, in its order and types; others are dropped, missing ones null."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def matrix(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
-    """(row, emb) of a two-dimensional .npy file; the driver maps it and sends it in slices."""
-    x = np.load(path, mmap_mode="r")
-    if x.ndim != 2:
+def matrix(spark: SparkSession, path: str, rows: int = 16384) -> DataFrame:
+    """(row, emb) of a two-dimensional .npy file. The driver reads its header; executors map the file, which must be in
+    a folder that they share, and read a slice of ``rows`` each."""
+    shape = np.load(path, mmap_mode="r").shape
+    if len(shape) != 2:
         raise ValueError("a matrix has two dimensions")
-    out = None
-    for i in range(0, max(1, len(x)), 65536):
-        part = spark.createDataFrame([(i + k, [float(v) for v in row]) for k, row in enumerate(x[i : i + 65536])], "row int, emb array<float>")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = np.load(path, mmap_mode="r")
+        for pdf in source:
+            for i in pdf["id"]:
+                part = np.asarray(x[i * rows : (i + 1) * rows], np.float32)
+                yield pd.DataFrame({"row": np.arange(i * rows, i * rows + len(part), dtype=np.int32), "emb": list(part)})
+
+    return spark.range(-(-shape[0] // rows)).mapInPandas(run, "row int, emb array<float>")
 
 
 def expecting(df: DataFrame, count: int) -> DataFrame:

@@ -9,6 +9,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,32 @@ def write_document(path: str, value: object) -> None:
         raise
 
 
+def write_matrix(path: str, df: DataFrame, order: str, vector: str, limit: int = 1_000_000) -> None:
+    """A .npy file of the vectors by ``order``, there whole or not at all. It is one file made on the driver, so of at most
+    ``limit`` rows; more raise an error."""
+    rows = df.select(order, F.col(vector).cast("array<float>").alias("v")).limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        raise ValueError(f"a matrix file has at most {limit} rows")
+    rows = rows.sort_by(order)
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows.column("v").chunks] or [np.zeros(0, np.float32)])
+    folder = os.path.dirname(os.path.abspath(path))
+    handle, temporary = tempfile.mkstemp(dir=folder, prefix=".part-")
+    try:
+        with os.fdopen(handle, "wb") as f:
+            np.save(f, flat.reshape(rows.num_rows, -1))
+        os.replace(temporary, path)
+    except BaseException:
+        Path(temporary).unlink(missing_ok=True)
+        raise
+
+
+def write_split_lists(df: DataFrame, key: str, items: str, split: str, path: str) -> DataFrame:
+    """Lists as JSON lines in a folder per split; gives (split, lists, distinct_items)."""
+    df.select(split, key, items).write.mode("overwrite").partitionBy(split).json(path)
+    slots = df.select(split, F.explode(items).alias("item")).groupBy(split).agg(F.count_distinct("item").alias("distinct_items"))
+    return df.groupBy(split).agg(F.count("*").alias("lists")).join(slots, split, "left").select(split, "lists", F.coalesce("distinct_items", F.lit(0)).alias("distinct_items"))
+
+
 def write_lines(df: DataFrame, line: str, path: str, by: str | None = None) -> None:
     """One line of text per row, in a folder per value of ``by``."""
     rows = df.select(*([by] if by else []), F.col(line).alias("value"))
@@ -52,8 +79,10 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A report table as Markdown; a report has at most ``limit`` rows."""
-    rows = df.limit(limit).collect()
+    """A report table as Markdown. A report has at most ``limit`` rows; more raise an error."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report has at most {limit} rows")
     head = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
     return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
 
