@@ -26,7 +26,7 @@ def test_expand(spark, catalogue):
 def test_select_and_hybrid(spark, catalogue):
     lists = spark.createDataFrame([("a", ["10", "30", "50", "90"], [0.0, 1.0]), ("b", ["30"], None), ("c", [], [1.0, 0.0])], "k string, items array<string>, text array<double>")
     chosen = {}
-    for r in retrieval.select_items(lists, "k", "items", catalogue, "item_id", "emb", 2).orderBy("k", "place").collect():
+    for r in retrieval.select_items(lists, "k", "items", catalogue, "item_id", "emb", 2, dims=2).orderBy("k", "place").collect():
         chosen.setdefault(r.k, []).append(r["item"])
     assert chosen == {"a": ["10", "90"], "b": ["30"]}
     mixed = {}

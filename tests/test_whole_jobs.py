@@ -30,7 +30,7 @@ def _cosines(spark):
 
 def test_every_item_gets_cues(spark):
     ids, names, score, x = _cosines(spark)
-    assigned = {r.query_id: r for r in content_queries.vec_assigned_all(spark, D).collect()}
+    assigned = {r.query_id: r for r in content_queries.vec_assigned(spark, D).collect()}
     diverse = {}
     for r in content_queries.vec_diverse_cues(spark, D).orderBy("query_id", "place").collect():
         diverse.setdefault(r.query_id, []).append(r["item"])
@@ -49,7 +49,7 @@ def test_ranks_are_of_every_item(spark):
     ids, names, score, _ = _cosines(spark)
     own = {r.item_id: str(r.cue_ids[0]) for r in content_queries._mappings(spark, D).where("cue_ids IS NOT NULL").collect()}
     ranks = [1 + [names[i] for i in np.argsort(-s, kind="stable")].index(own[k]) for k, s in zip(ids, score, strict=True) if own.get(k) in names]
-    got = model_queries.met_rank_summary_all(spark, D).first()
+    got = model_queries.met_rank_summary(spark, D).first()
     assert got.n == len(ranks) > 150 and got.median_rank == np.median(ranks) and abs(got.mrr - np.mean(1 / np.array(ranks))) < 2e-6
 
 
@@ -93,14 +93,14 @@ def _key(value):
 
 
 def _relaxed(value):
-    x = re.sub(rf"[\[(](?:[^\])]*(?:{text.VERSION_WORDS})[^\])]*)[\])]", " ", value or "", flags=re.I)
-    x = re.sub(rf"\s+(?:-|–|—)\s+.*(?:{text.VERSION_WORDS}).*$", " ", x, flags=re.I)
+    x = re.sub(rf"[\[(](?:[^\])]*(?:{'|'.join(text.VERSION_WORDS)})[^\])]*)[\])]", " ", value or "", flags=re.I)
+    x = re.sub(rf"\s+(?:-|–|—)\s+.*(?:{'|'.join(text.VERSION_WORDS)}).*$", " ", x, flags=re.I)
     return _key(re.sub(r"\b(?:feat|ft)\.?\s+.*$", " ", x, flags=re.I))
 
 
 def test_keys_of_every_title(spark, catalogues):
     for d, items in catalogues.items():
-        got = {r.item_id: (r.strict_key, r.relaxed_key) for r in sequence_queries.match_keys_all(spark, d).collect()}
+        got = {r.item_id: (r.strict_key, r.relaxed_key) for r in sequence_queries.match_keys(spark, d).collect()}
         assert got == {k: (_key(t), _relaxed(t)) for k, t, _, _ in items if t is not None}
 
 
@@ -124,7 +124,7 @@ def test_every_title_is_matched_to_albums(spark, catalogues):
             hits = {(x[key], y[key], kind) for key in x.keys() & y.keys()}
             expected |= hits
             left, right = [r for r in left if r[0] not in {h[0] for h in hits}], [r for r in right if r[0] not in {h[1] for h in hits}]
-        got = sequence_queries.match_cascade_all(spark, d).collect()
+        got = sequence_queries.match_cascade(spark, d).collect()
         assert {tuple(r) for r in got if r.right_id} == expected and sorted(r.left_id for r in got) == sorted(k for k, *_ in items)
         total += len(expected)
     assert total >= 2
@@ -138,7 +138,7 @@ def test_metadata_strings_of_every_item(spark, catalogues):
                 raw = f"'{t}' by {a} in album'{b}'"
                 m = re.match(r"'(.+?)'\s+by\s+(.+?)\s+in\s+album'(.+?)'$", raw)
                 expected[k] = m.groups() if m else (raw.strip("'"), None, None)
-        got = {r.item_id: (r.title, r.artist, r.album) for r in content_queries.feat_metadata_strings_all(spark, d).collect()}
+        got = {r.item_id: (r.title, r.artist, r.album) for r in content_queries.feat_metadata_strings(spark, d).collect()}
         assert got == expected
 
 
@@ -169,8 +169,8 @@ def test_lines_of_the_stored_text(spark, lyrics):
                     break
                 taken.append(x)
             excerpts[k] = "\n".join(taken)
-        assert {r.doc_id: (r.digest, r.n) for r in content_queries.txt_unique_lines_all(spark, d).collect()} == lines
-        assert {r.doc_id: r.excerpt for r in content_queries.txt_excerpts_all(spark, d).collect()} == excerpts
+        assert {r.doc_id: (r.digest, r.n) for r in content_queries.txt_unique_lines(spark, d).collect()} == lines
+        assert {r.doc_id: r.excerpt for r in content_queries.txt_excerpts(spark, d).collect()} == excerpts
 
 
 def test_terms_of_every_script(spark):
@@ -194,7 +194,7 @@ def test_terms_of_every_script(spark):
 
 
 def test_first_hit_beyond_place_100(spark):
-    found = model_queries.met_ranking_all(spark, D).collect()
+    found = model_queries.met_ranking(spark, D).collect()
     records = [(r.prefix_id, r.split_name, r["items"]) for r in sequence_queries.lists(spark, D).collect()]
     n = collections.Counter(x for _, split, items in records if split == "train" for x in items)
     rank = {x: i + 1 for i, x in enumerate(sorted(n, key=lambda x: (-n[x], x)))}
