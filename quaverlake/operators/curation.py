@@ -25,22 +25,22 @@ def relist(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("s")).select(key, F.transform("s", lambda x: x["item"]).alias("items"))
 
 
-def curate(lists: DataFrame, key: str, items: str, min_frequency: int = 10, shortest: int = 10, longest: int = 60, available: DataFrame | None = None, max_rounds: int = 40) -> DataFrame:
+def curate(lists: DataFrame, key: str, items: str, min_frequency: int = 10, shortest: int = 10, longest: int = 60, available: DataFrame | None = None, single_pass: bool = False) -> DataFrame:
     """(key, items): what is left when items used fewer than ``min_frequency`` times, items not in
     ``available`` and lists of another length are dropped again and again, until nothing changes.
-    ``max_rounds`` = 1 is a single pass. Lengths are those of the cleaned lists in every round."""
+    or once only with ``single_pass``. Each round drops slots, so there is an end. Lengths are those of the cleaned lists in every round."""
     rows = slots(lists, key, items)
     if available is not None:
         rows = rows.join(available.select(F.col(available.columns[0]).alias("item")).distinct(), "item", "left_semi")
     rows = cut(rows)
     before = rows.count()
-    for _ in range(max_rounds):
+    while True:
         length = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n").between(shortest, longest)).select(key)
         fitting = rows.join(length, key, "left_semi")
         frequent = fitting.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= min_frequency).select("item")
         rows = cut(fitting.join(frequent, "item", "left_semi").select(key, "pos", "item"))
         now = rows.count()
-        if now == before:
+        if now == before or single_pass:
             break
         before = now
     final = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n").between(shortest, longest)).select(key)
