@@ -159,9 +159,8 @@ def _links(same):
     return run
 
 
-def _within_blocks(rows: DataFrame, keys: list[str], same) -> DataFrame:
-    """Edges between the nodes of different spellings p in each block; a node stands for all that share its spelling."""
-    distinct = rows.groupBy(*keys, "p").agg(F.min("node").alias("node"))
+def _within_blocks(distinct: DataFrame, keys: list[str], same) -> DataFrame:
+    """Edges between the nodes of different spellings p in each block; p stands once in a block."""
     blocks = distinct.groupBy(*keys).agg(F.collect_list(F.struct("p", "node")).alias("block")).where(F.size("block") > 1)
     return blocks.select("block").mapInArrow(_links(same), _EDGES_SQL)
 
@@ -220,6 +219,8 @@ def resolve_names(df: DataFrame, name: str, nicknames: Mapping[str, str] = NICKN
     # what forms say by themselves
     pairs = of("p")
     sides = _both_ways(pairs).withColumn("c", F.concat(F.lit("2|"), "c")).unionByName(of("k").select("node", F.concat(F.lit("k|"), "a").alias("c"), F.col("b").alias("p")))
+    # a node stands for all that share its spelling
+    sides = sides.groupBy("c", "p").agg(F.min("node").alias("node"))
     near = _within_blocks(_short_of_one(sides), ["c", "v"], lambda p, q: _misspelt(p, q, frequent))
     links = _starred(of("p", "q"), ["a", "b"]).unionByName(_starred(of("s"), ["a"])).unionByName(near)
     nodes = _merged(forms.select(F.col("id").alias("form"), F.col("id").alias("entity")), stored(links))
@@ -240,8 +241,10 @@ def resolve_names(df: DataFrame, name: str, nicknames: Mapping[str, str] = NICKN
         mine = fresh.join(first, "entity").select("node", "a", "b")
         every = pairs.unionByName(mine)
         exact = mine.withColumnRenamed("node", "x").join(every.withColumnRenamed("node", "y"), ["a", "b"]).select("x", "y")
-        sides = _short_of_one(_both_ways(mine).withColumnRenamed("node", "x"))
-        others = _short_of_one(_both_ways(every).select(F.col("node").alias("y"), "c", "p")).withColumnRenamed("p", "q")
+        asked = _both_ways(mine).withColumnRenamed("node", "x")
+        sides = _short_of_one(asked)
+        # few words are asked for, so most pairs are left out before they are spelt short of a letter
+        others = _short_of_one(_both_ways(every).select(F.col("node").alias("y"), "c", "p").join(asked.select("c").distinct(), "c", "left_semi")).withColumnRenamed("p", "q")
         typed = sides.join(others, ["c", "v"]).where("p <> q AND x <> y").select("p", "q", "x", "y").distinct().mapInArrow(_fitting(frequent), "p string, q string, x long, y long").select("x", "y")
         at = lambda c: nodes.select(F.col("form").alias(c), F.col("entity").alias(f"e{c}"))
         merges = stored(exact.unionByName(typed).join(at("x"), "x").join(at("y"), "y").where("ex <> ey").select(F.col("ex").alias("a"), F.col("ey").alias("b")).distinct())
@@ -252,11 +255,13 @@ def resolve_names(df: DataFrame, name: str, nicknames: Mapping[str, str] = NICKN
     # initials and nicknames of several names join the only entity that they can mean
     strong = placed(of("p", "k", "s")).select("entity").distinct()
     weak = placed(facts.where("kind IN ('w', 'n')").select(F.col("form").alias("node"), "kind", F.col("a").alias("c"), F.col("b").alias("p"))).join(strong, "entity", "left_anti").withColumnRenamed("entity", "weak").distinct()
+    weak = stored(weak)
     known = placed(_both_ways(pairs.unionByName(mine)))
     heads = known.withColumn("kind", F.lit("n")).unionByName(known.select("entity", F.substring("c", 1, 1).alias("c"), "p", F.lit("w").alias("kind")))
-    heads = heads.groupBy("kind", "c", "p").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))
+    heads = stored(heads.groupBy("kind", "c", "p").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")))
     same = weak.join(heads, ["kind", "c", "p"]).select("weak", F.lit(1).alias("level"), "lo", "hi")
-    typed = _short_of_one(weak).join(_short_of_one(heads).withColumnRenamed("p", "q"), ["kind", "c", "v"]).where("p <> q").select("p", "q", "weak", "lo", "hi").distinct()
+    meant = heads.join(weak.select("kind", "c").distinct(), ["kind", "c"], "left_semi")
+    typed = _short_of_one(weak).join(_short_of_one(meant).withColumnRenamed("p", "q"), ["kind", "c", "v"]).where("p <> q").select("p", "q", "weak", "lo", "hi").distinct()
     typed = typed.mapInArrow(_fitting(frequent), "p string, q string, weak long, lo long, hi long").select("weak", F.lit(2).alias("level"), "lo", "hi")
     fits = same.unionByName(typed).groupBy("weak").agg(F.min("level").alias("best"), *[f(F.when(F.col("level") == n, F.col(c))).alias(f"{c}{n}") for n in (1, 2) for f, c in ((F.min, "lo"), (F.max, "hi"))])
     joins = fits.where("if(best = 1, lo1 = hi1, lo2 = hi2)").select(F.col("weak").alias("a"), F.expr("if(best = 1, lo1, lo2)").alias("b"))
