@@ -256,7 +256,7 @@ def overlap_classes(
     table gives no rows. ``shard_passages`` and ``text_rows`` bound a task; the driver holds the frequent
     items and two counts per shard."""
     spark = df.sparkSession
-    rows = _normalised(df, key, split, items, list(train), list(evaluation), carry)
+    rows = stored(_normalised(df, key, split, items, list(train), list(evaluation), carry))
     carried = [f"carried_{i}" for i in range(len(carry))]
     members = stored(one_row_per_key(rows, "key", "class_key", "split", "is_eval", *carried))
     side = lambda flag: F.max(F.when(F.col("is_eval") == flag, True).otherwise(False))
