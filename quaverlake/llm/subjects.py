@@ -124,7 +124,7 @@ def _unit_rows(w: np.ndarray) -> np.ndarray:
     return w / np.maximum(w.sum(1, keepdims=True), EPS)
 
 
-def explain(x: Rows, h: np.ndarray, allowed: np.ndarray | None = None, steps: int = 15, still: float = 0.004) -> np.ndarray:
+def explain(x: Rows, h: np.ndarray, allowed: np.ndarray | None = None, steps: int = 12, still: float = 0.01) -> np.ndarray:
     """W for fixed H (columns, components): multiplicative updates from even values, of each row until none of its
     values moves by more than ``still``, at most ``steps``. A row without weight is all zero."""
     out = np.zeros((x.n, h.shape[1]), np.float32)
@@ -321,7 +321,7 @@ def subject_areas(
     text: str = "text",
     share: float = 0.16,
     sure: float = 0.4,
-    rounds: int = 12,
+    rounds: int = 8,
     refinements: int = 1,
     labelled: int = LABELLED,
 ) -> DataFrame:
