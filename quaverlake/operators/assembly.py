@@ -35,6 +35,15 @@ def looked_up(rows: DataFrame, key: str, table: DataFrame, table_key: str, colum
     return joined.select(*rows.columns, *[c.alias(n) for n, c in filled.items()])
 
 
+def cue_names(rows: DataFrame, key: str, ids: str, vocabulary: DataFrame, cue_id: str, cue: str) -> DataFrame:
+    """(key, pos, cue): the names of ids given as text, ``<missing:i>`` of a number that the vocabulary lacks, ``<invalid:x>`` of what
+    isn't a number; a null id is ``<invalid:null>``. The vocabulary is a bounded table."""
+    flat = rows.select(key, F.posexplode(ids).alias("pos", "x")).withColumn("i", F.expr("try_cast(x AS int)"))
+    named = flat.join(F.broadcast(vocabulary.select(F.col(cue_id).alias("i"), F.col(cue).alias("__cue"))), "i", "left")
+    bad = F.concat(F.lit("<invalid:"), F.coalesce("x", F.lit("null")), F.lit(">"))
+    return named.select(key, "pos", F.when(F.col("i").isNull(), bad).otherwise(F.coalesce("__cue", F.format_string("<missing:%d>", "i"))).alias("cue"))
+
+
 def by_precedence(values: dict[str, Column], longest: int | None = None) -> tuple[Column, Column]:
     """The first of several columns that isn't null or empty (a list without elements, a blank string), a list cut to ``longest``,
     and the name of its source; none is null from ``miss``."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quaverlake.functions import hashing, text
 from quaverlake.operators import assembly, checks, knn, metrics, retrieval, sequences, tokens, vocab
-from quaverlake.plans.content_queries import _IDF, _ITEM, _ITEMS, _KEEP, _LISTS, _MAPPINGS, _PHRASES, _cues, _df, _docs, _items, _mappings, _members, _n
+from quaverlake.plans.content_queries import _CUES, _IDF, _ITEM, _ITEMS, _KEEP, _LISTS, _MAPPINGS, _PHRASES, _cues, _df, _docs, _items, _mappings, _members, _n
 from quaverlake.plans.model_queries import _FIRST, _SEQ, _SLOT, _coded, _predictions, _sequences, _slots
 from quaverlake.plans.sequence_queries import LISTS, LOG, _log, lists
 from quaverlake.session import cut, read
@@ -50,6 +50,12 @@ def asm_display(spark, d):
     return assembly.looked_up(songs, "song", _once(spark, d, "title", "artist"), "item_id", {"title": "Unknown title", "artist": "Unknown artist"})
 
 
+def asm_cue_names(spark, d):
+    """Names of the cue ids of every item, and of its tags, which are no ids."""
+    rows = _mappings(spark, d).join(_once(spark, d, "tags"), "item_id").select("item_id", F.concat(F.coalesce(F.col("cue_ids").cast("array<string>"), F.array().cast("array<string>")), F.coalesce("tags", F.array().cast("array<string>"))).alias("ids"))
+    return assembly.cue_names(rows, "item_id", "ids", _cues(spark, d), "cue_id", "cue")
+
+
 def asm_not_dense(spark, d):
     """What keeps the row numbers of the embedding table from being dense."""
     return assembly.not_dense(read(spark, d, "item_embeddings").select("item_id", "row_idx").distinct(), "row_idx")
@@ -337,7 +343,7 @@ def smp_from_pools(spark, d):
     return retrieval.from_pools(pooled, "prefix_id", m, "q", _items(spark, d), "item_id", "emb", 5)
 
 
-_NAMES = (asm_event_items, asm_tags, asm_genres, asm_display, asm_not_dense, asm_gathered_rows, asm_remapped, asm_plan_shape, asm_systems, asm_requests, txt_conditions, txt_input_types, txt_verbalisations, txt_rankings, txt_cluster_vocabulary, txt_clean_stages, txt_blocked_names, txt_sweep_corpus, txt_prefix_stability, txt_good_for, txt_capped, enc_playlists, enc_context, enc_split_rows, enc_bundle, enc_allowed, enc_conflict_digits, enc_conflict_levels, enc_legacy, enc_legacy_ranges, met_full_hits, met_bundle, met_code_hits, met_gaps, met_batch_means, seq_histograms, chk_window_coverage, chk_prepared_arrays, vec_intra, smp_from_pools)
+_NAMES = (asm_event_items, asm_tags, asm_genres, asm_display, asm_cue_names, asm_not_dense, asm_gathered_rows, asm_remapped, asm_plan_shape, asm_systems, asm_requests, txt_conditions, txt_input_types, txt_verbalisations, txt_rankings, txt_cluster_vocabulary, txt_clean_stages, txt_blocked_names, txt_sweep_corpus, txt_prefix_stability, txt_good_for, txt_capped, enc_playlists, enc_context, enc_split_rows, enc_bundle, enc_allowed, enc_conflict_digits, enc_conflict_levels, enc_legacy, enc_legacy_ranges, met_full_hits, met_bundle, met_code_hits, met_gaps, met_batch_means, seq_histograms, chk_window_coverage, chk_prepared_arrays, vec_intra, smp_from_pools)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -360,6 +366,8 @@ SELECT feature_index IS NOT NULL AS mapped, count(*) AS events, count(DISTINCT f
         "asm_tags": f"WITH {c('tags, genre')} SELECT item_id, CASE WHEN trim(array_to_string(tags, '')) <> '' THEN array_to_string(tags[1:5], '|') WHEN trim(genre) <> '' THEN lower(trim(genre)) END AS tags, CASE WHEN trim(array_to_string(tags, '')) <> '' THEN 'tags' WHEN trim(genre) <> '' THEN 'genre' ELSE 'miss' END AS source FROM c",
         "asm_genres": f"WITH {c('tags, genre')} SELECT item_id, CASE WHEN trim(tags[1]) <> '' THEN tags[1] WHEN trim(genre) <> '' THEN genre END AS genre, CASE WHEN trim(tags[1]) <> '' THEN 'tag' WHEN trim(genre) <> '' THEN 'genre' ELSE 'miss' END AS source FROM c",
         "asm_display": f"WITH {c('title, artist')}, s AS (SELECT DISTINCT trim(item_id) AS song FROM documents WHERE trim(item_id) <> '') SELECT song, CASE WHEN trim(title) <> '' THEN title ELSE 'Unknown title' END AS title, CASE WHEN trim(artist) <> '' THEN artist ELSE 'Unknown artist' END AS artist FROM s LEFT JOIN c ON c.item_id = song",
+        "asm_cue_names": f"""WITH {_MAPPINGS}, {c('tags')}, r AS (SELECT item_id, list_concat(coalesce(cue_ids::VARCHAR[], []), coalesce(tags, [])) AS ids FROM m JOIN c USING (item_id)), f AS (SELECT item_id, generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS x FROM r)
+SELECT item_id, pos::INT AS pos, CASE WHEN try_cast(x AS INT) IS NULL THEN '<invalid:' || coalesce(x, 'null') || '>' ELSE coalesce(cue, '<missing:' || x || '>') END AS cue FROM f LEFT JOIN cue_vocab v ON v.cue_id = try_cast(x AS INT)""",
         "asm_not_dense": """WITH e AS (SELECT DISTINCT item_id, row_idx FROM item_embeddings), s AS (SELECT count(*) AS n, count(row_idx) AS m, count(DISTINCT row_idx) AS d, max(row_idx) AS hi, min(row_idx) AS lo FROM e),
 p AS (SELECT 'null row' AS problem, n - m AS n FROM s UNION ALL SELECT 'repeated row', m - d FROM s UNION ALL SELECT 'gap', greatest(hi + 1 - d, 0) FROM s UNION ALL SELECT 'negative row', (lo < 0)::BIGINT FROM s) SELECT problem, n FROM p WHERE n > 0""",
         "asm_gathered_rows": "WITH e AS (SELECT DISTINCT item_id, row_idx FROM item_embeddings WHERE item_id IS NOT NULL AND row_idx IS NOT NULL) SELECT item_id, (SELECT min(f.item_id) FROM e f WHERE f.row_idx = e.row_idx) AS owner FROM e",
@@ -406,6 +414,8 @@ SELECT prefix_id, (4 * count(*))::INT AS n, md5(string_agg(t, ',' ORDER BY pos))
         "met_bundle": f"""WITH {_FIRST}, {_MAPPINGS}, q AS (SELECT item_id, cue_ids[1:8] AS c FROM m WHERE cue_ids IS NOT NULL), a AS (SELECT prefix_id, flatten(list(c)) AS p FROM (SELECT prefix_id, unnest(predicted) AS item FROM firsts) JOIN q ON item_id = item GROUP BY 1), b AS (SELECT prefix_id, flatten(list(c)) AS t FROM (SELECT prefix_id, unnest(targets) AS item FROM firsts) JOIN q ON item_id = item GROUP BY 1),
 k AS (SELECT prefix_id, len(p) AS np, len(t) AS nt, coalesce({common}, 0) AS k FROM a JOIN b USING (prefix_id)) SELECT prefix_id, k::INT AS matches, round_even(k / nt, 6) AS recall, round_even(k / np, 6) AS precision, round_even(k / (np + nt - k), 6) AS jaccard FROM k""",
         "met_code_hits": f"""WITH {_SLOT}, cs AS (SELECT slot, (z0, z1, z2, conflict) AS k FROM slots), r AS (SELECT k IN (SELECT k FROM cs WHERE slot < 15) AS hit FROM cs WHERE slot >= 15) SELECT count(*) AS predictions, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, round_even(count(*) FILTER (WHERE hit) / count(*), 6) AS hit_share FROM r""",
+        "met_gaps": f"""WITH {_ITEMS}, {_CUES}, s AS (SELECT i.item_id, round_even(list_inner_product(i.v, c.v) / (i.norm * c.norm), 6) AS score, row_number() OVER (PARTITION BY i.item_id ORDER BY round_even(list_inner_product(i.v, c.v) / (i.norm * c.norm), 6) DESC, c.cue_id::VARCHAR) AS r FROM items i CROSS JOIN cues c QUALIFY r <= 2), t AS (SELECT item_id, max(score) AS a, min(score) AS b FROM s GROUP BY 1)
+SELECT count(*) AS queries, round_even(avg(a), 5) AS mean_top, round_even(avg(a - b), 5) AS mean_gap, round_even(min(a - b), 5) AS least_gap FROM t""",
         "met_batch_means": f"WITH {_SEQ} SELECT round_even(avg(sigma_c2::DOUBLE), 3) AS sigma, round_even(sum(list_sum(mu_c::DOUBLE[])) / sum(len(list_filter(mu_c, lambda x: x IS NOT NULL))), 3) + 0.0 AS mu FROM seqs",
         "seq_histograms": f"WITH {LISTS} SELECT 'length' AS what, len(items)::INT AS value, count(*) AS lists FROM lists GROUP BY 2 UNION ALL SELECT 'distinct_items', len(list_distinct(items))::INT, count(*) FROM lists GROUP BY 2",
         "chk_window_coverage": f"WITH {_FIRST}, s AS (SELECT unnest(list_concat(refs, targets)) AS item_id FROM firsts WHERE prefix_id IN (SELECT prefix_id FROM lists WHERE split_name = 'test')) SELECT item_id, count(*) AS n FROM s WHERE item_id NOT IN (SELECT item_id FROM cue_mappings WHERE cue_ids IS NOT NULL AND item_id IS NOT NULL) GROUP BY item_id",

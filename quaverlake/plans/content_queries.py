@@ -295,6 +295,18 @@ FROM m, (SELECT round_even(count(*) / 2047, 6) AS vocabulary_share, round_even(-
   FROM (SELECT cue_id, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT unnest({ids}) AS cue_id FROM m) WHERE cue_id <> 0 GROUP BY cue_id)) u WHERE cue_ids IS NOT NULL"""
 
 
+def covering(base: str, k: int) -> str:
+    """CTEs sims and h<k> (prefix_id, place, pos) over ``base`` (prefix_id, pos, v, norm): the first by pos, then step by step the one least
+    similar to its nearest chosen one, each step written out."""
+    parts = [f"sims AS (SELECT a.prefix_id, a.pos AS p, b.pos AS q, list_inner_product(a.v, b.v) / (a.norm * b.norm) AS c FROM {base} a JOIN {base} b ON a.prefix_id = b.prefix_id)", f"h1 AS (SELECT prefix_id, 0 AS place, min(pos) AS pos FROM {base} GROUP BY prefix_id)"]
+    for i in range(2, k + 1):
+        parts.append(
+            f"h{i} AS (SELECT * FROM h{i - 1} UNION ALL SELECT prefix_id, {i - 1}, p FROM (SELECT s.prefix_id, s.p, round_even(max(c), 9) AS near FROM sims s JOIN h{i - 1} h ON h.prefix_id = s.prefix_id AND h.pos = s.q "
+            f"WHERE NOT EXISTS (SELECT 1 FROM h{i - 1} x WHERE x.prefix_id = s.prefix_id AND x.pos = s.p) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY prefix_id ORDER BY near, p) = 1)"
+        )
+    return ",\n".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     nearest = lambda k, source: f"""WITH {_ITEMS}, {_CUES}, scored AS (SELECT i.item_id AS query_id, c.cue_id, round_even(list_inner_product(i.v, c.v) / (i.norm * c.norm), 6) AS score FROM {source} CROSS JOIN cues c),
 ranked AS (SELECT query_id, cue_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cue_id::VARCHAR) AS rank FROM scored QUALIFY rank <= {k})"""
@@ -341,5 +353,7 @@ SELECT prefix_id, n, round_even(1 - c, 5) AS diversity FROM p JOIN n USING (pref
         "vec_centroid_neighbours": f"""WITH {_ITEMS}, {_LISTS}, a AS (SELECT prefix_id, [{_MU}] AS mu FROM members WHERE pos < 15 AND split_name = 'test' GROUP BY prefix_id), q AS (SELECT prefix_id, mu, sqrt(list_inner_product(mu, mu)) AS norm FROM a),
 s AS (SELECT q.prefix_id, i.item_id, round_even(list_inner_product(q.mu, i.v) / (q.norm * i.norm), 6) AS score FROM q CROSS JOIN items i WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.prefix_id = q.prefix_id AND m.pos < 15 AND m.item_id = i.item_id))
 SELECT prefix_id::VARCHAR AS query_id, (row_number() OVER (PARTITION BY prefix_id ORDER BY score DESC, item_id))::INT AS place, item_id AS item FROM s QUALIFY place <= 5""",
+        "vec_coverage": f"""WITH {_ITEMS}, {_LISTS}, once AS (SELECT prefix_id, item_id, min(pos) AS pos, any_value(v) AS v, any_value(norm) AS norm FROM members GROUP BY 1, 2), {covering('once', 5)}
+SELECT h5.prefix_id, place::INT AS place, item_id AS item FROM h5 JOIN once ON once.prefix_id = h5.prefix_id AND once.pos = h5.pos""",
         "vec_history_fit": f"""WITH {_ITEMS}, {_LISTS} SELECT a.prefix_id, round_even(avg(list_inner_product(a.v, b.v) / (a.norm * b.norm)), 5) AS fit, round_even(max(list_inner_product(a.v, b.v) / (a.norm * b.norm)), 5) AS nearest FROM members a JOIN members b ON a.prefix_id = b.prefix_id AND b.pos = 15 AND a.pos < 15 GROUP BY a.prefix_id""",
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quaverlake.functions import text, vec
 from quaverlake.operators import knn, retrieval, sequences, vocab
-from quaverlake.plans.content_queries import _CUES, _ITEMS, _PHRASES, _items
+from quaverlake.plans.content_queries import _ITEMS, _PHRASES, _items, covering
 from quaverlake.plans.model_queries import _SEQ, _sequences
 from quaverlake.plans.sequence_queries import LISTS, lists
 from quaverlake.session import cut, read
@@ -134,6 +134,9 @@ c AS (SELECT prefix_id, any_value(n) AS n, [{mu}] AS mu FROM g JOIN items i ON i
 SELECT prefix_id, place::INT AS place, item, 'given' AS source FROM g WHERE place < 5 UNION ALL SELECT prefix_id, place::INT, item, 'padded' FROM r WHERE place < 5""",
         "vec_nearest_of_all": f"""WITH {_ITEMS}, {_SEQ}, q AS (SELECT playlist_id, context_emb::DOUBLE[] AS c FROM seqs WHERE split_name = 'test' AND context_emb IS NOT NULL), n AS (SELECT playlist_id, item_id AS item, list_inner_product(c, v) / (sqrt(list_inner_product(c, c)) * norm) AS s FROM q CROSS JOIN items WHERE list_inner_product(c, c) > 0)
 SELECT playlist_id, item, round_even(s, 6) + 0.0 AS score FROM n QUALIFY row_number() OVER (PARTITION BY playlist_id ORDER BY round_even(s, 6) DESC, item) = 1""",
+        "vec_selected": f"""WITH {_ITEMS}, {LISTS}, t AS (SELECT prefix_id, items AS ids FROM lists WHERE split_name = 'test'), s AS (SELECT prefix_id, generate_subscripts(ids, 1) AS p, unnest(ids) AS item FROM t), o AS (SELECT prefix_id, item, min(p) AS p FROM s WHERE item IN (SELECT item_id FROM items) GROUP BY 1, 2),
+g AS (SELECT prefix_id, item, row_number() OVER (PARTITION BY prefix_id ORDER BY p) - 1 AS pos, count(*) OVER (PARTITION BY prefix_id) AS n FROM o), many AS (SELECT prefix_id, pos, item, v, norm FROM g JOIN items i ON i.item_id = g.item WHERE n > 5), {covering('many', 5)}
+SELECT prefix_id, pos::INT AS place, item FROM g WHERE n <= 5 UNION ALL SELECT h5.prefix_id, place::INT, item FROM h5 JOIN many ON many.prefix_id = h5.prefix_id AND many.pos = h5.pos""",
         "vec_hybrid": f"""WITH {_ITEMS}, {_SEQ}, asked AS (SELECT playlist_id, max(item_ids[1:2]) AS ids FROM context_prefixes WHERE split_name = 'test' GROUP BY playlist_id), x AS (SELECT playlist_id, generate_subscripts(ids, 1) AS p, unnest(ids) AS item FROM asked), o AS (SELECT playlist_id, item, min(p) AS p FROM x WHERE item IN (SELECT item_id FROM items) GROUP BY 1, 2), g AS (SELECT playlist_id, item, row_number() OVER (PARTITION BY playlist_id ORDER BY p) - 1 AS place FROM o),
 n AS (SELECT asked.playlist_id, count(g.item) AS n FROM asked LEFT JOIN g USING (playlist_id) GROUP BY 1), t AS (SELECT playlist_id, context_emb::DOUBLE[] AS c FROM seqs JOIN asked USING (playlist_id) WHERE context_emb IS NOT NULL AND list_inner_product(context_emb::DOUBLE[], context_emb::DOUBLE[]) > 0),
 mu AS (SELECT playlist_id, [{mu}] AS c FROM g JOIN items i ON i.item_id = g.item WHERE playlist_id NOT IN (SELECT playlist_id FROM t) GROUP BY 1), q AS (SELECT *, 'text' AS source FROM t UNION ALL SELECT *, 'padded' FROM mu),
