@@ -42,10 +42,6 @@ def add(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(doubles(a), doubles(b), lambda x, y: x + y)
 
 
-def subtract(a: Column | str, b: Column | str) -> Column:
-    return F.zip_with(doubles(a), doubles(b), lambda x, y: x - y)
-
-
 def scale(a: Column | str, factor: Column | float) -> Column:
     return F.transform(doubles(a), lambda x: x * factor)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaverlake.functions import text
+from quaverlake.functions import scalar, text
 from quaverlake.operators import assembly, knn, matching, metrics, retrieval, study, tokens, vocab
 from quaverlake.plans import protocol
 from quaverlake.sources import readers, writers
@@ -248,6 +248,8 @@ def test_readers_and_writers(spark, tmp_path):
 def test_unused_helpers(spark):
     assert rows(metrics.weighted_mean(spark.createDataFrame([(0.5, 1), (1.0, 3)], "r double, n int"), "r", "n")) == [(0.875, 4)]
     assert spark.range(1).select(tokens.cue_token(F.lit(5)), tokens.cue_token(F.lit(9999))).first() == (850, None)
+    rates = spark.createDataFrame([(1,), (100,), (400,)], "step int").select(scalar.inverse_root_rate(F.col("step"), 0.5, 100))
+    assert [round(r[0], 6) for r in rates.collect()][1:] == [0.5, 0.25]
     lyric = spark.createDataFrame([("ab\nab\ncd",)], "t string")
     assert [lyric.select(text.capped("t", m, c)).first()[0] for m, c in (("full", 0), ("cap", 3), ("dedup", 0), ("dedup", 4))] == ["ab\nab\ncd", "ab\n", "ab\ncd", "ab\nc"]
     rng = np.random.default_rng(3)
