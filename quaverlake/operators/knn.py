@@ -317,9 +317,9 @@ def greedy_distinct(vectors: DataFrame, key: str, order: str, vector: str, thres
     give the same rows as the sequential pass: a row without an undecided earlier neighbour stays, and its
     later neighbours go. The table is a vocabulary of at most ``limit`` rows; its close pairs come from block
     products and stay distributed."""
-    from quaverlake.session import cut
+    from quaverlake.session import cut, stored
 
-    rows = vectors.select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), vec.doubles(vector).alias("v"))
+    rows = stored(vectors.select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), vec.doubles(vector).alias("v")))
     if threshold >= 1:
         return rows.select(F.col("k").alias(key))
     spark = vectors.sparkSession

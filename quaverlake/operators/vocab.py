@@ -16,9 +16,14 @@ from quaverlake.operators.metrics import places
 from quaverlake.session import spread, stored
 
 
-def phrases(docs: DataFrame, key: str, column: str, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(key, phrases): one- and two-word phrases of each text over the letters a to z, repeats kept."""
-    tokens = spread(docs).select(key, text.words(column).alias("t"))
+def phrases(docs: DataFrame, key: str, column: str, sizes: tuple[int, ...] = (1, 2), normal: bool = False) -> DataFrame:
+    """(key, phrases): one- and two-word phrases of each text over the letters a to z, repeats kept. With ``normal``
+    colloquial words are written out first, which is all that ``text.cue_key`` changes in such phrases."""
+    words = text.words(column)
+    if normal:
+        table = F.create_map(*[F.lit(x) for pair in text.COLLOQUIAL.items() for x in pair])
+        words = F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
+    tokens = spread(docs).select(key, words.alias("t"))
     return tokens.select(key, F.concat(*[text.ngrams(F.col("t"), n) for n in sizes]).alias("phrases"))
 
 

@@ -145,7 +145,7 @@ def txt_cluster_vocabulary(spark, d):
 
 def _clean(spark, d):
     """Phrases of every stage of the cleaning: normalised, in the band, of the right form, not blocked, no near-duplicates."""
-    keys = vocab.phrases(_docs(spark, d), "doc_id", "text").select("doc_id", F.filter(F.array_distinct(F.transform("phrases", text.cue_key)), lambda x: x != "").alias("phrases"))
+    keys = vocab.phrases(_docs(spark, d), "doc_id", "text", normal=True)
     every = cut(vocab.document_frequency(keys, "doc_id", "phrases").crossJoin(F.broadcast(_n(spark, d))))
     banded = vocab.in_band(every, F.col("n_docs"), 5, 0.3)
     kept = banded.where(text.keeps_phrase(F.col("phrase")))
