@@ -311,18 +311,29 @@ def assigned(hits: DataFrame, slots: int, empty: int = 0) -> DataFrame:
     return ordered.select("query_id", F.concat(F.slice(ids, 1, slots), F.array_repeat(F.lit(empty), missing)).alias("ids"), F.concat(F.slice(scores, 1, slots), F.array_repeat(F.lit(None).cast("double"), missing)).alias("scores"))
 
 
+def _removed(edges: DataFrame) -> DataFrame:
+    """(k): what a greedy pass takes away, given the close pairs (a, b), a before b. Rounds over their graph give the same
+    as the sequential pass: a row without an undecided earlier neighbour stays, and its later neighbours go."""
+    from quaverlake.session import cut
+
+    removed = edges.select(F.col("b").alias("k")).limit(0)
+    while not edges.isEmpty():
+        stay = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = cut(edges.join(stay, "a", "left_semi").select(F.col("b").alias("k")).distinct())
+        removed = removed.unionByName(gone)
+        edges = cut(edges.join(gone.withColumnRenamed("k", "a"), "a", "left_anti").join(gone.withColumnRenamed("k", "b"), "b", "left_anti"))
+    return removed
+
+
 def greedy_distinct(vectors: DataFrame, key: str, order: str, vector: str, threshold: float, limit: int = 50_000) -> DataFrame:
     """(key) of the rows that survive greedy near-duplicate removal: in ``order`` (unique), a row stays if
-    no row that stays before it has a cosine above ``threshold``. Rounds over the graph of close pairs
-    give the same rows as the sequential pass: a row without an undecided earlier neighbour stays, and its
-    later neighbours go. The table is a vocabulary of at most ``limit`` rows; its close pairs come from block
-    products and stay distributed."""
+    no row that stays before it has a cosine above ``threshold``. The table is a vocabulary of at most ``limit``
+    rows; its close pairs come from block products and stay distributed. ``sparse_distinct`` has no such bound."""
     from quaverlake.session import cut, stored
 
     rows = stored(vectors.select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), vec.doubles(vector).alias("v")))
     if threshold >= 1:
         return rows.select(F.col("k").alias(key))
-    spark = vectors.sparkSession
     table = rows.limit(limit + 1).toArrow()
     if table.num_rows > limit:
         raise ValueError(f"greedy removal is for vocabularies of at most {limit} rows")
@@ -337,17 +348,82 @@ def greedy_distinct(vectors: DataFrame, key: str, order: str, vector: str, thres
             i, j = np.nonzero((x @ y.T > threshold) & (pdf["o"].to_numpy()[:, None] < o[None, :]))
             yield pd.DataFrame({"a": pdf["k"].to_numpy()[i], "b": names[j]})
 
-    edges = cut(rows.mapInPandas(close, "a string, b string"))
-    undecided = cut(rows.select("k"))
-    kept = spark.createDataFrame([], "k string")
-    while True:
-        blocked = edges.select(F.col("b").alias("k")).distinct()
-        stay = undecided.join(blocked, "k", "left_anti")
-        gone = edges.join(stay.withColumnRenamed("k", "a"), "a").select(F.col("b").alias("k")).distinct()
-        kept = cut(kept.unionByName(stay))
-        decided = stay.unionByName(gone)
-        undecided = cut(undecided.join(decided, "k", "left_anti"))
-        if undecided.isEmpty():
-            break
-        edges = cut(edges.join(decided.withColumnRenamed("k", "a"), "a", "left_anti").join(decided.withColumnRenamed("k", "b"), "b", "left_anti"))
-    return kept.select(F.col("k").alias(key))
+    removed = _removed(cut(rows.mapInPandas(close, "a string, b string")))
+    return rows.select("k").join(removed, "k", "left_anti").select(F.col("k").alias(key))
+
+
+def _dense(at: pa.Array, w: pa.Array, dims: int) -> np.ndarray:
+    """Rows of sparse vectors, their places and weights packed as bytes."""
+    out = np.zeros((len(at), dims))
+    for i, (a, x) in enumerate(zip(at, w, strict=True)):
+        out[i, np.frombuffer(a.as_py(), np.int32)] = np.frombuffer(x.as_py())
+    return out
+
+
+def sparse_pairs(rows: DataFrame, threshold: float, dims: int, block: int = PACK) -> DataFrame:
+    """(a, b): every pair of ``o`` (unique, whole numbers), the smaller first, whose cosine is above ``threshold`` (0 to 1). Rows (o, at, w) are
+    vectors of ``dims`` places, ``at`` the places of weights ``w`` over 0, the others 0. Places are ordered from the rarest. What follows a vector's first places is
+    soon no longer than the threshold, so a close pair shares one of the first places of both: rows meet only at these, the first that
+    they share counts, and a place of many rows is divided into blocks that meet on a grid. Nothing but the order goes to the driver."""
+    from quaverlake.session import stored
+
+    counts = dict(rows.select(F.explode("at").alias("p")).groupBy("p").agg(F.count("*")).toPandas().itertuples(index=False, name=None))
+    rank = np.zeros(dims, np.int32)
+    rank[sorted(range(dims), key=lambda p: (counts.get(p, 0), p))] = np.arange(dims)
+
+    def led(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            ats, ws, firsts = [], [], []
+            for at, w in zip(batch.column("at"), batch.column("w"), strict=True):
+                a, x = rank[np.asarray(at.values)], np.asarray(w.values, float)
+                order = np.argsort(a)
+                a, x = a[order], x[order] / max(np.sqrt((x * x).sum()), vec.EPS)
+                rest = 1 - np.concatenate([[0], np.cumsum(x * x)[:-1]])
+                ats.append(a.tobytes())
+                ws.append(x.tobytes())
+                firsts.append(a[rest >= threshold * threshold - 1e-9])  # a little more, for rounding
+            yield pa.RecordBatch.from_arrays([batch.column("o"), pa.array(ats, pa.binary()), pa.array(ws, pa.binary()), pa.array(firsts, pa.list_(pa.int32()))], names=["o", "at", "w", "first"])
+
+    lead = stored(rows.where(F.size("at") > 0).select(F.col("o").cast("long"), "at", "w").mapInArrow(led, "o long, at binary, w binary, first array<int>"))
+    sizes = lead.select(F.explode("first").alias("p")).groupBy("p").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = lead.select("o", "at", "w", F.explode("first").alias("p")).join(F.broadcast(sizes), "p").withColumn("own", F.pmod(F.xxhash64("o"), "blocks").cast("int"))
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
+    met = own.select("p", "own", "o", "at", "w", cell.alias("c")).select("p", "c.i", "c.j", "own", "o", "at", "w")
+
+    def close(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        p, i, j = (k.as_py() for k in key)
+        own, a, b = np.asarray(table.column("own")), [], []
+        left, right = (table.filter(pa.array(own == side)).combine_chunks() for side in (i, j))
+        for r in range(0, right.num_rows, 1024):
+            there = right.slice(r, 1024)
+            y, oy = _dense(there.column("at"), there.column("w"), dims), np.asarray(there.column("o"))
+            y32 = y.astype(np.float32).T
+            for l in range(0, min(left.num_rows, r + 1024) if i == j else left.num_rows, 1024):
+                here = left.slice(l, 1024)
+                x, ox = _dense(here.column("at"), here.column("w"), dims), np.asarray(here.column("o"))
+                m, n = np.nonzero(x.astype(np.float32) @ y32 > threshold - 1e-4)
+                if i == j and l == r:
+                    m, n = m[m < n], n[m < n]
+                for at in range(0, len(m), 1024):
+                    u, v = m[at : at + 1024], n[at : at + 1024]
+                    both = x[u] * y[v]
+                    ok = (both.sum(1) > threshold) & ((both > 0).argmax(1) == p)
+                    a.append(np.minimum(ox[u], oy[v])[ok])
+                    b.append(np.maximum(ox[u], oy[v])[ok])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    return met.groupBy("p", "i", "j").applyInArrow(close, "a long, b long")
+
+
+def sparse_distinct(rows: DataFrame, key: str, threshold: float, dims: int) -> DataFrame:
+    """(key) as ``greedy_distinct`` has it, of rows (key, o, at, w) as ``sparse_pairs`` takes them, in order of ``o``, however many there are."""
+    from quaverlake.session import stored
+
+    if threshold >= 1:
+        return rows.select(key)
+    if threshold < 0:  # no cosine is so low
+        return rows.orderBy("o").limit(1).select(key)
+    rows = stored(rows)
+    removed = _removed(stored(sparse_pairs(rows, threshold, dims)))
+    return rows.select(key, F.col("o").alias("k")).join(removed, "k", "left_anti").select(key)

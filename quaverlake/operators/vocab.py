@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaverlake.functions import hashing, text
-from quaverlake.operators.knn import greedy_distinct
+from quaverlake.operators.knn import sparse_distinct
 from quaverlake.operators.metrics import places
 from quaverlake.session import spread, stored
 
@@ -73,10 +73,8 @@ def random_score(seed: int = 0) -> Column:
     return F.conv(F.substring(hashing.digest("rank", seed, F.col("phrase")), 1, 13), 16, 10).cast("double")
 
 
-def char_gram_vectors(rows: DataFrame, key: str, column: str, low: int = 2, high: int = 4, dims: int = 1024) -> DataFrame:
-    """(key, emb): TF-IDF vectors of a phrase's pieces of ``low`` to ``high`` characters within its words, each with a blank at both ends, of
-    length one. Weight tf * (ln((1 + N) / (1 + df)) + 1). Pieces are hashed to ``dims`` places, so vectors are no longer than that however many
-    pieces there are. A phrase without a word has the zero vector."""
+def _char_grams(rows: DataFrame, key: str, column: str, low: int, high: int, dims: int) -> DataFrame:
+    """(key, m, norm): the weights over 0 by place, before they are divided by their norm."""
     own = rows.select(F.col(key), F.explode_outer(F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != "")).alias("w"))
     words = own.select(key, F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
     pieces = F.concat(*[text.char_grams(F.col("w"), n) for n in range(low, high + 1)])
@@ -84,16 +82,24 @@ def char_gram_vectors(rows: DataFrame, key: str, column: str, low: int = 2, high
     total = rows.select(key).distinct().agg(F.count("*").alias("n"))
     df = grams.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("g", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     placed = grams.join(df, "g", "left").select(key, F.pmod(F.xxhash64("g"), F.lit(dims)).cast("int").alias("at"), F.coalesce(F.col("tf") * F.col("idf"), F.lit(0.0)).alias("w"))
-    summed = placed.groupBy(key, "at").agg(F.sum("w").alias("w")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return placed.groupBy(key, "at").agg(F.sum("w").alias("w")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def char_gram_vectors(rows: DataFrame, key: str, column: str, low: int = 2, high: int = 4, dims: int = 1024) -> DataFrame:
+    """(key, emb): TF-IDF vectors of a phrase's pieces of ``low`` to ``high`` characters within its words, each with a blank at both ends, of
+    length one. Weight tf * (ln((1 + N) / (1 + df)) + 1). Pieces are hashed to ``dims`` places, so vectors are no longer than that however many
+    pieces there are. A phrase without a word has the zero vector."""
+    summed = _char_grams(rows, key, column, low, high, dims)
     return summed.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0)).alias("emb"))
 
 
-def near_duplicates_removed(phrases: DataFrame, idf: str, threshold: float = 0.92, limit: int = 50_000) -> DataFrame:
+def near_duplicates_removed(phrases: DataFrame, idf: str, threshold: float = 0.92, dims: int = 1024) -> DataFrame:
     """(phrase): the phrases, rarest first and then by text, that are no closer than ``threshold`` to one kept before, by the vectors of their
-    pieces. For vocabularies of at most ``limit`` phrases; more raise an error."""
+    pieces (``char_gram_vectors``), of which only the places with a weight are written and compared. However many phrases there are."""
     ranked = places(phrases.select("phrase", F.bround(idf, 9).alias("__s")), F.desc("__s"), F.asc("phrase")).select("phrase", F.col("rank").alias("o"))
-    vectors = char_gram_vectors(ranked, "phrase", "phrase").join(ranked, "phrase")
-    return greedy_distinct(vectors, "phrase", "o", "emb", threshold, limit)
+    vectors = _char_grams(ranked, "phrase", "phrase", 2, 4, dims).join(ranked, "phrase")
+    held = F.filter(F.map_entries("m"), lambda x: x["value"] > 0)
+    return sparse_distinct(vectors.select("phrase", "o", held.alias("h")).select("phrase", "o", F.col("h.key").alias("at"), F.col("h.value").alias("w")), "phrase", threshold, dims)
 
 
 def select_vocabulary(scored: DataFrame, score: str, size: int, digits: int = 9) -> DataFrame:

@@ -180,6 +180,28 @@ def test_near_duplicates_by_pieces(spark):
     assert {r.phrase for r in vocab.near_duplicates_removed(table, "idf", 0.7).collect()} == {words[i] for i in kept}
 
 
+def test_near_duplicates_of_a_large_vocabulary(spark):
+    rng = np.random.default_rng(5)
+    letters = rng.integers(97, 123, (25_001, 2, 8), dtype=np.uint8)
+    pairs = [tuple(bytes(w).decode() for w in pair) for pair in letters]
+    table = spark.createDataFrame([(p,) for a, b in pairs for p in (f"{a} {b}", f"{b} {a}")], "phrase string").withColumn("idf", F.lit(1.0))
+    assert {r.phrase for r in vocab.near_duplicates_removed(table, "idf").collect()} == {" ".join(sorted(p)) for p in pairs}
+
+
+def test_sparse_pairs_meet_on_a_grid(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((200, 24)) * (rng.random((200, 24)) < 0.3)
+    x[100:150] = x[:50] + 0.1 * rng.random((50, 24)) * (rng.random((50, 24)) < 0.2)
+    x[7], x[180] = 0, x[20]
+    table = spark.createDataFrame([(i, [int(p) for p in np.nonzero(v)[0]], [float(w) for w in v[v > 0]]) for i, v in enumerate(x)], "o long, at array<int>, w array<double>")
+    unit = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+    for threshold in (0.0, 0.6, 0.92):
+        a, b = np.nonzero(np.triu(unit @ unit.T > threshold, 1))
+        for block in (4, 4096):
+            got = sorted((r.a, r.b) for r in knn.sparse_pairs(table, threshold, 24, block).collect())
+            assert got == sorted(zip(a.tolist(), b.tolist()))
+
+
 def test_wording(spark):
     df = spark.createDataFrame([(["1"], "x"), (None, "x"), (["1"], None), (None, None), ([None], None)], "ids array<string>, said string")
     assert [r[0] for r in df.select(text.input_type(F.col("ids"), "said")).collect()] == ["hybrid", "text_only", "song_only", "unknown", "unknown"]
