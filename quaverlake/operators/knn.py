@@ -398,11 +398,11 @@ def sparse_pairs(rows: DataFrame, threshold: float, dims: int, block: int = PACK
             there = right.slice(r, 1024)
             y, oy = _dense(there.column("at"), there.column("w"), dims), np.asarray(there.column("o"))
             y32 = y.astype(np.float32).T
-            for l in range(0, min(left.num_rows, r + 1024) if i == j else left.num_rows, 1024):
-                here = left.slice(l, 1024)
+            for q in range(0, min(left.num_rows, r + 1024) if i == j else left.num_rows, 1024):
+                here = left.slice(q, 1024)
                 x, ox = _dense(here.column("at"), here.column("w"), dims), np.asarray(here.column("o"))
                 m, n = np.nonzero(x.astype(np.float32) @ y32 > threshold - 1e-4)
-                if i == j and l == r:
+                if i == j and q == r:
                     m, n = m[m < n], n[m < n]
                 for at in range(0, len(m), 1024):
                     u, v = m[at : at + 1024], n[at : at + 1024]
